@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, quality_rules, secret_scan
+from . import bpe, exact_dedup, mixing, quality_rules, secret_scan, simhash, warc
 from .shared import table
 
 
@@ -27,6 +27,18 @@ def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_exact_dedup, op5_byte_level_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_exact_dedup, op5_byte_level_bpe, op6_simhash_near_dedup, op7_warc, op9_mixing)
 }
