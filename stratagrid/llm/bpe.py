@@ -23,8 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 import regex
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,10 +127,14 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Reco
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """The task's rows as runs, numbered so that no other task has the number."""
-    first = TaskContext.get().partitionId() << 32
-    for n, held in enumerate(_runs(batches, most)):
-        yield first + n, held
+    """The task's rows as runs, each with a number made from its texts, which any other reading of the run has
+    too. Blocks with the same number do no harm to each other, for a word has the same ids everywhere."""
+    for held in _runs(batches, most):
+        number = xxhash.xxh3_64()
+        for batch in held:
+            for x in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist():
+                number.update(b"\1" + x if x is not None else b"\0")
+        yield number.intdigest() - (1 << 63), held
 
 
 def _texts(batch: pa.RecordBatch) -> list[str | None]:
@@ -204,7 +208,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text
                             try:
                                 ids.append(b"".join([ids_of[w] for w in words]))
                             except KeyError:  # the block was read in another order when it was exploded
-                                for w in set(words) - ids_of.keys():
+                                for w in {w for w in words if w not in ids_of}:
                                     ids_of[w] = _ids_bytes(own.encode(w.encode("utf-8")))
                                     bytes_of[w] = own.decode(memoryview(ids_of[w]).cast("I"))
                                 ids.append(b"".join([ids_of[w] for w in words]))
