@@ -5,7 +5,7 @@ put together again by position. Decoding looks each id up in the table of token
    pre-tokens, combined at once to the distinct ones: (block, word).
 2. These are dealt out by word and sorted; a task meets all rows of a word one after another and encodes it once.
    (A frequent word has one row for each block at most, however often it occurs.)
-3. (block, word, ids) goes back to its block, where the texts have gone as compressed pieces. There a text's
+3. (block, word, ids) goes back to its block, many pairs packed in a row, where the texts have gone as compressed pieces. There a text's
    positions are filled with its words' ids.
 
 A null text counts as empty and has no ids. Rows are kept apart by their place, so repeated rows each come
@@ -19,6 +19,7 @@ import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
@@ -33,6 +34,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bytes of text in a block, and in a piece of it; a longer text is a block of its own.
 BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+#: (block, word) pairs that a task gathers before it passes them on, packed by block.
+HELD_WORDS = 200_000
 
 
 class Merges:
@@ -145,6 +148,20 @@ def _ids_bytes(ids: list[int]) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
+def _join_pairs(pairs: list[tuple[bytes, bytes]]) -> bytes:
+    """Words and their ids: the number of pairs, all lengths, all words, all ids."""
+    lengths = np.array([len(x) for column in zip(*pairs) for x in column], dtype="<u4")
+    return len(pairs).to_bytes(4, "little") + lengths.tobytes() + b"".join([w for w, _ in pairs]) + b"".join([i for _, i in pairs])
+
+
+def _split_pairs(data: bytes) -> Iterator[tuple[str, bytes]]:
+    n = int.from_bytes(data[:4], "little")
+    ends = (np.frombuffer(data, dtype="<u4", count=2 * n, offset=4).cumsum(dtype=np.int64) + 4 + 8 * n).tolist()
+    starts = [4 + 8 * n, *ends]
+    for k in range(n):
+        yield data[starts[k] : ends[k]].decode("utf-8"), data[starts[n + k] : ends[n + k]]
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with token_ids (binary, little-endian unsigned 32-bit) and decoded (binary: the ids' bytes again)."""
     cols = [c for c in docs.columns if c.lower() not in ("token_ids", "decoded")]
@@ -167,14 +184,25 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last, ids = merges(path), None, b""
+        zstd = zstandard.ZstdCompressor(level=3)
+
+        def packed(held: dict[int, list[tuple[bytes, bytes]]]) -> pa.RecordBatch:
+            data = [zstd.compress(_join_pairs(pairs)) for pairs in held.values()]
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array([0] * len(data), pa.int32()), pa.array(data, pa.binary())], names=["block", "piece", "data"])
+
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        n = 0
         for batch in batches:
-            out = []
-            for word in batch.column(1).to_pylist():
+            for block, word in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 if word != last:
-                    last, ids = word, _ids_bytes(own.encode(word.encode("utf-8")))
-                out.append(ids)
-            n = len(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0] * n, pa.int32()), batch.column(1), pa.array(out, pa.binary())], names=["block", "piece", "word", "data"])
+                    last, ids = word, _ids_bytes(own.encode(word))
+                held.setdefault(block, []).append((word, ids))
+            n += batch.num_rows
+            if n >= HELD_WORDS:
+                yield packed(held)
+                held, n = {}, 0
+        if held:
+            yield packed(held)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The blocks' rows as compressed pieces, numbered from 1, which follow the words of the block."""
@@ -186,21 +214,23 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text
                     for batch in part:
                         writer.write_batch(batch)
                 data = zstd.compress(sink.getvalue())
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([piece], pa.int32()), pa.array([None], pa.string()), pa.array([data], pa.binary())], names=["block", "piece", "word", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([piece], pa.int32()), pa.array([data], pa.binary())], names=["block", "piece", "data"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, find, now = merges(path), splitter(pattern).findall, None
         ids_of: dict[str, bytes] = {}
         bytes_of: dict[str, bytes] = {}
         for batch in batches:
-            for block, piece, word, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for block, piece, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                data = zstandard.ZstdDecompressor().decompress(data)
                 if block != now:
                     now, ids_of, bytes_of = block, {}, {}
                 if not piece:
-                    ids_of[word] = data
-                    bytes_of[word] = own.decode(memoryview(data).cast("I"))
+                    for word, ids in _split_pairs(data):
+                        ids_of[word] = ids
+                        bytes_of[word] = own.decode(memoryview(ids).cast("I"))
                     continue
-                with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)) as reader:
+                with pa.ipc.open_stream(data) as reader:
                     for rows in reader:
                         ids, back = [], []
                         for x in _texts(rows):
@@ -215,7 +245,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text
                             back.append(b"".join([bytes_of[w] for w in words]))
                         yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=[f.name for f in row_type.fields])
 
-    parts = "block long, piece int, word string, data binary"
+    parts = "block long, piece int, data binary"
     words = whole.select("__text").mapInArrow(explode, "block long, word string")
     coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_words, parts)
     pieces = whole.mapInArrow(pack, parts)
