@@ -131,6 +131,8 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "tex
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """The rows of docs that pass, with the columns of docs. Measures are taken of a copy of the text, so that
-    columns of docs that share a measure's name stay as they are."""
-    kept = apply_rules(docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text")), rules, "__text")
-    return kept.filter("kept").select("__row.*")
+    columns of docs that share a measure's name stay as they are. A filter on the verdict alone would be moved
+    below the projections, with every measure written out wherever a rule names it; it may not pass a row
+    number, so the measures are taken once."""
+    rows = apply_rules(docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text")), rules, "__text")
+    return rows.withColumn("__no", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("__no") >= 0)).select("__row.*")
