@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, importance, mixing, quality_rules, secret_scan, simhash, toxicity, warc
+from . import bpe, exact_dedup, importance, mixing, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, warc
 from .shared import table
 
 
@@ -47,6 +47,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_exact_dedup, op4_toxicity, op5_byte_level_bpe, op6_simhash_near_dedup, op7_warc, op8_quality_classifier, op9_mixing)
+    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_exact_dedup, op4_toxicity, op5_byte_level_bpe, op6_simhash_near_dedup, op7_warc, op8_quality_classifier, op9_mixing, op10_suffix_array_dedup)
 }
