@@ -11,6 +11,7 @@ from __future__ import annotations
 import importlib
 import importlib.util
 import json
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
@@ -78,6 +79,8 @@ class Metric:
     dependencies: tuple[str, ...] = ()
     nan_policy: str = "propagate"
     description: str = ""
+    #: The preset's arguments, where the metric is one of get_grid_metrics().
+    preset: tuple = ()
 
     def __post_init__(self) -> None:
         if self.dtype not in DTYPES:
@@ -109,9 +112,9 @@ class Metric:
     def to_json(self) -> dict:
         """User functions are named, never pickled: a store holds no code."""
         out = {k: getattr(self, k) for k in ("name", "dtype", "nan_policy", "description")}
-        out |= {k: list(getattr(self, k)) for k in ("attributes", "filters", "dependencies")}
+        out |= {k: list(getattr(self, k)) for k in ("attributes", "filters", "dependencies", "preset")}
         if self.method:
-            out["method"] = f"{self.method.__module__}:{self.method.__qualname__}"
+            out["method"] = f"{_FILES.get(self.method.__module__, self.method.__module__)}:{self.method.__qualname__}"
         return out
 
     def to_string(self) -> str:
@@ -119,15 +122,16 @@ class Metric:
 
     @classmethod
     def from_dict(cls, found: dict) -> Metric:
-        lists = {k: tuple(found.get(k) or ()) for k in ("attributes", "filters", "dependencies")}
+        lists = {k: tuple(found.get(k) or ()) for k in ("attributes", "filters", "dependencies", "preset")}
         plain = {k: found[k] for k in ("name", "dtype", "nan_policy", "description") if k in found}
         if where := found.get("method"):
-            module, _, name = where.partition(":")
-            target: Any = importlib.import_module(module)
+            module, _, name = where.rpartition(":")
+            target: Any = _load_file(module) if module.endswith(".py") else importlib.import_module(module)
             for part in name.split("."):
                 target = getattr(target, part)
             return cls(method=target, **plain, **lists)
-        return replace(_BY_NAME[found["name"]], **plain, **lists)
+        known = get_grid_metrics(*lists["preset"]) if lists["preset"] else _BY_NAME
+        return replace(known[found["name"]], **plain, **lists)
 
     @classmethod
     def from_string(cls, text: str) -> Metric:
@@ -288,21 +292,33 @@ def get_grid_metrics(elev_key: str = "Z", min_ht: float = 2, ht_break: float = 3
     for m in (percentiles | l_moments | statistics | product_moments | aad).values():
         m = m.on(*(elev if m.name in only_elev else both))
         out[m.name] = m if m.name == "profile_area" else m.add_filter(low)
-    return out | get_count_metrics(elev_key, float(min_ht), float(ht_break), compat) | get_cover_metrics(elev_key, float(min_ht), float(ht_break), compat) | get_strata_metrics(elev_key)
+    out |= get_count_metrics(elev_key, float(min_ht), float(ht_break), compat) | get_cover_metrics(elev_key, float(min_ht), float(ht_break), compat) | get_strata_metrics(elev_key)
+    return {k: replace(m, preset=(elev_key, float(min_ht), float(ht_break), compat)) for k, m in out.items()}
 
 
 _BY_NAME = get_grid_metrics() | aad | all_metrics
 GROUPS = {"stats": statistics, "p_moments": product_moments, "l_moments": l_moments, "percentiles": percentiles, "aad": aad, "all": all_metrics}
 
 
-def load_user_metrics(path: str) -> list[Metric]:
-    """The metrics of a Python file with a function metrics(); the file is trusted like any imported module."""
-    spec = importlib.util.spec_from_file_location(Path(path).stem, path)
-    if spec is None or not Path(path).exists():
+#: Files that user metrics were loaded from, by the module name that they have here.
+_FILES: dict[str, str] = {}
+
+
+def _load_file(path: str):
+    if not Path(path).exists():
         raise FileNotFoundError(path)
+    name = "user_metrics_" + re.sub(r"\W", "_", str(Path(path).resolve()))
+    spec = importlib.util.spec_from_file_location(name, path)
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
-    found = list(module.metrics())
+    _FILES[name] = str(Path(path).resolve())
+    return module
+
+
+def load_user_metrics(path: str) -> list[Metric]:
+    """The metrics of a Python file with a function metrics(); the file is trusted like any imported module. A
+    store keeps the file's path and the functions' names, not their code."""
+    found = list(_load_file(path).metrics())
     for m in found:
         if not isinstance(m, Metric):
             raise TypeError(f"{path}: {m!r} is no Metric")

@@ -171,12 +171,14 @@ def test_command_line(spark, tmp_path, capsys):
     area(spark, "AlignToCorner").write.parquet(f"file://{tmp_path}/points")
     at = ["-d", f"file://{tmp_path}/store"]
     (tmp_path / "own.py").write_text("from stratagrid.operators.metrics import Metric\ndef one(x):\n    return 1\ndef metrics():\n    return [Metric('exists', method=one, dtype='uint8')]\n")
-    cli.main([*at, "initialize", "--bounds", "[300,300,600,600]", "--crs", "EPSG:5070", "--resolution", "30", "--alignment", "AlignToCorner", "-m", "mean,median", "-a", "Z,Intensity"], spark)
+    cli.main([*at, "initialize", "--bounds", "[300,300,600,600]", "--crs", "EPSG:5070", "--resolution", "30", "--alignment", "AlignToCorner", "-m", f"mean,median,{tmp_path}/own.py", "-a", "Z,Intensity"], spark)
     assert cli.main([*at, "shatter", f"file://{tmp_path}/points", "--date", "2020-01-01"], spark) == 90_000
     assert cli.main([*at, "scan", f"file://{tmp_path}/points"], spark)["tile_info"]["recommended"] == 100
     found = cli.main([*at, "info", "--history", "--dates", "2019-01-01", "2021-01-01"], spark)["history"]
     assert len(found) == 1 and found[0]["finished"]
     assert len(cli.main([*at, "extract", "-o", f"file://{tmp_path}/out", "-m", "median"], spark)) == 2
+    cells = Storage.from_db(spark, at[1]).read()
+    assert cells.filter("m_Z_exists = 1 and m_Intensity_exists = 1 and count = 900").count() == cells.count() == 100
     assert cli.main([*at, "delete", "--id", found[0]["name"]], spark)["finished"] is False
     assert cli.main([*at, "restart", "--id", found[0]["name"]], spark) == 90_000
     assert cli.main([*at, "resume", "--id", found[0]["name"]], spark) == 90_000

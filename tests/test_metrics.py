@@ -153,9 +153,9 @@ def test_user_metrics(spark):
 
 
 def test_json_round_trip():
-    for m in metrics.get_grid_metrics().values():
+    for m in metrics.get_grid_metrics("HeightAboveGround", 1, 4).values():
         again = Metric.from_string(m.to_string())
-        assert again == m and again.build is not None
+        assert again == m and again.build is not None and again.preset == ("HeightAboveGround", 1.0, 4.0, False)
     u = Metric("spread", method=spread, nan_policy="raise")
     assert Metric.from_string(u.to_string()) == u and Metric.from_string(u.to_string()).nan_policy == "raise"
     assert Attribute.from_dict(Attribute("Z", "float64").to_json()) == Attribute("Z", "float64")
@@ -170,3 +170,18 @@ def test_validation_and_names(tmp_path):
     assert len(metrics.parse_metrics("grid_metrics_Z_1_2")) == 74 and len(metrics.parse_metrics("all")) == 39
     (tmp_path / "own.py").write_text("from stratagrid.operators.metrics import Metric\ndef metrics():\n    return [Metric('exists', method=lambda x: 1, dtype='uint8')]\n")
     assert metrics.parse_metrics(str(tmp_path / "own.py"))[0].name == "exists"
+
+
+def test_other_preset_survives_storing(spark):
+    points = spark.createDataFrame(cloud(6), POINTS).withColumnRenamed("Z", "HeightAboveGround")
+    names = ["HeightAboveGround", "ReturnNumber"]
+    own = list(metrics.get_grid_metrics("HeightAboveGround", 1, 4).values())
+    again = [Metric.from_string(m.to_string()) for m in own]
+    a, b = (sorted(map(repr, cell_metrics(points, x, names).collect())) for x in (own, again))
+    assert a == b
+
+
+def test_one_shuffle(spark):
+    points = spark.createDataFrame(cloud(7), POINTS)
+    plan = cell_metrics(points, list(metrics.get_grid_metrics().values()), NAMES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Python" not in plan
