@@ -13,7 +13,7 @@ from . import raster
 from .config import ExtractConfig, ShatterConfig, StorageConfig
 from .grid import Bounds, Extents, Rect
 from .operators import relational, tiling
-from .plans.fused import cell_metrics
+from .plans.fused import cell_metrics, outputs
 from .sources.points import PointSource
 from .sources.store import Storage
 
@@ -118,6 +118,9 @@ def extract(spark: SparkSession, config: ExtractConfig) -> list[str]:
                 at = f"{config.out_dir.rstrip('/')}/{name}" + (f"_{k}" if len(parts) > 1 else "")
                 raster.write(storage.files, at, array, box, raster.header(box, part, c.resolution, empty[name], c.crs, name))
                 out.append(f"{at}.asc")
+        kinds = {m.entry_name(a): m.dtype for m, a in outputs(c.metrics, c.attribute_names)}
+        about = raster.gdal_metadata(names, kinds, extents.rect, extents.bounds, c.resolution, c.crs, empty)
+        storage.files.write(f"{config.out_dir.rstrip('/')}/bands.aux.xml", about)
     finally:
         cells.unpersist()
     return out

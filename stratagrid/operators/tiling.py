@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..grid import Extents
+from ..grid import Extents, Rect
 from ..plans.cut import cut
 from .relational import assign_cells, without_outliers
 
@@ -64,3 +64,23 @@ def summary(sizes: DataFrame) -> DataFrame:
     out = total.crossJoin(F.broadcast(kept)).crossJoin(F.broadcast(alone))  # one row each
     pick: list[Column] = [F.when(F.col("num_tiles") > 1, F.coalesce(k, a)).otherwise(F.col(a)).alias(k) for k, a in (("mean", "_a"), ("std_dev", "_b"), ("median", "_c"))]
     return out.select("num_cells", "num_tiles", *pick).withColumn("recommended", F.col("median"))
+
+
+def chunk(points: DataFrame, extents: Extents, point_count: int = 600_000) -> list[Extents]:
+    """Work units of at most point_count points, split as far as cells allow; empty ones are left out. Units,
+    not points, reach the driver."""
+    rows = leaves(points, extents, point_count, 0, 64, exhaustive=True).select(*_BOX).orderBy(*_BOX).collect()
+    return [Extents(extents.box_of(Rect(*r)), extents.resolution, extents.alignment, extents.root) for r in rows]
+
+
+def assign_workers(units: DataFrame, workers: int, size: str = "points") -> DataFrame:
+    """units with a worker: sorted by size, largest first, and dealt forth and back, so that loads come near
+    each other without a running total on one machine. Units are tiles, not points."""
+    order = Window.orderBy(F.col(size).desc(), *_BOX)
+    turn = F.pmod(F.row_number().over(order) - 1, F.lit(2 * workers))
+    return units.withColumn("worker", F.when(turn < workers, turn).otherwise(2 * workers - 1 - turn).cast("int"))
+
+
+def union_box(units: DataFrame) -> DataFrame:
+    """One row: the index range around all units."""
+    return units.agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))

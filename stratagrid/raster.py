@@ -49,3 +49,20 @@ def write(files: Files, path: str, array: np.ndarray, box: Bounds, about: dict)
     np.savetxt(text, array, fmt="%.9g")
     files.write(f"{path}.asc", text.getvalue())
     files.write(f"{path}.json", json.dumps(about))
+
+
+def gdal_metadata(names: Sequence[str], dtypes: Mapping[str, str], rect: Rect, box: Bounds, resolution: float, crs: str, nodata: Mapping[str, object]) -> str:
+    """A sidecar that describes the bands by place, in the XML that raster tools read."""
+    import xml.etree.ElementTree as ET
+
+    kinds = {"float32": "Float32", "float64": "Float64", "int8": "Int16", "int16": "Int16", "int32": "Int32", "int64": "Float64", "uint8": "Byte", "uint16": "UInt16", "uint32": "UInt32"}
+    top = ET.Element("PAMDataset", rasterXSize=str(rect.x2 - rect.x1), rasterYSize=str(rect.y2 - rect.y1))
+    if crs:
+        ET.SubElement(top, "SRS").text = crs
+    ET.SubElement(top, "GeoTransform").text = ", ".join(str(v) for v in (box.minx, resolution, 0.0, box.maxy, 0.0, -resolution))
+    for k, name in enumerate(names, 1):
+        band = ET.SubElement(top, "PAMRasterBand", band=str(k), dataType=kinds.get(dtypes[name], "Float64"))
+        ET.SubElement(band, "Description").text = name
+        if nodata[name] is not None:
+            ET.SubElement(band, "NoDataValue").text = str(nodata[name])
+    return ET.tostring(top, encoding="unicode")

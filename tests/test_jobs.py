@@ -96,6 +96,7 @@ def test_extract(spark, setting):
     assert grid.shape == (about["height"], about["width"]) and about["geotransform"] == [root.minx, 30, 0, root.maxy, 0, -30]
     assert (grid[:, -1] == [np.ceil(root.maxy / 30) - y - 1 for y in range(len(grid))]).all()
     assert grid[-1, 0] == -9999 and grid[-2, 0] != -9999
+    assert "m_Z_mean" in (tmp / "out/bands.aux.xml").read_text()
     part = jobs.extract(spark, ExtractConfig(storage.path, f"file://{tmp}/part", ["Z"], ["max"], Bounds(450, 450, 600, 600)))
     assert len(part) == 1 and np.loadtxt(f"{tmp}/part/m_Z_max.asc", skiprows=6).shape[0] in (5, 6)
 
@@ -106,6 +107,30 @@ def test_scan(spark, setting):
     assert jobs.scan(spark, storage.path, points, depth=5)["tile_info"]["recommended"] == (100 if alignment == "AlignToCorner" else 121)
 
 
+def test_chunks_and_workers(spark, setting):
+    from stratagrid.operators import tiling
+
+    _, storage, points, _ = setting
+    whole = storage.config.extents
+    units = tiling.chunk(points.filter("X < 450"), whole, 3000)
+    seen = [i for u in units for i in u.get_indices()]
+    assert len(seen) == len(set(seen))
+    found = tiling.leaves(points, whole, 10, 10, 2)
+    loads = [r["sum(points)"] for r in tiling.assign_workers(found, 4).groupBy("worker").sum("points").collect()]
+    assert len(loads) == 4 and max(loads) < 1.5 * min(loads)
+    r = whole.rect
+    assert tuple(tiling.union_box(found).first()) == (r.x1, r.x2, r.y1, r.y2)
+
+
+def test_session_settings_and_log(tmp_path):
+    from stratagrid.sources.session import logger, object_store_options
+
+    found = object_store_options("us-west-2", anonymous=True, retries=3)
+    assert found["fs.s3a.endpoint.region"] == "us-west-2" and found["fs.s3a.retry.limit"] == "3" and "Anonymous" in found["fs.s3a.aws.credentials.provider"]
+    logger(file=str(tmp_path / "log"), as_json=True).warning("seen")
+    assert json.loads((tmp_path / "log").read_text())["message"] == "seen"
+
+
 def test_slots_config_and_publishing(spark, setting):
     _, storage, points, tmp = setting
     assert [storage.reserve_time_slot() for _ in range(5)] == [1, 2, 3, 4, 5]
