@@ -31,9 +31,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts:
     seen = materialise(rows.select("doc_id", "row_no", "digest"), "digests")
     by_id = seen.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
     repeated = by_id.groupBy("digest").agg(F.sum("n").alias("n"), (F.max("n") > 1).alias("tied")).filter("n > 1").drop("n")
+    # The few digests travel once per salt, so that the many rows of one are dealt out over all salts.
+    salted = repeated.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
     local = (
-        rows.join(repeated, "digest")
-        .withColumn("salt", F.pmod("row_no", F.lit(salts)))
+        rows.withColumn("salt", F.pmod("row_no", F.lit(salts)).cast("int"))
+        .join(salted, ["digest", "salt"])
         .groupBy("digest", "salt", "content")
         .agg(F.max(F.struct("doc_id", "row_no")).alias("best"), F.count("*").alias("n"), F.max("tied").alias("tied"))
     )
