@@ -1,10 +1,15 @@
 """Suffixes sorted by induction, with common-prefix values carried along, for shards larger than memory.
 
-S*-suffixes (each the start of a rise) are ordered first; from them the order of all other suffixes is induced:
-a suffix that has just come up in sorted order makes known its left neighbour, which is put into a priority
-queue under its first character. Tuples (position, common prefix with the one before it in its bucket) wait
-there until their bucket's turn; queues beyond the memory given go to disk. A neighbour's common prefix is one
-more than the least value that came up since the last suffix with the same first character.
+S*-suffixes (each the start of a rise) are ordered first: their substrings get names by rank, and the string of
+names is sorted by the same means, recursively, with its common prefixes translated back. From them the order of
+all other suffixes is induced: a suffix that has just come up in sorted order makes known its left neighbour,
+which is put into a priority queue under its first character. Tuples (position, common prefix with the one
+before it in its bucket) wait there until their bucket's turn; queues beyond the memory given go to disk, and so
+do arrays over all positions. A neighbour's common prefix is one more than the least value that came up since
+the last suffix with the same first character.
+
+Names of a string with more than MOST_NAMES different ones are so near to being ranks that 1, 2, 4, ... of them
+at once are compared instead of going down another level.
 
 Orders and values are right up to `depth` characters: suffixes that agree so far count as equal.
 """
@@ -17,6 +22,18 @@ import tempfile
 import numpy as np
 
 
+MOST_NAMES, BLOCK = 1 << 12, 1 << 20
+
+
+def array(n: int, kind, memory: int) -> np.ndarray:
+    """Zeros; in a file that is gone when the array is, if there are more than so many."""
+    if n <= memory:
+        return np.zeros(n, dtype=kind)
+    with tempfile.TemporaryFile() as file:
+        file.truncate(n * np.dtype(kind).itemsize)
+        return np.memmap(file, dtype=kind, mode="r+", shape=(n,))
+
+
 class DiskQueue:
     """A priority queue of (position, value) tuples by character, first in first out within one. Arrays are
     kept in memory up to a number of tuples, then the longest buckets' go to a file."""
@@ -102,12 +119,23 @@ class Shard:
         self.text, self.depth, self.memory = text, depth, memory
         self.characters = int(text.max()) + 1
         n = len(text)
-        step = np.sign(np.diff(text.astype(np.int32))).astype(np.int8)
-        at = np.where(step != 0, np.arange(n - 1), n)
-        #: The last position of the run of equal characters that each position is in.
-        self.run_end = np.append(np.minimum.accumulate(at[::-1])[::-1], n - 1)
-        self.rising = np.append(step[self.run_end[:-1]] > 0, True)
-        self.marked = np.zeros(n, dtype=bool)
+        #: The last position of the run of equal characters that each position is in, and whether the string
+        #: rises after that.
+        self.run_end, self.rising, self.marked = (array(n, k, memory) for k in (np.int32, bool, bool))
+        following, up = n - 1, True
+        for a in range((n - 1) // BLOCK * BLOCK, -1, -BLOCK):
+            b = min(a + BLOCK, n - 1)
+            if a < b:
+                step = np.diff(text[a : b + 1].astype(np.int32))
+                at = np.where(step != 0, np.arange(a, b), n)
+                at = np.minimum.accumulate(at[::-1])[::-1]
+                open_ = at == n
+                self.rising[a:b] = np.where(open_, up, step[np.where(open_, 0, at - a)] > 0)
+                self.run_end[a:b] = np.where(open_, following, at)
+            if b == n - 1 and a <= n - 1:
+                self.run_end[n - 1], self.rising[n - 1] = n - 1, True
+            if a < b:
+                following, up = int(self.run_end[a]), bool(self.rising[a])
 
     def s_star(self) -> np.ndarray:
         return np.flatnonzero(self.rising[1:] & ~self.rising[:-1]) + 1
@@ -117,6 +145,8 @@ class Shard:
         by rank, then names of 1, 2, 4, ... substrings at once."""
         star = self.s_star()
         m, text = len(star), self.text
+        if not m:
+            return star, np.zeros(0, np.int16)
         ends = np.append(star[1:], star[-1])
         kind = text.astype(np.int64) * 2 + self.rising
         rank = _refine(np.zeros(m, dtype=np.int64), kind[star])
@@ -128,6 +158,9 @@ class Shard:
                 break
             rank[active] = self._refined(rank, active, kind[star[active] + offset])
             offset += 1
+        names = np.unique(rank, return_inverse=True)[1].astype(np.int32)
+        if names.max(initial=0) + 1 < min(m, MOST_NAMES):
+            return self._by_recursion(star, names)
         levels = [rank.copy()]
         active, reach, covered = np.arange(m), 1, 2
         while covered < 2 * self.depth:
@@ -142,12 +175,26 @@ class Shard:
         order = np.argsort(rank, kind="stable")
         return star[order], self._common(star, order, levels)
 
+    def _by_recursion(self, star: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes of the string of names, and as many characters as their common names have. A name has
+        two characters at least, so half the depth in names is enough."""
+        m = len(star)
+        below = array(m + 1, np.int32, self.memory)
+        below[:m] = names + 1
+        order, value = Shard(below, self.depth // 2 + 1, self.memory).sort()
+        order, value = order[1:], value[1:].astype(np.int64)  # the first is the end mark
+        a, b = order[:-1], order[1:]
+        value = value[1:]
+        last = np.append(star, len(self.text))
+        shared = np.minimum(last[np.minimum(a + value, m)] - star[a], last[np.minimum(b + value, m)] - star[b])
+        return star[order], self._longer(star[a], star[b], np.minimum(shared, self.depth))
+
     @staticmethod
     def _refined(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
         return _refine(rank[active], key)
 
     def _common(self, star: np.ndarray, order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-        m, n, text, depth = len(star), len(self.text), self.text, self.depth
+        m, depth = len(star), self.depth
         a, b = order[:-1].copy(), order[1:].copy()
         a0, b0 = star[a], star[b]
         for k in range(len(levels) - 1, -1, -1):
@@ -155,30 +202,44 @@ class Shard:
             same = inside & (levels[k][np.minimum(a, m - 1)] == levels[k][np.minimum(b, m - 1)]) & (star[a] - a0 < depth)
             a[same] += 1 << k
             b[same] += 1 << k
-        value = np.minimum(star[a] - a0, depth)
+        return self._longer(a0, b0, np.minimum(star[a] - a0, depth))
+
+    def _longer(self, x0: np.ndarray, y0: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Common prefixes of neighbours, of which so much is known, carried on character by character."""
+        n, text, depth = len(self.text), self.text, self.depth
+        value = value.copy()
         going = np.flatnonzero(value < depth)
         while len(going):
-            x, y = a0[going] + value[going], b0[going] + value[going]
+            x, y = x0[going] + value[going], y0[going] + value[going]
             inside = (x < n) & (y < n)
-            same = inside & (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)])
-            going = going[same]
+            going = going[inside & (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)])]
             value[going] += 1
             going = going[value[going] < depth]
         return np.append(0, value).astype(np.int16)
 
     def mark_repeats(self) -> np.ndarray:
         """Which suffixes agree with another for `depth` characters."""
+        self._run(None)
+        return self.marked
+
+    def sort(self) -> tuple[np.ndarray, np.ndarray]:
+        """All suffixes in order, and the common prefix of each with the one before it."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        self._run(found)
+        found.reverse()
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _run(self, found: list | None) -> None:
         stars, values = self.order_s_star()
         queue, done = DiskQueue(self.characters, self.memory), DiskQueue(self.characters, self.memory)
         try:
-            self._pass(queue, stars, values, done)
-            self._pass(queue, None, None, done)
+            self._pass(queue, stars, values, done, None)
+            self._pass(queue, None, None, done, found)
         finally:
             queue.close()
             done.close()
-        return self.marked
 
-    def _pass(self, queue: DiskQueue, stars, values, done: DiskQueue) -> None:
+    def _pass(self, queue: DiskQueue, stars, values, done: DiskQueue, found: list | None) -> None:
         """Falling suffixes upwards from the S*, then, with stars None, rising ones downwards from the falling."""
         text, depth, up = self.text, self.depth, stars is not None
         since = np.full(self.characters, depth, dtype=np.int16)
@@ -223,6 +284,8 @@ class Shard:
                 position, value = stars[edges[c] : edges[c + 1]], values[edges[c] : edges[c + 1]].copy()
             else:
                 position, value = done.pop(c)
+                if found is not None:
+                    self._keep(found, c, parts, position, value)
                 # Downwards, a suffix's value is what it shares with the next one up.
                 position, value = position[::-1], np.append(np.int16(0), value[:0:-1])
             if len(position):
@@ -232,6 +295,17 @@ class Shard:
                     self.marked[[parts[-1][0][-1], position[0]]] = True
                 come_up(position, value)
 
+    def _keep(self, found: list, c: int, parts: list, falling: np.ndarray, values: np.ndarray) -> None:
+        """A bucket in order: falling suffixes, then the rising ones, which came up in the other direction."""
+        if c == 0:
+            found.append((np.array([len(self.text) - 1], dtype=np.int32), np.zeros(1, np.int16)))
+            return
+        rising, shared = (np.concatenate(x)[::-1] for x in zip(*parts)) if parts else (falling[:0], values[:0])
+        position, value = np.concatenate([falling, rising]), np.concatenate([values, shared[-1:] * 0, shared[:-1]])
+        if len(falling) and len(rising):
+            value[len(falling)] = self._border(rising[0], falling[-1])
+        found.append((position, value.astype(np.int16)))
+
     def _border(self, a: int, b: int) -> int:
         """What a rising and a falling suffix share: the shorter run of their first character."""
         return min(int(self.run_end[a] - a) + 1, int(self.run_end[b] - b) + 1, self.depth)

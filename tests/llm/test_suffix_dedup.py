@@ -34,6 +34,28 @@ def test_sorter_against_brute_force(memory):
         assert [m.tolist() for m in got] == [[count[s[i : i + depth]] > 1 for i in range(len(s) - depth + 1)] for s in strings]
 
 
+@pytest.mark.parametrize("names", [1, 4, 1 << 30])
+def test_order_and_common_prefixes(monkeypatch, names):
+    """With and without recursion, in memory and from disk."""
+    import numpy as np
+
+    monkeypatch.setattr(induced, "MOST_NAMES", names)
+    monkeypatch.setattr(induced, "BLOCK", 7)
+    r = random.Random(names)
+    for _ in range(300):
+        letters = r.choice([2, 3, 20])
+        body = [r.randint(1, letters) for _ in range(r.randint(0, 80))]
+        if r.random() < 0.5:
+            body = body * r.randint(1, 4)
+        text = np.array([*body, 0], dtype=np.int16)
+        order, value = induced.Shard(text, 1000, r.choice([5, 1 << 20])).sort()
+        suffixes = sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        assert order.tolist() == suffixes
+        for a, b, v in zip(suffixes, suffixes[1:], value.tolist()[1:]):
+            x, y = text[a:].tolist(), text[b:].tolist()
+            assert v == next(k for k in range(len(x) + 1) if k == len(x) or k == len(y) or x[k] != y[k])
+
+
 def passages(seed, n=150):
     r = random.Random(seed)
     word = lambda: r.choice(["the", "of", "grid", "naïve", "日本", "cell"]) + str(r.randint(0, 50))
