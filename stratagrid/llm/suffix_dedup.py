@@ -29,6 +29,8 @@ from .shared import materialise, text_or_empty
 LENGTH, GRAM = 400, 128
 #: Windows worked out at a time, bytes of a shard after which a new one is begun, tuples in a shard's memory.
 CHUNK, SHARD_BYTES, TUPLES = 1 << 20, 3 << 20, 1 << 22
+#: Distinct segments of one hash that a shard takes; the windows of hashes with more are compared one by one.
+SHARD_SEGMENTS = 100_000
 _ODD = 0x9E3779B97F4A7C15
 _SEGMENT = np.dtype([("h", "<i8"), ("d", "<i8"), ("s", "<i4"), ("e", "<i4"), ("own", "<i4")])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -105,7 +107,24 @@ def _pairs(runs: list[tuple[int, int]]) -> list[dict]:
     return [{"a": a, "b": b} for a, b in runs]
 
 
-def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _by_window(contents: DataFrame, length: int) -> DataFrame:
+    """h, d, runs of windows that occur twice or more among segments, found by counting digests of windows."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, d, n, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                starts = range(len(data) - length + 1)
+                digests = [xxhash.xxh3_128_digest(data[i : i + length]) for i in starts]
+                k = len(digests)
+                yield pa.RecordBatch.from_arrays([pa.array([h] * k, pa.int64()), pa.array([d] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], names=["h", "d", "n", "i", "window"])
+
+    each = contents.select("h", "d", "n", "data").mapInArrow(windows, "h long, d long, n long, i int, window binary")
+    again = each.groupBy("window").agg(F.sum("n").alias("times")).filter("times > 1").select("window")
+    found = each.join(again, "window", "left_semi").groupBy("h", "d").agg(F.collect_set("i").alias("at"))
+    return found.select("h", "d", F.transform("at", lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
+
+
+def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int | None = None, shard_bytes: int = SHARD_BYTES, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """key, runs: for each text that has any, the runs of starts of windows that repeat."""
     gram = gram or (GRAM if length > 2 * GRAM else max(1, length // 2))
     whole = text_or_empty(text)
@@ -170,7 +189,15 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
         if held:
             yield shard(held)
 
+    crowded = mixed.groupBy("h").count().filter(F.col("count") > shard_segments).select("h")
+    crowded = materialise(crowded, "crowded")
+    by_window = None
+    if not crowded.isEmpty():
+        contents = materialise(contents, "contents")
+        by_window = _by_window(contents.join(crowded, "h", "left_semi").dropDuplicates(["h", "d"]), length)
+        contents = contents.join(crowded, "h", "left_anti")
     sorted_ = contents.repartition("h").sortWithinPartitions("h", "d").mapInArrow(sort, f"h long, d long, runs {RUNS}")
+    sorted_ = sorted_ if by_window is None else sorted_.unionByName(by_window)
     sorted_ = materialise(sorted_.filter(F.size("runs") > 0), "sorted")
     inside = shared.filter("mixed").join(sorted_, ["h", "d"]).select("key", F.transform("runs", lambda r: F.struct((r["a"] + F.col("s")).alias("a"), (r["b"] + F.col("s")).alias("b"))).alias("runs"))
     same = shared.filter("not mixed").select("key", F.array(F.struct(F.col("s").alias("a"), F.col("e").alias("b"))).alias("runs"))
@@ -189,11 +216,11 @@ def covered(runs: list[dict], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int | None = None, shard_bytes: int = SHARD_BYTES, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """docs with removed (spans of bytes, ends exclusive) and kept (the remaining bytes); both replace columns
     of these names."""
     cols = [c for c in docs.columns if c.lower() not in ("removed", "kept")]
-    runs = repeated_runs(docs, text, length, gram, shard_bytes).withColumnRenamed("key", "__key").withColumnRenamed("runs", "__runs")
+    runs = repeated_runs(docs, text, length, gram, shard_bytes, shard_segments).withColumnRenamed("key", "__key").withColumnRenamed("runs", "__runs")
     whole = docs.select(*cols, text_or_empty(text).alias("__text")).withColumn("__own", _key(F.col("__text")))
     rows = whole.join(runs, F.col("__own") == F.col("__key"), "left").select(*cols, "__text", "__runs")
     schema = T.StructType([*docs.select(*cols).schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))), T.StructField("kept", T.BinaryType())])

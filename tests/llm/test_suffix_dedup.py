@@ -83,11 +83,11 @@ def test_report_against_brute_force(make_docs, odd_texts):
         assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == w, i
 
 
-@pytest.mark.parametrize(("length", "gram", "shard"), [(60, 20, 200), (30, 29, 1 << 20), (8, 1, 50)])
-def test_other_lengths_and_small_shards(make_docs, length, gram, shard):
+@pytest.mark.parametrize(("length", "gram", "shard", "most"), [(60, 20, 200, 10**6), (60, 20, 10**6, 3), (30, 29, 10**6, 0), (8, 1, 50, 10**6)])
+def test_other_lengths_and_small_shards(make_docs, length, gram, shard, most):
     texts = passages(2, 40)
     docs = make_docs(list(enumerate(texts))).select("doc_id", "text")
-    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, length=length, gram=gram, shard_bytes=shard).collect()}
+    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, length=length, gram=gram, shard_bytes=shard, shard_segments=most).collect()}
     for i, w in enumerate(brute(texts, length)):
         assert (sum(s.b - s.a for s in rows[i].removed), len(rows[i].removed), hashlib.sha256(bytes(rows[i].kept)).hexdigest()) == w[1:]
 
