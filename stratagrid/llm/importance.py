@@ -4,7 +4,8 @@ Each text is a bag of lower-cased words and word pairs, hashed into BUCKETS. The
 all documents, the target model those of documents labelled good (a sample of them, bounded by MOST_TARGET and
 taken by the least hash of doc_id). A document's log weight is the log of the ratio of its probabilities under
 the two. Adding Gumbel noise, a repeatable number for each doc_id, and taking the k largest draws k documents
-without replacement in proportion to their weights; k is a share of all documents.
+without replacement in proportion to their weights. k is a given share of all documents, or else the number of
+documents that the target model doesn't hold for e^-FLOOR times less likely than the raw one does.
 
 A null or blank text has log weight 0. Repeated rows get equal numbers; those that tie with the k-th are all
 kept. A null doc_id has no label and the noise of its hash. Without target documents every log weight is 0.
@@ -26,7 +27,7 @@ from .shared import free_name, hash_unit, materialise
 
 BUCKETS, SMOOTH = 10_000, 1.0
 MOST_TARGET = 20_000
-SHARE, SALT, TEMPERATURE = 0.85, 8, 1.0
+FLOOR, SALT, TEMPERATURE = -3.0, 8, 1.0
 BINS = 2048
 
 
@@ -117,13 +118,14 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the text, with log_weight, gumbel_key and kept."""
     rows = weigh(docs, ratio(docs, labels, doc_id, text), text).drop(text)
     u = F.greatest(hash_unit(F.col(doc_id), SALT), F.lit(1e-15))
     rows = rows.withColumn("gumbel_key", F.col("log_weight") / TEMPERATURE - F.log(-F.log(u)))
     rows = materialise(rows, "weights")
-    least = kth_largest(rows, "gumbel_key", math.ceil(share * rows.count()))
+    n, likely = rows.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= FLOOR)).first()
+    least = kth_largest(rows, "gumbel_key", likely if share is None else math.ceil(share * n))
     return rows.withColumn("kept", F.col("gumbel_key") >= F.lit(math.inf if least is None else least))
 
 

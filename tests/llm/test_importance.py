@@ -27,8 +27,9 @@ def test_against_brute_force(spark, make_docs):
     for i, bag in enumerate(bags):
         assert rows[i].log_weight == pytest.approx(bag @ logs)
     keys = sorted((r.gumbel_key for r in rows.values()), reverse=True)
-    k = -(-len(texts) * 85 // 100)
+    k = sum(r.log_weight >= importance.FLOOR for r in rows.values())
     assert {i for i, r in rows.items() if r.kept} == {i for i, r in rows.items() if r.gumbel_key >= keys[k - 1]}
+    assert importance.resample(docs, labels, share=0.25).filter("kept").count() == len(texts) // 4
     held = [i for i in range(0, len(texts), 2)]
     assert sum(rows[i].kept == bool(quality[i]) for i in held) / len(held) > 0.95
 
