@@ -64,11 +64,18 @@ def counts(docs: DataFrame, text: str = "text", n: int = BUCKETS) -> DataFrame:
     return docs.select(text).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def _logs(rows: list, n: int) -> np.ndarray:
-    found = np.full(n, SMOOTH)
+def _vector(rows: list, n: int) -> np.ndarray:
+    found = np.zeros(n)
     for bucket, count in rows:
-        found[bucket] += count
-    return np.log(found / found.sum())
+        found[bucket] = count
+    return found
+
+
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Of smoothed models: the raw one by SMOOTH counts for each bucket, the target one by as many counts as
+    there are buckets, shared out as in the raw one, so that a small target doesn't count against what it lacks."""
+    p = (raw + SMOOTH) / (raw + SMOOTH).sum()
+    return np.log((target + len(raw) * p) / (target.sum() + len(raw))) - np.log(p)
 
 
 def ratio(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", n: int = BUCKETS) -> np.ndarray:
@@ -80,7 +87,7 @@ def ratio(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     wanted = counts(target, text, n).collect()
     if not wanted:
         return np.zeros(n)
-    return _logs(wanted, n) - _logs(counts(docs, text, n).collect(), n)
+    return log_ratio(_vector(wanted, n), _vector(counts(docs, text, n).collect(), n))
 
 
 def weigh(docs: DataFrame, logs: np.ndarray, text: str = "text", into: str = "log_weight") -> DataFrame:

@@ -22,8 +22,9 @@ def test_against_brute_force(spark, make_docs):
     hashes = importance._Hashes()
     bags = [np.bincount(importance.buckets(t.encode(), hashes), minlength=importance.BUCKETS) for t in texts]
     raw = np.sum(bags, axis=0) + 1.0
-    target = np.sum([b for i, b in enumerate(bags) if i % 2 and quality[i]], axis=0) + 1.0
-    logs = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw = raw / raw.sum()
+    target = np.sum([b for i, b in enumerate(bags) if i % 2 and quality[i]], axis=0) + 10_000 * raw
+    logs = np.log(target / target.sum()) - np.log(raw)
     for i, bag in enumerate(bags):
         assert rows[i].log_weight == pytest.approx(bag @ logs)
     keys = sorted((r.gumbel_key for r in rows.values()), reverse=True)
