@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ShatterConfig, StorageConfig
+from ..functions.cells import boxes_meet, range_encloses, ranges_overlap
 from ..grid import Bounds
 from ..operators import relational
 from ..operators.metrics import DTYPES
@@ -133,6 +134,19 @@ class Storage:
             out.append({k: found[k] for k in ("name", "filename", "date", "bounds", "point_count", "finished", "time_slot")} if concise else found)
         return out
 
+    def history_frame(self) -> DataFrame:
+        """The processes as a table, one row each."""
+        kinds = "name string, filename string, first timestamp, last timestamp, minx double, miny double, maxx double, maxy double, point_count long, finished boolean, time_slot int, start_timestamp double, end_timestamp double"
+        rows = [(p.name, p.filename, *p.date, *map(float, (p.bounds or self.config.root).get()), p.point_count, p.finished, p.time_slot, p.start_timestamp, p.end_timestamp) for p in self.processes()]
+        return self.spark.createDataFrame(rows, kinds)
+
+    def runs_at(self, dates, bounds: Bounds | None = None, encompass: bool = False) -> DataFrame:
+        """Runs whose dates overlap, or with encompass enclose, the given ones, and whose box meets bounds."""
+        test = range_encloses if encompass else ranges_overlap
+        rows = self.history_frame()
+        rows = rows.filter(test(F.col("first"), F.col("last"), F.lit(dates[0]), F.lit(dates[1])))
+        return rows.filter(boxes_meet(bounds, *[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])) if bounds else rows
+
     # Cells
 
     def schema_ddl(self) -> str:

@@ -74,6 +74,10 @@ def test_later_runs_win_and_time_travel(spark, setting):
     assert [p["name"] for p in jobs.info(spark, storage.path, dates=(datetime(2012, 2, 1), datetime(2012, 2, 2)))["history"]] == ["two"]
     assert [p["name"] for p in jobs.info(spark, storage.path, name="one", concise=True)["history"]] == ["one"]
     assert jobs.info(spark, storage.path, bounds=Bounds(0, 0, 10, 10))["history"] == []
+    spring = (datetime(2012, 2, 1), datetime(2012, 12, 1))
+    assert [r.name for r in storage.runs_at(spring, Bounds(300, 300, 330, 330)).collect()] == ["two"]
+    assert storage.runs_at(spring, encompass=True).count() == 0 and storage.runs_at(spring, Bounds(0, 0, 10, 10)).count() == 0
+    assert jobs.as_of(spark, storage.path, None, datetime.fromtimestamp(t / 1000)).filter("m_Z_mean > 100").count() == 0
 
 
 def test_resume_skips_finished_cells(spark, setting):
