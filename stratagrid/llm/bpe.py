@@ -219,16 +219,13 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, find, now = merges(path), splitter(pattern).findall, None
         ids_of: dict[str, bytes] = {}
-        bytes_of: dict[str, bytes] = {}
         for batch in batches:
             for block, piece, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = zstandard.ZstdDecompressor().decompress(data)
                 if block != now:
-                    now, ids_of, bytes_of = block, {}, {}
+                    now, ids_of = block, {}
                 if not piece:
-                    for word, ids in _split_pairs(data):
-                        ids_of[word] = ids
-                        bytes_of[word] = own.decode(memoryview(ids).cast("I"))
+                    ids_of.update(_split_pairs(data))
                     continue
                 with pa.ipc.open_stream(data) as reader:
                     for rows in reader:
@@ -240,9 +237,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text
                             except KeyError:  # the block was read in another order when it was exploded
                                 for w in {w for w in words if w not in ids_of}:
                                     ids_of[w] = _ids_bytes(own.encode(w.encode("utf-8")))
-                                    bytes_of[w] = own.decode(memoryview(ids_of[w]).cast("I"))
                                 ids.append(b"".join([ids_of[w] for w in words]))
-                            back.append(b"".join([bytes_of[w] for w in words]))
+                            back.append(own.decode(memoryview(ids[-1]).cast("I")))
                         yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=[f.name for f in row_type.fields])
 
     parts = "block long, piece int, data binary"
