@@ -18,14 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session has none."""
+    """This application's folder in the one that driver and executors share; a local one is taken only where
+    the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(spark, "_llm_shared_dir", None)
         if not found:
             found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
             spark._llm_shared_dir = found
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables and archives that this application has put into the shared folder. Results that still
+    read them can't be used any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
