@@ -1,7 +1,8 @@
 """SimHash near-duplicates: exact comparison of fingerprints in tiles, then connected components.
 
-Fingerprints that differ in at most `radius` bits agree on one of radius + 1 blocks of bits, so each distinct
-fingerprint goes to one bucket per block and no link is lost. A bucket is a square of tiles of bounded size;
+Fingerprints that differ in at most `radius` bits agree on one of radius + 1 blocks of bits (on k of radius + k,
+for tables so large that one block doesn't part them), so each distinct fingerprint goes to one bucket per choice
+of blocks and no link is lost. A bucket is a square of tiles of bounded size;
 tiles are sorted by population count, and parts whose counts differ beyond the radius are skipped, the rest
 compared by exclusive-or and bit count. A tile passes on one link per fingerprint, not all pairs. Equal
 fingerprints travel once, however many documents have them.
@@ -13,7 +14,7 @@ component unless all its members are null. Repeated rows each come back. An empt
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -96,23 +97,37 @@ def links_in_tile(left: np.ndarray, right: np.ndarray | None, radius: int) -> tu
     return whole[moved], whole[label[moved]]
 
 
-def block_keys(fp: Column, radius: int = RADIUS) -> Column:
-    """One bucket for each of radius + 1 blocks of bits: (block, its bits) as one number."""
-    n = radius + 1
+def agreeing(fingerprints: int, radius: int = RADIUS, tile: int = TILE) -> int:
+    """How many blocks a bucket takes, so that buckets of evenly spread fingerprints stay within a tile."""
+    k = 1
+    while fingerprints >> (64 * k // (radius + k)) > tile and k < 8:
+        k += 1
+    return k
+
+
+def block_keys(fp: Column, radius: int = RADIUS, agree: int = 1) -> Column:
+    """The buckets of a fingerprint: of radius + agree blocks of bits, each choice of agree blocks and their bits,
+    as one number. Fingerprints within the radius have all blocks but radius of them in common, if not more."""
+    n = radius + agree
     edges = [round(64 * k / n) for k in range(n + 1)]
     keys = []
-    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-        bits = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-        keys.append((bits + (k << 32)).cast("long"))
+    for number, chosen in enumerate(combinations(range(n), agree)):
+        bits, width = F.lit(0).cast("long"), 0
+        for k in chosen:
+            size = edges[k + 1] - edges[k]
+            part = F.shiftrightunsigned(fp, edges[k]).bitwiseAND(F.lit((1 << size) - 1))
+            bits, width = bits + F.shiftleft(part, width), width + size
+        keys.append((bits + F.lit(number << 48)).cast("long"))
     return F.array(*keys)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, agree: int | None = None) -> DataFrame:
     """(u, v) that connect the distinct fingerprints of fps as all pairs within the radius would."""
-    rows = materialise(fps.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("bucket")), "buckets")
-    # At most (radius + 1) * 2^13 rows with the default radius, whatever the input.
+    agree = agree or agreeing(fps.count(), radius)
+    rows = materialise(fps.select("fp", F.explode(block_keys(F.col("fp"), radius, agree)).alias("bucket")), "buckets")
     hot = rows.groupBy("bucket").count().filter(F.col("count") > tile).select("bucket", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    rows = rows.join(F.broadcast(hot), "bucket", "left")
+    # With buckets of one block and the default radius, hot has at most 5 * 2^13 rows, whatever the input.
+    rows = rows.join(F.broadcast(hot) if agree == 1 and radius >= RADIUS else hot, "bucket", "left")
     mine = F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
     tiles = rows.select("bucket", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).alias("right"), "fp")
@@ -178,7 +193,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of each row; the component's id is the least doc_id in it."""
     rows = materialise(fingerprints(docs, doc_id, text, words), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes, radius))
     placed = materialise(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))

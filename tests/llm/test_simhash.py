@@ -56,8 +56,12 @@ def test_against_brute_force(make_docs, odd_texts):
     assert len(set(want.values())) < 0.8 * len(ids)
 
 
-@pytest.mark.parametrize("tile", [8, 64])
-def test_small_tiles_lose_no_link(spark, tile):
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.agreeing(n) for n in (1, 10**6, 10**9, 10**11)] == [1, 1, 2, 3]
+
+
+@pytest.mark.parametrize(("tile", "agree"), [(8, 1), (64, 1), (8, 2), (64, 3)])
+def test_small_tiles_lose_no_link(spark, tile, agree):
     r = random.Random(3)
     fps = []
     for _ in range(40):
@@ -68,7 +72,7 @@ def test_small_tiles_lose_no_link(spark, tile):
                 x ^= 1 << r.randrange(64)
     fps = sorted(set(fps))
     signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
-    roots = dict(simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), tile=tile)).collect())
+    roots = dict(simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), tile=tile, agree=agree)).collect())
     want = brute_components(signed, fps)
     assert [roots.get(x, x) for x in signed] == [want[k] for k in range(len(fps))]
 
