@@ -106,6 +106,10 @@ ORACLE_SQL = {name: _family(name) for name in FAMILIES} | {
     "raster": f"WITH {C} SELECT yi AS Y, " + ", ".join(f"max(Z) FILTER (xi = {k}) AS x{k}" for k in (3, 4, 5, 6)) + f" FROM c WHERE {IN_CELLS} GROUP BY yi",
     "outlier_trim": f"WITH {C}, n AS (SELECT xi, yi, count(*) AS n FROM c GROUP BY xi, yi), q AS (SELECT quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.75) AS b FROM n) SELECT xi, yi, n FROM n, q WHERE n > a - 0.5 * (b - a) AND n < b + 0.5 * (b - a)",
     "scan_tiles": f"WITH {C} SELECT (xi // 50 * 50)::INT AS x1, (xi // 50 * 50 + 50)::INT AS x2, (yi // 50 * 50)::INT AS y1, (yi // 50 * 50 + 50)::INT AS y2, count(*)::BIGINT AS points, 2500::BIGINT AS cells FROM c GROUP BY ALL",
+    "scan_summary": f"""WITH {C}, n AS (SELECT xi // 50 AS a, yi // 50 AS b, count(*) AS p FROM c GROUP BY ALL), e AS (SELECT ceil(2000.0::DOUBLE / (p / 2500.0::DOUBLE))::BIGINT AS k FROM n),
+      s AS (SELECT unnest(list_concat(list_transform(range(2500 // k), lambda x: k), [2500 % k])) AS cells FROM e), q AS (SELECT quantile_cont(cells, 0.25) AS a, quantile_cont(cells, 0.75) AS b FROM s),
+      t AS (SELECT cells FROM s, q WHERE cells > a - 1.5 * (b - a) AND cells < b + 1.5 * (b - a)), u AS (SELECT cells FROM t UNION ALL SELECT cells FROM s WHERE NOT EXISTS (SELECT 1 FROM t))
+      SELECT (SELECT sum(cells)::BIGINT FROM s) AS num_cells, (SELECT count(*) FROM s) AS num_tiles, round(avg(cells), 8) AS mean, round(stddev_pop(cells), 8) AS std_dev, round(median(cells), 8) AS median, round(median(cells), 8) AS recommended FROM u""",
     "unfinished_cells": f"WITH {C} SELECT xi, yi, count(*) AS n FROM c WHERE NOT (xi < 5 AND yi >= 190 AND yi < 195) AND NOT (xi >= 10 AND xi < 12 AND yi >= 180) GROUP BY xi, yi",
     "event_cells": "SELECT floor(user_id / 100)::INT AS xi, floor((ts::DATE - DATE '1970-01-01') / 7)::INT AS yi, count(*) AS count, round(min(value), 8) AS m_Z_min, round(max(value), 8) AS m_Z_max, round(median(value), 8) AS m_Z_median FROM events GROUP BY ALL",
     "user_metric": f"WITH {C} SELECT xi, yi, count(*) AS count, round(median(Z), 8) AS m_Z_median, round(max(Z) FILTER (Z > 2) - min(Z) FILTER (Z > 2), 8) AS m_Z_spread FROM c GROUP BY xi, yi",

@@ -147,7 +147,8 @@ def scan_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tiling.summary(tiling.tile_sizes(tiling.leaves(lineitem_points(spark, sf_dir), GRID, 2000, 100, 6), 2000)))
+    """Tile sizes for 2000 points each, from leaves two levels down."""
+    return rounded(tiling.summary(tiling.tile_sizes(tiling.leaves(lineitem_points(spark, sf_dir), GRID, 2000, 1, 2), 2000)))
 
 
 def unfinished_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
