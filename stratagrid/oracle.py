@@ -87,7 +87,7 @@ def _family(name: str) -> str:
     return f"WITH {WINDOWS} SELECT xi, yi, count(*) AS count, {chosen} FROM v GROUP BY xi, yi"
 
 
-RUNS = C + ", r AS (SELECT xi AS X, yi AS Y, CASE WHEN T < '1995-01-01' THEN 1 ELSE 2 END AS time_slot, count(*) AS count, max(Z) AS top, min(T::DATE) AS start_time, max(T::DATE) AS end_time FROM c GROUP BY ALL)"
+RUNS = C + ", r AS (SELECT xi AS X, yi AS Y, CASE WHEN T < '1998-05-24' OR X >= 1000 THEN 1 ELSE 2 END AS time_slot, count(*) AS count, max(Z) AS top, min(T::DATE) AS start_time, max(T::DATE) AS end_time FROM c GROUP BY ALL)"
 
 ORACLE_SQL = {name: _family(name) for name in FAMILIES} | {
     "grid_core": f"WITH {C} SELECT xi, yi, count(*) AS count, round(CASE WHEN max(abs(Z)) > 0 THEN avg(Z) END, 8) AS m_Z_mean, min(Z) AS m_Z_min, max(Z) AS m_Z_max, round(median(Z), 8) AS m_Z_median FROM c GROUP BY xi, yi",
@@ -102,7 +102,7 @@ ORACLE_SQL = {name: _family(name) for name in FAMILIES} | {
     "dense_cells": f"WITH {C}, g AS (SELECT xi, yi, count(*) AS n, max(Z) AS top FROM c WHERE RN = 7 AND {IN_CELLS} GROUP BY xi, yi) SELECT x.i::INT AS X, y.i::INT AS Y, coalesce(n, 0) AS count, coalesce(top, -9999.0) AS top FROM (SELECT unnest(range(3, 13)) AS i) x CROSS JOIN (SELECT unnest(range(185, 196)) AS i) y LEFT JOIN g ON xi = x.i AND yi = y.i",
     "latest_cells": f"WITH {RUNS} SELECT X, Y, time_slot, count, top FROM (SELECT *, row_number() OVER (PARTITION BY X, Y ORDER BY time_slot DESC) AS k FROM r) WHERE k = 1",
     "time_travel": f"WITH {RUNS} SELECT X, Y, count, top FROM r WHERE time_slot = 1",
-    "date_overlap": f"WITH {RUNS} SELECT X, Y, time_slot, (start_time - DATE '1970-01-01')::INT AS start_day, (end_time - DATE '1970-01-01')::INT AS end_day FROM r WHERE end_time >= DATE '1994-12-25' AND start_time <= DATE '1995-01-20'",
+    "date_overlap": f"WITH {RUNS} SELECT X, Y, time_slot, (start_time - DATE '1970-01-01')::INT AS start_day, (end_time - DATE '1970-01-01')::INT AS end_day FROM r WHERE end_time >= DATE '1998-06-01' AND start_time <= DATE '1998-07-01'",
     "raster": f"WITH {C} SELECT yi AS Y, " + ", ".join(f"max(Z) FILTER (xi = {k}) AS x{k}" for k in (3, 4, 5, 6)) + f" FROM c WHERE {IN_CELLS} GROUP BY yi",
     "outlier_trim": f"WITH {C}, n AS (SELECT xi, yi, count(*) AS n FROM c GROUP BY xi, yi), q AS (SELECT quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.75) AS b FROM n) SELECT xi, yi, n FROM n, q WHERE n > a - 0.5 * (b - a) AND n < b + 0.5 * (b - a)",
     "scan_tiles": f"WITH {C} SELECT (xi // 50 * 50)::INT AS x1, (xi // 50 * 50 + 50)::INT AS x2, (yi // 50 * 50)::INT AS y1, (yi // 50 * 50 + 50)::INT AS y2, count(*)::BIGINT AS points, 2500::BIGINT AS cells FROM c GROUP BY ALL",

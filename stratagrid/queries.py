@@ -110,8 +110,8 @@ def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of two runs: points before and since 1995."""
-    rows = cells(spark, sf_dir).withColumn("time_slot", F.when(F.col("Time") < "1995-01-01", 1).otherwise(2))
+    """Cells of two runs; the later one has the western points since May 1998."""
+    rows = cells(spark, sf_dir).withColumn("time_slot", F.when((F.col("Time") < "1998-05-24") | (F.col("X") >= 1000), 1).otherwise(2))
     keys = [F.col("xi").alias("X"), F.col("yi").alias("Y"), "time_slot"]
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.max("Z").alias("top"), F.min(F.col("Time").cast("date")).alias("start_time"), F.max(F.col("Time").cast("date")).alias("end_time"))
 
@@ -126,7 +126,7 @@ def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = relational.during(two_runs(spark, sf_dir), "1994-12-25", "1995-01-20")
+    found = relational.during(two_runs(spark, sf_dir), "1998-06-01", "1998-07-01")
     return found.select("X", "Y", "time_slot", epoch_days(F.col("start_time")).alias("start_day"), epoch_days(F.col("end_time")).alias("end_day"))
 
 
