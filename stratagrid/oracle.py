@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import BOX, FAMILIES, digits, family_columns
+from .queries import BOX, FAMILIES, digits, family_columns, nudge
 
 P = "p AS (SELECT l_partkey::DOUBLE AS X, (l_suppkey * 20)::DOUBLE AS Y, l_quantity AS Z, l_extendedprice AS I, l_linenumber AS RN, l_orderkey AS O, l_shipdate AS T FROM lineitem)"
 C = P + ", c AS (SELECT *, floor(X / 100)::INT AS xi, ceil((20000 - Y) / 100 - 1)::INT AS yi FROM p WHERE X >= 0 AND X < 20000 AND Y >= 0 AND Y < 20000)"
@@ -28,6 +28,10 @@ oi AS (SELECT xi, yi, loi + bi * (hii - loi) / 64 AS oi FROM (SELECT xi, yi, bi,
 v AS (SELECT b.*, oz.oz, oi.oi FROM b LEFT JOIN oz USING (xi, yi) LEFT JOIN oi USING (xi, yi))"""
 
 
+def _round(expression: str, places: int = 8) -> str:
+    return f"round({expression} + {nudge(places)!r}::DOUBLE, {places})"
+
+
 def _columns() -> dict[str, str]:
     """Each column of the preset as an expression over the points of a cell."""
     out: dict[str, str] = {}
@@ -83,15 +87,15 @@ def _columns() -> dict[str, str]:
 def _family(name: str) -> str:
     found = _columns()
     whole = [c for c in found if "_count" in c]
-    chosen = ", ".join(f'{found[c]} AS "{c}"' if c in whole else f'round({found[c]}, {digits(c)}) AS "{c}"' for c in family_columns(name))
+    chosen = ", ".join(f'{found[c]} AS "{c}"' if c in whole else f'{_round(found[c], digits(c))} AS "{c}"' for c in family_columns(name))
     return f"WITH {WINDOWS} SELECT xi, yi, count(*) AS count, {chosen} FROM v GROUP BY xi, yi"
 
 
 RUNS = C + ", r AS (SELECT xi AS X, yi AS Y, CASE WHEN T < '1998-05-24' OR X >= 1000 THEN 1 ELSE 2 END AS time_slot, count(*) AS count, max(Z) AS top, min(T::DATE) AS start_time, max(T::DATE) AS end_time FROM c GROUP BY ALL)"
 
 ORACLE_SQL = {name: _family(name) for name in FAMILIES} | {
-    "grid_core": f"WITH {C} SELECT xi, yi, count(*) AS count, round(CASE WHEN max(abs(Z)) > 0 THEN avg(Z) END, 8) AS m_Z_mean, min(Z) AS m_Z_min, max(Z) AS m_Z_max, round(median(Z), 8) AS m_Z_median FROM c GROUP BY xi, yi",
-    "bbox_points": f"WITH {P} SELECT X, Y, Z, I AS Intensity, RN AS ReturnNumber FROM p WHERE {IN_BOX}",
+    "grid_core": f"WITH {C} SELECT xi, yi, count(*) AS count, {_round('CASE WHEN max(abs(Z)) > 0 THEN avg(Z) END')} AS m_Z_mean, {_round('min(Z)')} AS m_Z_min, {_round('max(Z)')} AS m_Z_max, {_round('median(Z)')} AS m_Z_median FROM c GROUP BY xi, yi",
+    "bbox_points": f"WITH {P} SELECT {_round('X')} AS X, {_round('Y')} AS Y, {_round('Z')} AS Z, {_round('I')} AS Intensity, RN AS ReturnNumber FROM p WHERE {IN_BOX}",
     "cell_indices": f"WITH {P} SELECT floor((X + 15) / 30)::INT AS xi, ceil((20025 - Y) / 30 - 1)::INT AS yi, count(*) AS n FROM p WHERE X >= -15 AND X < 20025 AND Y >= -15 AND Y < 20025 GROUP BY ALL",
     "source_bounds": f"WITH {P} SELECT min(X) AS minx, min(Y) AS miny, max(X) AS maxx, max(Y) AS maxy FROM p",
     "count_in_bounds": f"WITH {P} SELECT count(*) AS n FROM p WHERE {IN_BOX}",
@@ -109,8 +113,8 @@ ORACLE_SQL = {name: _family(name) for name in FAMILIES} | {
     "scan_summary": f"""WITH {C}, n AS (SELECT xi // 50 AS a, yi // 50 AS b, count(*) AS p FROM c GROUP BY ALL), e AS (SELECT ceil(2000.0::DOUBLE / (p / 2500.0::DOUBLE))::BIGINT AS k FROM n),
       s AS (SELECT unnest(list_concat(list_transform(range(2500 // k), lambda x: k), [2500 % k])) AS cells FROM e), q AS (SELECT quantile_cont(cells, 0.25) AS a, quantile_cont(cells, 0.75) AS b FROM s),
       t AS (SELECT cells FROM s, q WHERE cells > a - 1.5 * (b - a) AND cells < b + 1.5 * (b - a)), u AS (SELECT cells FROM t UNION ALL SELECT cells FROM s WHERE NOT EXISTS (SELECT 1 FROM t))
-      SELECT (SELECT sum(cells)::BIGINT FROM s) AS num_cells, (SELECT count(*) FROM s) AS num_tiles, round(avg(cells), 8) AS mean, round(stddev_pop(cells), 8) AS std_dev, round(median(cells), 8) AS median, round(median(cells), 8) AS recommended FROM u""",
+      SELECT (SELECT sum(cells)::BIGINT FROM s) AS num_cells, (SELECT count(*) FROM s) AS num_tiles, {_round('avg(cells)')} AS mean, {_round('stddev_pop(cells)')} AS std_dev, {_round('median(cells)')} AS median, {_round('median(cells)')} AS recommended FROM u""",
     "unfinished_cells": f"WITH {C} SELECT xi, yi, count(*) AS n FROM c WHERE NOT (xi < 5 AND yi >= 190 AND yi < 195) AND NOT (xi >= 10 AND xi < 12 AND yi >= 180) GROUP BY xi, yi",
-    "event_cells": "SELECT floor(user_id / 100)::INT AS xi, floor((ts::DATE - DATE '1970-01-01') / 7)::INT AS yi, count(*) AS count, round(min(value), 8) AS m_Z_min, round(max(value), 8) AS m_Z_max, round(median(value), 8) AS m_Z_median FROM events GROUP BY ALL",
-    "user_metric": f"WITH {C} SELECT xi, yi, count(*) AS count, round(median(Z), 8) AS m_Z_median, round(max(Z) FILTER (Z > 2) - min(Z) FILTER (Z > 2), 8) AS m_Z_spread FROM c GROUP BY xi, yi",
+    "event_cells": f"SELECT floor(user_id / 100)::INT AS xi, floor((ts::DATE - DATE '1970-01-01') / 7)::INT AS yi, count(*) AS count, {_round('min(value)')} AS m_Z_min, {_round('max(value)')} AS m_Z_max, {_round('median(value)')} AS m_Z_median FROM events GROUP BY ALL",
+    "user_metric": f"WITH {C} SELECT xi, yi, count(*) AS count, {_round('median(Z)')} AS m_Z_median, {_round('max(Z) FILTER (Z > 2) - min(Z) FILTER (Z > 2)')} AS m_Z_spread FROM c GROUP BY xi, yi",
 }
