@@ -28,7 +28,7 @@ from .shared import materialise, text_or_empty
 
 LENGTH, GRAM = 400, 128
 #: Windows worked out at a time, bytes of a shard after which a new one is begun, tuples in a shard's memory.
-CHUNK, SHARD_BYTES, TUPLES = 1 << 20, 3 << 20, 1 << 22
+CHUNK, SHARD_BYTES, TUPLES = 1 << 20, 1 << 20, 1 << 22
 #: Distinct segments of one hash that a shard takes; the windows of hashes with more are compared one by one.
 SHARD_SEGMENTS = 100_000
 _ODD = 0x9E3779B97F4A7C15
