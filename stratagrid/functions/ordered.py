@@ -12,15 +12,22 @@ def filled(values: Column, out: Column) -> Column:
     return F.when(F.size(values) > 0, out)
 
 
-def percentile(values: Column, share: float | Column) -> Column:
+def _at(values: Column, rank: Column) -> Column:
+    """The value at a rank that may lie between two. A bound rank keeps the terms few, as they are worked out
+    for every share of every cell."""
+    low = F.get(values, rank.cast("int"))
+    return low + F.coalesce(F.get(values, rank.cast("int") + 1) - low, F.lit(0.0)) * (rank - rank.cast("int"))
+
+
+def percentile(values: Column, share: float) -> Column:
     """Linear interpolation between the two nearest ranks."""
-    at = (F.size(values) - 1) * (F.lit(float(share)) if isinstance(share, (int, float)) else share)
-    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
+    return _at(values, (F.size(values) - 1) * F.lit(float(share)))
 
 
 def percentiles(values: Column, shares: Sequence[float]) -> Column:
-    return filled(values, F.transform(F.array(*[F.lit(float(s)) for s in shares]), lambda s: percentile(values, s)))
+    last = F.size(values) - 1
+    ranks = F.transform(F.array(*[F.lit(float(s)) for s in shares]), lambda s: last * s)
+    return filled(values, F.transform(ranks, lambda r: _at(values, r)))
 
 
 def median(values: Column) -> Column:

@@ -48,6 +48,11 @@ class Ingredients:
         return F.col(name)
 
     def plan(self, points: DataFrame) -> DataFrame:
+        """Where values are listed, combining before the shuffle saves nothing: each list would travel, with the
+        same values in several. So the points go first, each once, and are combined where they arrive. Sums and
+        counts alone are combined on both sides, as usual."""
+        if any(key[0] in ("list", "points") for key, name in self._names.items() if name in self.aggregates):
+            points = points.repartition(*self.keys)
         out = points.groupBy(*self.keys).agg(*[c.alias(k) for k, c in self.aggregates.items()])
         for layer in self.layers:
             if layer:
