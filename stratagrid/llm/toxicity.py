@@ -4,9 +4,11 @@ Two strings are compared by the triples of characters that they share as subsequ
 characters, each weighed by DECAY to the power of its span, so that gaps and inserted characters cost a little
 and don't break the likeness. Words are compared in lower case, without what is no letter or digit, between
 marks for their start and end; runs of single characters count as a word too. A sentence's likeness to a
-landmark is that of its likest word; likenesses below FLOOR count as none.
+landmark is that of its likest word; likenesses below FLOOR count as none. A word or joined run of more than
+LONGEST letters and digits is as like a landmark as its likest window: windows begin at every character and are as long
+as the landmarks or half as long again (5 characters at least, LONGEST at most), so nothing in a text is left out.
 
-Landmarks are words and beginnings of words that tell labelled toxic documents from others. The machine learns
+Landmarks are words of at most LONGEST letters and beginnings of words that tell labelled toxic documents from others. The machine learns
 from sentences: of a toxic document the worst, of others the hardest; a logistic curve turns the margins
 of a document's worst sentence and of all its sentences into a score from 0 to 1. Training uses a bounded sample of labelled
 rows (MOST_TOXIC and MOST_OTHER, the least by a hash of doc_id); scoring takes every text as a whole.
@@ -34,6 +36,8 @@ SPAN, DECAY, FLOOR = 6, 0.8, 0.45
 LANDMARKS, PREFIX, ALIKE = 64, 6, 0.7
 MOST_TOXIC, MOST_OTHER, SENTENCES = 1000, 2000, 40
 THRESHOLD, LONGEST = 0.3, 24
+#: Characters of long words, and windows of them, looked at together.
+PART, PIECES = 1 << 15, 20_000
 START, END = "\x02", "\x03"
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
 _JUNK = re.compile(r"[\W_]+")
@@ -59,7 +63,11 @@ def sentences(text: str) -> Iterator[list[str]]:
 
 
 def bare(word: str) -> str:
-    return START + _JUNK.sub("", word)[:LONGEST] + END
+    return START + _JUNK.sub("", word) + END
+
+
+def _long(word: str) -> bool:
+    return len(word) > LONGEST + 2
 
 
 def _chars(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +116,50 @@ class Likeness:
         for k, code, w in found:
             self.weights[self.row[code], k] += w
         self.most = self.weights.max(axis=1, initial=0)
+        letters = {max(5, len(x.strip(START + END))) for x in landmarks}
+        #: Lengths of the windows of long words.
+        self.sizes = sorted({min(LONGEST, k) for n in letters for k in (n, n + n // 2)})
 
     def of(self, words: list[str]) -> np.ndarray:
         """One row per word; words are as bare() gives them. Unknown characters are gaps."""
+        out = self._whole(["" if _long(w) else w for w in words])
+        long = [i for i, w in enumerate(words) if _long(w)]
+        if long and self.landmarks:
+            for pieces, which, owner in self._windows([words[i] for i in long]):
+                np.maximum.at(out, np.array(long)[owner], self._whole(pieces)[which])
+        return out
+
+    def _windows(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """The windows that may be like a landmark: different ones, and of each place its window and its word."""
+        text = "\0".join(words)  # no word has this character
+        starts = np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
+        for at in range(0, len(text), PART):
+            part = text[at : at + PART + LONGEST - 1]
+            flat = np.frombuffer(part.encode("utf-32-le"), dtype=np.uint32)
+            known = self.table[np.minimum(flat, len(self.table) - 1)]
+            # Sums over all characters before each one: of its triples at their best landmarks, and of word ends.
+            best, ends = np.zeros(len(flat) + 1), np.concatenate([[0], np.cumsum(flat == 0)])
+            for (a, b), weight in zip(_OFFSETS, _WEIGHTS):
+                if len(flat) > b:
+                    best[1 : len(flat) - b + 1] += weight * self.most[self.row[(known[:-b] * self.base + known[a : len(flat) - b + a]) * self.base + known[b:]]]
+            best = np.cumsum(best)
+            pieces: dict[str, int] = {}
+            which: list[int] = []
+            owner: list[np.ndarray] = []
+            for n in self.sizes:
+                k = max(0, len(flat) - n + 1)
+                good = np.flatnonzero((best[n - 2 : n - 2 + k] - best[:k] >= FLOOR * _NORMS[n] * 0.999) & (ends[n : n + k] == ends[:k]))
+                for i in range(0, len(good), PIECES):
+                    some = good[i : i + PIECES]
+                    which += [pieces.setdefault(part[j : j + n], len(pieces)) for j in some.tolist()]
+                    owner.append(np.searchsorted(starts, some + at, side="right") - 1)
+                    if len(which) >= PIECES:
+                        yield list(pieces), np.array(which), np.concatenate(owner)
+                        pieces, which, owner = {}, [], []
+            if which:
+                yield list(pieces), np.array(which), np.concatenate(owner)
+
+    def _whole(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
         if not words or not self.landmarks:
             return out
@@ -192,9 +241,9 @@ def choose_landmarks(docs: list[set[str]], toxic: np.ndarray, most: int = LANDMA
     like one chosen before; then frequent words of the others, as a contrast."""
     yes, no = Counter(), Counter()
     for words, t in zip(docs, toxic):
-        found = set(words)
+        found = {w for w in words if not _long(w)}
         for w in words:
-            found.update(w[:n] for n in range(PREFIX, len(w) - 1))
+            found.update(w[:n] for n in range(PREFIX, min(len(w) - 1, LONGEST + 1)))
         (yes if t else no).update(found)
     n_yes, n_no = toxic.sum(), (~toxic).sum()
 

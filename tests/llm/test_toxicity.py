@@ -75,3 +75,34 @@ def test_odd_inputs(spark, make_docs, odd_texts, tables):
     assert toxicity.report(make_docs([(1, "x")]).limit(0), labels).count() == 0
     table = spark.createDataFrame([(1, "a", 2, 3)], "doc_id long, text string, scored_text int, score int")
     assert toxicity.score(table, toxicity.train(["a"], np.array([True]), 0.5)).columns == ["doc_id", "text", "scored_text", "score"]
+
+
+def test_long_words_are_scored_to_their_end(tables):
+    docs, labels, *_ = tables
+    model = toxicity.fit(docs, labels)
+    bad = [
+        " ".join("youareanabsolutecompleteblockhead"),
+        "https://example.com/tari/mole/unso/peka/2024/you-are-a-blockhead",
+        "tari_mole_unso_peka_tari_mole_blockhead_unso_kape_molepe",
+        "tarimoleunsopekatarimoleunso" + "nitwit" + "molepekatarisounlepeka",
+        "tarimole" * 9000 + "dunderpate" + "unsopeka" * 9000,
+        "ta/ri/mo/le/un/so/pe/ka/ta/ri/mo/le/lummox.",
+    ]
+    good = ["https://example.com/tari/mole/unso/peka/2024/tari-mole-unso-peka-rimo", "tarimole" * 9000, " ".join("tarimoleunsopeka" * 3), "日本語" * 5000]
+    assert min(model.scores(bad)) > 0.3 > max(model.scores(good))
+    # Words in a row don't share windows.
+    assert max(model.scores(["tarimoleunsopekatarimoleunsoblock headtarimoleunsopekatarimoleunso"])) < 0.3
+
+
+def test_likest_window_of_a_long_word():
+    r = random.Random(3)
+    marks = [toxicity.bare(w) for w in ("abcdeabc", "edcba", "aabbccddeeaabbcc")] + [toxicity.START + "cdcdcd"]
+    likeness = toxicity.Likeness(marks)
+    words = [toxicity.bare("".join(r.choice("abcdez") for _ in range(n))) for n in (24, 25, 60, 200, 31, 26)]
+    words[2] = toxicity.bare("z" * 40 + "abcdeabc" + "z" * 7)
+    got = likeness.of(words)
+    for w, row in zip(words, got):
+        pieces = [w[i : i + n] for n in likeness.sizes for i in range(len(w) - n + 1)] if len(w) > toxicity.LONGEST + 2 else [w]
+        want = np.array([max(toxicity.kernel(x, m) for x in pieces) for m in marks])
+        assert np.allclose(row, np.where(want < toxicity.FLOOR, 0, want), atol=1e-4)
+    assert got[2, 0] > 0.7
