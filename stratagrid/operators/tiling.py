@@ -21,12 +21,13 @@ def leaves(points: DataFrame, extents: Extents, point_count: int, resolution: fl
     level = cut(counts.select("*", *[F.lit(v).alias(k) for k, v in zip(_BOX, (r.x1, r.x2, r.y1, r.y2))]), "level")
     found = None
     wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    area = wide.cast("double") * high * res * res  # beyond an int on large grids
     for d in range(64):
         nodes = level.groupBy(*_BOX).agg(F.sum("n").alias("points"))
         small = (wide * res / 2 < res) | (high * res / 2 < res)
         fits = F.col("points") <= point_count if exhaustive else F.col("points") < point_count
-        stop = F.lit(False) if exhaustive else (wide * high * res * res < resolution**2) | F.lit(d >= depth)
-        nodes = nodes.select("*", (wide * high).cast("long").alias("cells"), (~small & ~fits & stop).alias("ended"), (small | fits | stop).alias("leaf"))
+        stop = F.lit(False) if exhaustive else (area < resolution**2) | F.lit(d >= depth)
+        nodes = nodes.select("*", (wide.cast("long") * high).alias("cells"), (~small & ~fits & stop).alias("ended"), (small | fits | stop).alias("leaf"))
         nodes = cut(nodes, "nodes")
         done = nodes.filter("leaf").drop("leaf")
         found = done if found is None else found.unionByName(done)

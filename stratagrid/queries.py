@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.cells import epoch_days
-from .grid import Bounds, Extents
+from .grid import Bounds, Extents, Rect
 from .operators import metrics, relational, tiling
 from .operators.metrics import Metric
 from .plans.fused import cell_metrics, outputs
 from .sources.points import event_points, lineitem_points, with_number_of_returns
 
+#: The least frame, which all given tables share; grid() widens it for points beyond.
 ROOT, RESOLUTION = Bounds(0, 0, 20000, 20000), 100
-GRID = Extents.of_root(ROOT, RESOLUTION, "AlignToCorner")
 ATTRIBUTES = ["Z", "Intensity", "ReturnNumber"]
 BOX = Bounds(300, 400, 1250, 1500)
 PRESET = metrics.get_grid_metrics()
@@ -40,8 +41,22 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(F.col(f"`{n}`") + F.lit(nudge(digits(n))), digits(n)).alias(n) if t in ("double", "float") else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
+def frame(points: DataFrame) -> Bounds:
+    """ROOT, widened along cell lines until it holds all points; its upper edges lie beyond them."""
+    found = relational.source_bounds(points).first()
+    if any(v is None for v in found):
+        return ROOT
+    low = lambda v: math.floor(v / RESOLUTION) * RESOLUTION
+    return Bounds(min(ROOT.minx, low(found.minx)), min(ROOT.miny, low(found.miny)), max(ROOT.maxx, low(found.maxx) + RESOLUTION), max(ROOT.maxy, low(found.maxy) + RESOLUTION))
+
+
+def grid(points: DataFrame) -> Extents:
+    return Extents.of_root(frame(points), RESOLUTION, "AlignToCorner")
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.assign_cells(lineitem_points(spark, sf_dir), GRID)
+    points = lineitem_points(spark, sf_dir)
+    return relational.assign_cells(points, grid(points))
 
 
 def family(names) -> Callable[[SparkSession, str], DataFrame]:
@@ -75,8 +90,8 @@ def bbox_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    center = Extents.of_root(ROOT, 30, "AlignToCenter")
-    rows = relational.assign_cells(lineitem_points(spark, sf_dir), center)
+    points = lineitem_points(spark, sf_dir)
+    rows = relational.assign_cells(points, Extents.of_root(frame(points), 30, "AlignToCenter"))
     return rows.groupBy("xi", "yi").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -93,7 +108,8 @@ def estimate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_of_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relational.assign_cells(with_number_of_returns(lineitem_points(spark, sf_dir)), GRID)
+    points = lineitem_points(spark, sf_dir)
+    rows = relational.assign_cells(with_number_of_returns(points), grid(points))
     return rows.groupBy("xi", "yi").agg(F.max("NumberOfReturns").alias("most"), F.sum("NumberOfReturns").cast("long").alias("total"))
 
 
@@ -109,8 +125,9 @@ def points_above_own_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sub = Extents.within(BOX, RESOLUTION, "AlignToCorner", GRID.root)
-    found = relational.assign_cells(lineitem_points(spark, sf_dir), sub).filter("ReturnNumber = 7")
+    points = lineitem_points(spark, sf_dir)
+    sub = Extents.within(BOX, RESOLUTION, "AlignToCorner", grid(points).root)
+    found = relational.assign_cells(points, sub).filter("ReturnNumber = 7")
     found = found.groupBy(F.col("xi").alias("X"), F.col("yi").alias("Y")).agg(F.count(F.lit(1)).alias("count"), F.max("Z").alias("top"))
     return relational.densify(found, sub.rect, {"count": 0, "top": -9999.0})
 
@@ -137,8 +154,9 @@ def date_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sub = Extents.within(BOX, RESOLUTION, "AlignToCorner", GRID.root)
-    found = relational.assign_cells(lineitem_points(spark, sf_dir), sub).groupBy(F.col("xi").alias("X"), F.col("yi").alias("Y")).agg(F.max("Z").alias("top"))
+    points = lineitem_points(spark, sf_dir)
+    sub = Extents.within(BOX, RESOLUTION, "AlignToCorner", grid(points).root)
+    found = relational.assign_cells(points, sub).groupBy(F.col("xi").alias("X"), F.col("yi").alias("Y")).agg(F.max("Z").alias("top"))
     return relational.pivot(found, "top", [3, 4, 5, 6]).select("Y", *[F.col(str(k)).alias(f"x{k}") for k in (3, 4, 5, 6)])
 
 
@@ -149,18 +167,23 @@ def outlier_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of the quadtree that halves the grid twice at most."""
-    return tiling.leaves(lineitem_points(spark, sf_dir), GRID, 0, 1, 2).select("x1", "x2", "y1", "y2", "points", "cells")
+    points = lineitem_points(spark, sf_dir)
+    return tiling.leaves(points, grid(points), 0, 1, 2).select("x1", "x2", "y1", "y2", "points", "cells")
 
 
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tile sizes for 2000 points each, from leaves two levels down."""
-    return rounded(tiling.summary(tiling.tile_sizes(tiling.leaves(lineitem_points(spark, sf_dir), GRID, 2000, 1, 2), 2000)))
+    points = lineitem_points(spark, sf_dir)
+    return rounded(tiling.summary(tiling.tile_sizes(tiling.leaves(points, grid(points), 2000, 1, 2), 2000)))
 
 
 def unfinished_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .grid import Rect
-
-    return relational.outside_rects(cells(spark, sf_dir), [Rect(0, 5, 190, 195), Rect(10, 12, 180, 200)]).groupBy("xi", "yi").agg(F.count(F.lit(1)).alias("n"))
+    points = lineitem_points(spark, sf_dir)
+    whole = grid(points)
+    down = int(whole.root.maxy - ROOT.maxy) // RESOLUTION
+    across = int(ROOT.minx - whole.root.minx) // RESOLUTION
+    done = [Rect(x1 + across, x2 + across, y1 + down, y2 + down) for x1, x2, y1, y2 in ((0, 5, 190, 195), (10, 12, 180, 200))]
+    return relational.outside_rects(relational.assign_cells(points, whole), done).groupBy("xi", "yi").agg(F.count(F.lit(1)).alias("n"))
 
 
 def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
