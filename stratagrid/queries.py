@@ -160,6 +160,24 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.pivot(found, "top", [3, 4, 5, 6]).select("Y", *[F.col(str(k)).alias(f"x{k}") for k in (3, 4, 5, 6)])
 
 
+def tops(points: DataFrame, whole: Extents) -> DataFrame:
+    return relational.assign_cells(points, whole).groupBy(F.col("xi").alias("X"), F.col("yi").alias("Y")).agg(F.count(F.lit(1)).alias("count"), F.max("Z").alias("top"))
+
+
+def dense_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dense_cells for the whole grid and all points."""
+    points = lineitem_points(spark, sf_dir)
+    whole = grid(points)
+    return relational.densify(tops(points, whole), whole.rect, {"count": 0, "top": -9999.0})
+
+
+def raster_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of the raster for each Y of the whole grid, with the values of all X in order."""
+    points = lineitem_points(spark, sf_dir)
+    whole = grid(points)
+    return relational.raster_rows(tops(points, whole), "top", whole.rect, -9999.0)
+
+
 def outlier_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cells(spark, sf_dir).groupBy("xi", "yi").agg(F.count(F.lit(1)).alias("n"))
     return relational.without_outliers(counts, "n", 0.5)
@@ -205,5 +223,5 @@ def user_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     grid_core, bbox_points, cell_indices, source_bounds, count_in_bounds, estimate_count, number_of_returns, cell_lists, points_above_own_mean, dense_cells,
-    latest_cells, time_travel, date_overlap, raster, outlier_trim, scan_tiles, scan_summary, unfinished_cells, event_cells, user_metric,
+    latest_cells, time_travel, date_overlap, raster, dense_grid, raster_grid, outlier_trim, scan_tiles, scan_summary, unfinished_cells, event_cells, user_metric,
 )} | {name: family(chosen) for name, chosen in FAMILIES.items()}
