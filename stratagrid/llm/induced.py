@@ -148,20 +148,23 @@ class Shard:
         if not m:
             return star, np.zeros(0, np.int16)
         ends = np.append(star[1:], star[-1])
-        kind = text.astype(np.int64) * 2 + self.rising
-        rank = _refine(np.zeros(m, dtype=np.int64), kind[star])
+
+        def kind(at: np.ndarray) -> np.ndarray:
+            return text[at].astype(np.int64) * 2 + self.rising[at]
+
+        rank = _refine(np.zeros(m, dtype=np.int64), kind(star))
         active, offset = np.arange(m), 1
         while True:
             active = _unsettled(rank, active)
             active = active[star[active] + offset <= ends[active]]
             if not len(active) or offset > self.depth:
                 break
-            rank[active] = self._refined(rank, active, kind[star[active] + offset])
+            rank[active] = _refine(rank[active], kind(star[active] + offset))
             offset += 1
         names = np.unique(rank, return_inverse=True)[1].astype(np.int32)
         if names.max(initial=0) + 1 < min(m, MOST_NAMES):
             return self._by_recursion(star, names)
-        levels = [rank.copy()]
+        levels = [self._kept(rank)]
         active, reach, covered = np.arange(m), 1, 2
         while covered < 2 * self.depth:
             active = _unsettled(rank, active)
@@ -169,8 +172,8 @@ class Shard:
                 break
             following = active + reach
             key = np.where(following < m, rank[np.minimum(following, m - 1)] + 1, 0)
-            rank[active] = self._refined(rank, active, key)
-            levels.append(rank.copy())
+            rank[active] = _refine(rank[active], key)
+            levels.append(self._kept(rank))
             reach, covered = reach * 2, covered * 2
         order = np.argsort(rank, kind="stable")
         return star[order], self._common(star, order, levels)
@@ -189,9 +192,11 @@ class Shard:
         shared = np.minimum(last[np.minimum(a + value, m)] - star[a], last[np.minimum(b + value, m)] - star[b])
         return star[order], self._longer(star[a], star[b], np.minimum(shared, self.depth))
 
-    @staticmethod
-    def _refined(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
-        return _refine(rank[active], key)
+    def _kept(self, rank: np.ndarray) -> np.ndarray:
+        """A copy of the ranks for later, in a file if they are many."""
+        out = array(len(rank), np.int32, self.memory)
+        out[:] = rank
+        return out
 
     def _common(self, star: np.ndarray, order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
         m, depth = len(star), self.depth
@@ -285,7 +290,7 @@ class Shard:
             else:
                 position, value = done.pop(c)
                 if found is not None:
-                    self._keep(found, c, parts, position, value)
+                    self._gather(found, c, parts, position, value)
                 # Downwards, a suffix's value is what it shares with the next one up.
                 position, value = position[::-1], np.append(np.int16(0), value[:0:-1])
             if len(position):
@@ -295,7 +300,7 @@ class Shard:
                     self.marked[[parts[-1][0][-1], position[0]]] = True
                 come_up(position, value)
 
-    def _keep(self, found: list, c: int, parts: list, falling: np.ndarray, values: np.ndarray) -> None:
+    def _gather(self, found: list, c: int, parts: list, falling: np.ndarray, values: np.ndarray) -> None:
         """A bucket in order: falling suffixes, then the rising ones, which came up in the other direction."""
         if c == 0:
             found.append((np.array([len(self.text) - 1], dtype=np.int32), np.zeros(1, np.int16)))
@@ -319,14 +324,35 @@ class Shard:
             self.marked[line[deep + shift - 1]] = True
 
 
-def repeats(strings: list[bytes], depth: int, memory: int = 1 << 24) -> list[np.ndarray]:
+def repeats(strings: list[bytes], depth: int, memory: int = 1 << 24, owners: np.ndarray | None = None, step: int = 1) -> list[np.ndarray]:
     """For each string, which of its positions start a substring of `depth` bytes that also starts anywhere else
-    in the strings."""
+    in the strings; only every step-th position counts. owners: for each string the first and last of those who
+    have it; then a substring counts if not all its places belong to one and the same."""
+    if not strings:
+        return []
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    text = np.ones(int(lengths.sum()) + len(strings) + 1, dtype=np.int16)
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(strings) else np.zeros(0, np.int64)
+    text = array(int(lengths.sum()) + len(strings) + 1, np.int16, memory)
+    text[:] = 1
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     for s, at in zip(strings, starts.tolist()):
         text[at : at + len(s)] = np.frombuffer(s, dtype=np.uint8).astype(np.int16) + 2
     text[-1] = 0
-    marked = Shard(text, depth, memory).mark_repeats() if len(strings) else text
-    return [marked[a : a + max(0, n - depth + 1)] for a, n in zip(starts.tolist(), lengths.tolist())]
+    shard = Shard(text, depth, memory)
+    marked = shard.mark_repeats() if owners is None else _shared(shard, starts, lengths, owners, step)
+    return [marked[a : a + max(0, n - depth + 1) : step] for a, n in zip(starts.tolist(), lengths.tolist())]
+
+
+def _shared(shard: Shard, starts: np.ndarray, lengths: np.ndarray, owners: np.ndarray, step: int) -> np.ndarray:
+    """Which suffixes agree for the whole depth with one of another owner, read off the sorted suffixes: runs in
+    which no common prefix is less."""
+    order, value = shard.sort()
+    run = np.cumsum(value < shard.depth)
+    own = np.searchsorted(starts, order, side="right") - 1
+    whole = (order - starts[own] + shard.depth <= lengths[own]) & ((order - starts[own]) % step == 0)
+    order, run, own = order[whole], run[whole], own[whole]
+    out = array(len(shard.text), bool, shard.memory)
+    if len(order):
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        several = np.minimum.reduceat(owners[own, 0], first) != np.maximum.reduceat(owners[own, 1], first)
+        out[order[np.repeat(several, np.diff(np.append(first, len(order))))]] = True
+    return out

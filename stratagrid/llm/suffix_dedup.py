@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .induced import repeats
-from .shared import materialise, text_or_empty
+from .shared import free_name, materialise, spread_join, text_or_empty
 
 LENGTH, GRAM = 400, 128
+#: Words of a passage that is reported where other documents have it, and words that a task remembers.
+PASSAGE_WORDS, MOST_KNOWN = 51, 1 << 19
 #: Windows worked out at a time, bytes of a shard after which a new one is begun, tuples in a shard's memory.
 CHUNK, SHARD_BYTES, TUPLES = 1 << 20, 1 << 20, 1 << 22
 #: Distinct segments of one hash that a shard takes; the windows of hashes with more are compared one by one.
@@ -69,22 +71,40 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """h, d, s, e, own of each segment: its hash, a digest of its bytes, its windows' starts from s to before e,
-    and whether its hash is that of several of its grams, so that its own windows may equal each other."""
-    data = np.frombuffer(text, dtype=np.uint8)
+class _Words(dict):
+    """32 bits for each word, worked out once; forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MOST_KNOWN:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
+        return out
+
+
+def word_symbols(text: bytes, known: _Words) -> bytes:
+    """A symbol of 4 bytes for each word. Runs of equal symbols stand for runs of equal words: one word in 2^32
+    would have to be mistaken for another at the same place of a run that is equal otherwise."""
+    words = text.split()  # of bytes: at ASCII white space
+    return np.fromiter(map(known.__getitem__, words), dtype="<u4", count=len(words)).tobytes()
+
+
+def segments(text: bytes, length: int = LENGTH, gram: int = GRAM, width: int = 1) -> np.ndarray:
+    """h, d, s, e, own of each segment: its hash, a digest of its symbols, its windows' starts from s to before e,
+    and whether its hash is that of several of its grams, so that its own windows may equal each other. Symbols
+    are of so many bytes."""
+    data = np.frombuffer(text, dtype=f"<u{width}")
     parts = []
     for a in range(0, max(0, len(data) - length + 1), CHUNK):
         piece = data[a : a + CHUNK + length - 1]
-        hashes, width = gram_hashes(piece, gram), length - gram + 1
-        least = sliding_least(hashes, width)
+        hashes, run = gram_hashes(piece, gram), length - gram + 1
+        least = sliding_least(hashes, run)
         s = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
         e = np.append(s[1:], len(least))
         out = np.empty(len(s), dtype=_SEGMENT)
         out["h"], out["s"], out["e"] = least[s].view(np.int64), s + a, e + a
-        out["own"] = [np.count_nonzero(hashes[x : y + width - 1] == v) > 1 for x, y, v in zip(s.tolist(), e.tolist(), least[s])]
+        out["own"] = [np.count_nonzero(hashes[x : y + run - 1] == v) > 1 for x, y, v in zip(s.tolist(), e.tolist(), least[s])]
         digest = xxhash.xxh3_64_intdigest
-        out["d"] = np.array([digest(text[x : y + length - 1]) for x, y in zip(out["s"].tolist(), out["e"].tolist())], dtype=np.uint64).view(np.int64)
+        out["d"] = np.array([digest(text[x * width : (y + length - 1) * width]) for x, y in zip(out["s"].tolist(), out["e"].tolist())], dtype=np.uint64).view(np.int64)
         parts.append(out)
     return np.concatenate(parts) if parts else np.empty(0, dtype=_SEGMENT)
 
@@ -107,35 +127,49 @@ def _pairs(runs: list[tuple[int, int]]) -> list[dict]:
     return [{"a": a, "b": b} for a, b in runs]
 
 
-def _by_window(contents: DataFrame, length: int) -> DataFrame:
+def _by_window(contents: DataFrame, length: int, width: int, across: bool) -> DataFrame:
     """h, d, runs of windows that occur twice or more among segments, found by counting digests of windows."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, d, n, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                starts = range(len(data) - length + 1)
-                digests = [xxhash.xxh3_128_digest(data[i : i + length]) for i in starts]
-                k = len(digests)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * k, pa.int64()), pa.array([d] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], names=["h", "d", "n", "i", "window"])
-
-    each = contents.select("h", "d", "n", "data").mapInArrow(windows, "h long, d long, n long, i int, window binary")
-    again = each.groupBy("window").agg(F.sum("n").alias("times")).filter("times > 1").select("window")
-    found = each.join(again, "window", "left_semi").groupBy("h", "d").agg(F.collect_set("i").alias("at"))
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                data, size = row[5], length * width
+                starts = range(len(data) // width - length + 1)
+                digests = [xxhash.xxh3_128_digest(data[i * width : i * width + size]) for i in starts]
+                same = [pa.array([x] * len(digests), pa.int64()) for x in row[:5]]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], names=["h", "d", "n", "first", "last", "i", "window"])
+
+    each = contents.mapInArrow(windows, "h long, d long, n long, first long, last long, i int, window binary")
+    again = F.min("first") != F.max("last") if across else F.sum("n") > 1
+    again = each.groupBy("window").agg(again.alias("again"), F.count("*").alias("rows")).filter("again")
+    found = spread_join(each, again.select("window"), ["window"], again.select("window", F.col("rows").alias("n"))).groupBy("h", "d").agg(F.collect_set("i").alias("at"))
     return found.select("h", "d", F.transform("at", lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
 
 
-def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int | None = None, shard_bytes: int = SHARD_BYTES, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """key, runs: for each text that has any, the runs of starts of windows that repeat."""
-    gram = gram or (GRAM if length > 2 * GRAM else max(1, length // 2))
+def repeated_runs(
+    docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int | None = None, shard_bytes: int = SHARD_BYTES,
+    shard_segments: int = SHARD_SEGMENTS, words: bool = False, across: bool = False, tuples: int = TUPLES,
+) -> DataFrame:
+    """key, runs, times: for each text that has any, the runs of starts of windows that repeat, and how many rows
+    have the text. Windows are of so many bytes, or with words of so many words, whatever lies between these. A
+    window repeats if it starts anywhere else, or with across if another row has it."""
+    gram = gram or (GRAM if length > 2 * GRAM else max(1, length * 2 // 5))
+    width = 4 if words else 1
     whole = text_or_empty(text)
-    long_texts = docs.select(whole.alias("text")).filter(F.octet_length("text") >= length).select(_key(F.col("text")).alias("key"), "text")
+    # A word takes two bytes with the blank after it.
+    long_texts = docs.select(whole.alias("text")).filter(F.octet_length("text") >= (2 * length - 1 if words else length)).select(_key(F.col("text")).alias("key"), "text")
+
+    def symbols(texts: pa.Array, known: _Words) -> list[bytes]:
+        found = texts.cast(pa.binary()).to_pylist()
+        return [word_symbols(x, known) for x in found] if words else found
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch in batches:
-            packed = [segments(x, length, gram).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            packed = [segments(x, length, gram, width).tobytes() for x in symbols(batch.column(1), known)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["key", "packed"])
 
-    found = long_texts.mapInArrow(find, "key binary, packed binary")
+    found = long_texts.mapInArrow(find, "key binary, packed binary").filter(F.octet_length("packed") > 0)
     found = materialise(found.groupBy("key").agg(F.count("*").alias("times"), F.first("packed").alias("packed")), "segments")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,38 +180,46 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
                 at, flat = pa.array(np.repeat(np.arange(len(rows)), n)), np.concatenate(rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(flat[k].copy()) for k in _SEGMENT.names]], names=["key", "times", *_SEGMENT.names])
 
-    each = found.mapInArrow(unpack, "key binary, times long, h long, d long, s int, e int, own int")
-    hashes = each.groupBy("h").agg(F.sum("times").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("own").alias("own"))
-    hashes = hashes.filter("n > 1 or own > 0").select("h", ((F.col("low") != F.col("high")) | (F.col("n") == 1)).alias("mixed"))
-    shared = materialise(each.drop("own").join(hashes, "h"), "shared")
+    each = found.mapInArrow(unpack, "key binary, times long, h long, d long, s int, e int, own int").withColumn("owner", F.xxhash64("key"))
+    # Who has a segment: the first and the last of the texts, which are told apart if one text has several rows.
+    owners = [F.min("owner").alias("first"), F.max(F.when(F.col("times") > 1, F.lit((1 << 63) - 1)).otherwise(F.col("owner"))).alias("last")]
+    hashes = each.groupBy("h").agg(F.sum("times").alias("times"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("own").alias("own"), F.count("*").alias("n"), *owners)
+    differ, several = F.col("low") != F.col("high"), F.col("times") > 1
+    hashes = hashes.filter(F.col("first") != F.col("last")) if across else hashes.filter(several | (F.col("own") > 0))
+    hashes = materialise(hashes.select("h", "n", (differ if across else differ | ~several).alias("mixed")), "hashes")
+    shared = materialise(spread_join(each.drop("own"), hashes.select("h", "mixed"), ["h"], hashes.select("h", "n")), "shared")
 
     # One text that has each distinct segment of a mixed hash.
-    mixed = shared.filter("mixed").groupBy("h", "d").agg(F.sum("times").alias("n"), F.max(F.struct("key", "s", "e")).alias("at"))
-    wanted = mixed.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("h", "d", "n", "at.s", "at.e")).alias("segments"))
+    mixed = shared.filter("mixed").groupBy("h", "d").agg(F.sum("times").alias("n"), F.max(F.struct("key", "s", "e")).alias("at"), F.count("*").alias("rows"), *owners)
+    mixed = materialise(mixed, "mixed")
+    wanted = mixed.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("h", "d", "n", "first", "last", "at.s", "at.e")).alias("segments"))
+    names = ["h", "d", "n", "first", "last", "data"]
+    kinds = "h long, d long, n long, first long, last long, data binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # copies of a text give the same segments
+        known, seen = _Words(), set()  # copies of a text give the same segments
         for batch in batches:
-            for key, data, rows in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                if key in seen:
-                    continue
-                seen.add(key)
+            keys = batch.column(0).to_pylist()
+            fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            for data, rows in zip(symbols(batch.column(1), known), batch.column(2).to_pylist()):
                 for i in range(0, len(rows), 5000):
                     some = rows[i : i + 5000]
-                    columns = [pa.array([r[k] for r in some], pa.int64()) for k in "hdn"]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([data[r["s"] : r["e"] + length - 1] for r in some], pa.binary())], names=["h", "d", "n", "data"])
+                    columns = [pa.array([r[k] for r in some], pa.int64()) for k in names[:-1]]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([data[r["s"] * width : (r["e"] + length - 1) * width] for r in some], pa.binary())], names=names)
 
-    contents = long_texts.join(wanted, "key").select("key", "text", "segments").mapInArrow(cut, "h long, d long, n long, data binary")
+    contents = spread_join(long_texts, wanted, ["key"], found.select("key", F.col("times").alias("n"))).select("key", "text", "segments").mapInArrow(cut, kinds)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(rows: list[tuple]) -> pa.RecordBatch:
-            marks = repeats([r[3] for r in rows], length, TUPLES)
-            runs = [_pairs([(0, len(m))] if r[2] > 1 else runs_of(m)) for r, m in zip(rows, marks)]
+            owners = np.array([r[3:5] for r in rows], dtype=np.int64) if across else None
+            marks = repeats([r[5] for r in rows], length * width, tuples, owners, width)
+            runs = [_pairs([(0, len(m))] if (r[3] != r[4] if across else r[2] > 1) else runs_of(m)) for r, m in zip(rows, marks)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(runs, _RUNS)], names=["h", "d", "runs"])
 
         held, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if row[:2] == last:
                     continue
                 if size >= shard_bytes and row[0] != last[0]:
@@ -185,7 +227,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
                     held, size = [], 0
                 last = row[:2]
                 held.append(row)
-                size += len(row[3])
+                size += len(row[5])
         if held:
             yield shard(held)
 
@@ -194,14 +236,15 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     by_window = None
     if not crowded.isEmpty():
         contents = materialise(contents, "contents")
-        by_window = _by_window(contents.join(crowded, "h", "left_semi").dropDuplicates(["h", "d"]), length)
+        by_window = _by_window(contents.join(crowded, "h", "left_semi").dropDuplicates(["h", "d"]), length, width, across)
         contents = contents.join(crowded, "h", "left_anti")
     sorted_ = contents.repartition("h").sortWithinPartitions("h", "d").mapInArrow(sort, f"h long, d long, runs {RUNS}")
     sorted_ = sorted_ if by_window is None else sorted_.unionByName(by_window)
     sorted_ = materialise(sorted_.filter(F.size("runs") > 0), "sorted")
-    inside = shared.filter("mixed").join(sorted_, ["h", "d"]).select("key", F.transform("runs", lambda r: F.struct((r["a"] + F.col("s")).alias("a"), (r["b"] + F.col("s")).alias("b"))).alias("runs"))
-    same = shared.filter("not mixed").select("key", F.array(F.struct(F.col("s").alias("a"), F.col("e").alias("b"))).alias("runs"))
-    return inside.unionByName(same).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+    inside = spread_join(shared.filter("mixed"), sorted_, ["h", "d"], mixed.select("h", "d", F.col("rows").alias("n")))
+    inside = inside.select("key", "times", F.transform("runs", lambda r: F.struct((r["a"] + F.col("s")).alias("a"), (r["b"] + F.col("s")).alias("b"))).alias("runs"))
+    same = shared.filter("not mixed").select("key", "times", F.array(F.struct(F.col("s").alias("a"), F.col("e").alias("b"))).alias("runs"))
+    return inside.unionByName(same).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.max("times").alias("times"))
 
 
 def covered(runs: list[dict], length: int) -> list[tuple[int, int]]:
@@ -216,31 +259,51 @@ def covered(runs: list[dict], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int | None = None, shard_bytes: int = SHARD_BYTES, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """docs with removed (spans of bytes, ends exclusive) and kept (the remaining bytes); both replace columns
-    of these names."""
-    cols = [c for c in docs.columns if c.lower() not in ("removed", "kept")]
-    runs = repeated_runs(docs, text, length, gram, shard_bytes, shard_segments).withColumnRenamed("key", "__key").withColumnRenamed("runs", "__runs")
-    whole = docs.select(*cols, text_or_empty(text).alias("__text")).withColumn("__own", _key(F.col("__text")))
-    rows = whole.join(runs, F.col("__own") == F.col("__key"), "left").select(*cols, "__text", "__runs")
-    schema = T.StructType([*docs.select(*cols).schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))), T.StructField("kept", T.BinaryType())])
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, passage_words: int | None = None, **options) -> DataFrame:
+    """docs with removed (spans of bytes, ends exclusive) and kept (the remaining bytes), and with passage_words
+    also passages: the spans of words, in runs of so many at least, that other rows have too. These replace
+    columns of such names. options: as of repeated_runs()."""
+    made = ["removed", "kept", *["passages"][: passage_words is not None]]
+    cols = [c for c in docs.columns if c.lower() not in made]
+    key, content, runs = free_name(docs, "key", "content", "runs")
+    found = repeated_runs(docs, text, length, **options).withColumn("shared", F.lit(None).cast(RUNS))
+    if passage_words is not None:
+        passages = repeated_runs(docs, text, passage_words, words=True, across=True)
+        found = found.unionByName(passages.select("key", F.lit(None).cast(RUNS).alias("runs"), "times", F.col("runs").alias("shared")))
+        found = found.groupBy("key").agg(F.max("runs").alias("runs"), F.max("times").alias("times"), F.max("shared").alias("shared"))
+    found = materialise(found, "runs")
+    whole = docs.select(*cols, text_or_empty(text).alias(content)).withColumn(key, _key(F.col(content)))
+    rows = spread_join(whole, found.select(F.col("key").alias(key), F.struct("runs", "shared").alias(runs)), [key], found.select(F.col("key").alias(key), F.col("times").alias("n")), "left")
+    spans = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
+    schema = T.StructType([*docs.select(*cols).schema.fields, *[T.StructField(c, T.BinaryType() if c == "kept" else spans) for c in made]])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns
-            removed, kept = [], []
+            removed, kept, shared = [], [], []
             for data, found in zip(batch.column(n - 2).cast(pa.binary()).to_pylist(), batch.column(n - 1).to_pylist()):
-                spans = covered(found or [], length)
+                spans = covered(found and found["runs"] or [], length)
                 edges = [0, *(x for s in spans for x in s), len(data)]
                 kept.append(b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])]))
                 removed.append(_pairs(spans))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(removed, _RUNS), pa.array(kept, pa.binary())], names=[f.name for f in schema.fields])
+                shared.append(_pairs(covered(found and found["shared"] or [], passage_words or 1)))
+            out = [pa.array(removed, _RUNS), pa.array(kept, pa.binary()), pa.array(shared, _RUNS)][: len(made)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *out], names=[f.name for f in schema.fields])
 
-    return rows.mapInArrow(strip, schema)
+    return rows.select(*cols, content, runs).mapInArrow(strip, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Bytes, removed bytes, maximal removed runs and a digest of what remains, for each document."""
-    rows = remove_repeats(docs.select("doc_id", "text"))
+    """Bytes, removed bytes, maximal removed runs and a digest of what remains, for each document; and in how many
+    passages of more than 50 words it agrees with other documents, whether these reach `length` bytes or not."""
+    rows = remove_repeats(docs.select("doc_id", "text"), passage_words=PASSAGE_WORDS)
     n = F.octet_length(text_or_empty("text")).cast("long")
-    return rows.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select(
+        "doc_id",
+        n.alias("n_bytes"),
+        (n - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"),
+        (F.size("passages") > 0).alias("has_passage"),
+    )

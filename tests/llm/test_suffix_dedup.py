@@ -9,18 +9,53 @@ from stratagrid.llm import induced, suffix_dedup
 
 def brute(texts, length):
     data = [(t or "").encode() for t in texts]
-    count = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    count = Counter(hash(d[i : i + length]) for d in data for i in range(len(d) - length + 1))
     out = []
     for d in data:
         gone = bytearray(len(d))
         for i in range(len(d) - length + 1):
-            if count[d[i : i + length]] > 1:
+            if count[hash(d[i : i + length])] > 1:
                 gone[i : i + length] = b"\1" * length
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         out.append((len(d), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(d, gone) if not g)).hexdigest()))
     return out
 
 
+def brute_passages(texts, n):
+    """For each text, the spans of words in runs of n that another text has too."""
+    rows = [(t or "").encode().split() for t in texts]
+    owners = {}
+    for k, words in enumerate(rows):
+        for i in range(len(words) - n + 1):
+            owners.setdefault(hash(tuple(words[i : i + n])), set()).add(k)
+    out = []
+    for words in rows:
+        inside = [False] * len(words)
+        for i in range(len(words) - n + 1):
+            if len(owners[hash(tuple(words[i : i + n]))]) > 1:
+                inside[i : i + n] = [True] * n
+        edges = [i for i in range(len(words) + 1) if (i > 0 and inside[i - 1]) != (i < len(words) and inside[i])]
+        out.append(list(zip(edges[::2], edges[1::2])))
+    return out
+
+
+@pytest.mark.parametrize("memory", [4, 1 << 20])
+def test_owners_against_brute_force(memory):
+    import numpy as np
+
+    r = random.Random(memory)
+    for _ in range(300):
+        step, depth = r.choice([(1, 3), (2, 4), (4, 8)])
+        strings = [bytes(r.choice(b"ab") for _ in range(step * r.randint(0, 12))) for _ in range(r.randint(0, 6))]
+        owners = np.array([(o := r.randint(0, 2), o + r.choice([0, 0, 1])) for _ in strings], dtype=np.int64).reshape(-1, 2)
+        found = {}
+        for s, own in zip(strings, owners.tolist()):
+            for i in range(0, len(s) - depth + 1, step):
+                found.setdefault(s[i : i + depth], set()).update(own)
+        got = induced.repeats(strings, depth, memory, owners, step)
+        assert [m.tolist() for m in got] == [[len(found[s[i : i + depth]]) > 1 for i in range(0, len(s) - depth + 1, step)] for s in strings]
+
+
 @pytest.mark.parametrize("memory", [4, 1 << 20])
 def test_sorter_against_brute_force(memory):
     r = random.Random(memory)
@@ -75,12 +110,30 @@ def passages(seed, n=150):
 
 
 def test_report_against_brute_force(make_docs, odd_texts):
-    texts = passages(1) + [t for t in odd_texts if not t or len(t) < 20_000]
+    texts = passages(1) + odd_texts
     rows = {r.doc_id: r for r in suffix_dedup.report(make_docs(list(enumerate(texts)))).collect()}
-    want = brute(texts, 400)
-    assert len(rows) == len(texts) and sum(w[1] for w in want) > 50_000
+    want, shared = brute(texts, 400), brute_passages(texts, 51)
+    assert len(rows) == len(texts) and sum(w[1] for w in want) > 50_000 and sum(map(bool, shared)) > 20
     for i, w in enumerate(want):
         assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == w, i
+        assert (rows[i].n_passages, rows[i].has_passage) == (len(shared[i]), bool(shared[i])), i
+
+
+@pytest.mark.parametrize(("n", "shard", "most", "tuples"), [(12, 200, 10**6, 1 << 20), (12, 10**6, 2, 1 << 20), (25, 10**6, 10**6, 64)])
+def test_passages_of_words(make_docs, n, shard, most, tuples):
+    """Blanks of any kind part words, and what one text says twice is no passage of others. A shard may be larger
+    than its memory."""
+    r = random.Random(n)
+    texts = [r.choice([" ", "\n ", "\t"]).join(t.split()) for t in passages(n, 40)]
+    words = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(40)) for _ in range(2)]
+    texts += [words[0] + " " + words[0], words[1], words[1] + " end", None]
+    docs = make_docs(list(enumerate(texts))).select("doc_id", "text")
+    runs = suffix_dedup.repeated_runs(docs, length=n, words=True, across=True, shard_bytes=shard, shard_segments=most, tuples=tuples)
+    keyed = docs.select("doc_id", suffix_dedup._key(suffix_dedup.text_or_empty()).alias("key")).join(runs, "key")
+    rows = {x.doc_id: suffix_dedup.covered([s.asDict() for s in x.runs], n) for x in keyed.collect()}
+    want = brute_passages(texts, n)
+    assert [rows.get(i, []) for i in range(len(texts))] == want
+    assert not want[-4] and want[-3] == [(0, 40)]
 
 
 @pytest.mark.parametrize(("length", "gram", "shard", "most"), [(60, 20, 200, 10**6), (60, 20, 10**6, 3), (30, 29, 10**6, 0), (8, 1, 50, 10**6)])
@@ -105,4 +158,8 @@ def test_repeats_clashes_and_empty(spark, make_docs):
     docs = spark.createDataFrame([(None, "y" * 500, 1), (None, "y" * 500, 2), (1, None, 3)], "doc_id long, text string, kept int")
     out = suffix_dedup.remove_repeats(docs)
     assert out.columns == ["doc_id", "text", "removed", "kept"] and [len(r.kept) for r in out.collect()] == [0, 0, 0]
+    clashing = spark.createDataFrame([(1, "y" * 500, 5, 6, 7, 8, "x")], "doc_id long, text string, key int, content int, RUNS int, salt int, passages string")
+    out = suffix_dedup.remove_repeats(clashing.unionByName(clashing), passage_words=3)
+    assert out.columns == ["doc_id", "text", "key", "content", "RUNS", "salt", "removed", "kept", "passages"]
+    assert [tuple(r)[2:6] + (len(r.kept), r.passages) for r in out.collect()] == [(5, 6, 7, 8, 0, [])] * 2
     assert suffix_dedup.report(make_docs([(1, "x")]).limit(0)).count() == 0
