@@ -14,6 +14,7 @@ part. All decisions are made on the input, not on what is left of it. An empty i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,13 @@ from .induced import repeats
 from .shared import free_name, materialise, spread_join, text_or_empty
 
 LENGTH, GRAM = 400, 128
-#: Words of a passage that is reported where other documents have it, and words that a task remembers.
-PASSAGE_WORDS, MOST_KNOWN = 51, 1 << 19
+#: Words of a passage that is reported where other documents have it, and of the grams that these are found by.
+PASSAGE_WORDS, WORD_GRAM = 51, 12
 #: Windows worked out at a time, bytes of a shard after which a new one is begun, tuples in a shard's memory.
 CHUNK, SHARD_BYTES, TUPLES = 1 << 20, 1 << 20, 1 << 22
 #: Distinct segments of one hash that a shard takes; the windows of hashes with more are compared one by one.
 SHARD_SEGMENTS = 100_000
+_BLANK = re.compile(rb"[ \t-\r]")
 _ODD = 0x9E3779B97F4A7C15
 _SEGMENT = np.dtype([("h", "<i8"), ("d", "<i8"), ("s", "<i4"), ("e", "<i4"), ("own", "<i4")])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -47,17 +49,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[n]
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(32))
+
+
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of all symbols before each place, each times a power of its place, and the inverses of these powers: the
+    difference of two sums times the inverse at its beginning depends only on the symbols between."""
+    up, down = _power(max(CHUNK + 4096, len(data)))
+    with np.errstate(over="ignore"):
+        return np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)), down
+
+
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A mixed hash of each run of gram bytes, from running sums."""
-    up, down = _power(CHUNK + 4096 if len(data) <= CHUNK + 4096 else len(data))
+    """A mixed hash of each run of gram symbols."""
+    sums, down = _sums(data)
     with np.errstate(over="ignore"):
-        sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64))
-        h = (sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        return h ^ (h >> np.uint64(32))
+        return _mixed((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -71,27 +83,27 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-class _Words(dict):
-    """32 bits for each word, worked out once; forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_KNOWN:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
-        return out
-
-
-def word_symbols(text: bytes, known: _Words) -> bytes:
-    """A symbol of 4 bytes for each word. Runs of equal symbols stand for runs of equal words: one word in 2^32
-    would have to be mistaken for another at the same place of a run that is equal otherwise."""
-    words = text.split()  # of bytes: at ASCII white space
-    return np.fromiter(map(known.__getitem__, words), dtype="<u4", count=len(words)).tobytes()
+def word_symbols(text: bytes) -> bytes:
+    """A symbol of 4 bytes, a hash, for each word. Runs of equal symbols stand for runs of equal words: one word in
+    2^32 would have to be mistaken for another at the same place of a run that is equal otherwise."""
+    parts, a = [], 0
+    while a < len(text):
+        cut = _BLANK.search(text, min(a + CHUNK, len(text)))
+        b = cut.start() if cut else len(text)
+        data = np.frombuffer(text, dtype=np.uint8, count=b - a, offset=a)
+        inside = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13)), [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        sums, down = _sums(data)
+        with np.errstate(over="ignore"):
+            parts.append(_mixed((sums[edges[1::2]] - sums[edges[::2]]) * down[edges[::2]]).astype("<u4").tobytes())
+        a = b
+    return b"".join(parts)
 
 
-def segments(text: bytes, length: int = LENGTH, gram: int = GRAM, width: int = 1) -> np.ndarray:
+def segments(text: bytes, length: int = LENGTH, gram: int = GRAM, width: int = 1, inner: bool = True) -> np.ndarray:
     """h, d, s, e, own of each segment: its hash, a digest of its symbols, its windows' starts from s to before e,
-    and whether its hash is that of several of its grams, so that its own windows may equal each other. Symbols
-    are of so many bytes."""
+    and, if inner ones matter, whether its hash is that of several of its grams, so that its own windows may equal
+    each other. Symbols are of so many bytes."""
     data = np.frombuffer(text, dtype=f"<u{width}")
     parts = []
     for a in range(0, max(0, len(data) - length + 1), CHUNK):
@@ -102,7 +114,7 @@ def segments(text: bytes, length: int = LENGTH, gram: int = GRAM, width: int = 1
         e = np.append(s[1:], len(least))
         out = np.empty(len(s), dtype=_SEGMENT)
         out["h"], out["s"], out["e"] = least[s].view(np.int64), s + a, e + a
-        out["own"] = [np.count_nonzero(hashes[x : y + run - 1] == v) > 1 for x, y, v in zip(s.tolist(), e.tolist(), least[s])]
+        out["own"] = inner and [np.count_nonzero(hashes[x : y + run - 1] == v) > 1 for x, y, v in zip(s.tolist(), e.tolist(), least[s])]
         digest = xxhash.xxh3_64_intdigest
         out["d"] = np.array([digest(text[x * width : (y + length - 1) * width]) for x, y in zip(out["s"].tolist(), out["e"].tolist())], dtype=np.uint64).view(np.int64)
         parts.append(out)
@@ -141,8 +153,8 @@ def _by_window(contents: DataFrame, length: int, width: int, across: bool) -> Da
 
     each = contents.mapInArrow(windows, "h long, d long, n long, first long, last long, i int, window binary")
     again = F.min("first") != F.max("last") if across else F.sum("n") > 1
-    again = each.groupBy("window").agg(again.alias("again"), F.count("*").alias("rows")).filter("again")
-    found = spread_join(each, again.select("window"), ["window"], again.select("window", F.col("rows").alias("n"))).groupBy("h", "d").agg(F.collect_set("i").alias("at"))
+    again = materialise(each.groupBy("window").agg(again.alias("again"), F.count("*").alias("n")).filter("again").select("window", "n"), "windows")
+    found = spread_join(each, again.select("window"), ["window"], again).groupBy("h", "d").agg(F.collect_set("i").alias("at"))
     return found.select("h", "d", F.transform("at", lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
 
 
@@ -152,21 +164,22 @@ def repeated_runs(
 ) -> DataFrame:
     """key, runs, times: for each text that has any, the runs of starts of windows that repeat, and how many rows
     have the text. Windows are of so many bytes, or with words of so many words, whatever lies between these. A
-    window repeats if it starts anywhere else, or with across if another row has it."""
-    gram = gram or (GRAM if length > 2 * GRAM else max(1, length * 2 // 5))
+    window repeats if it starts anywhere else, or with across if another row has it. shard_segments: a hash with
+    more distinct segments isn't sorted, its windows are counted by digest; 0: so are those of all."""
+    usual = WORD_GRAM if words else GRAM
+    gram = gram or (usual if length > 2 * usual else max(1, length // 2))
     width = 4 if words else 1
     whole = text_or_empty(text)
     # A word takes two bytes with the blank after it.
     long_texts = docs.select(whole.alias("text")).filter(F.octet_length("text") >= (2 * length - 1 if words else length)).select(_key(F.col("text")).alias("key"), "text")
 
-    def symbols(texts: pa.Array, known: _Words) -> list[bytes]:
+    def symbols(texts: pa.Array) -> list[bytes]:
         found = texts.cast(pa.binary()).to_pylist()
-        return [word_symbols(x, known) for x in found] if words else found
+        return [word_symbols(x) for x in found] if words else found
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for batch in batches:
-            packed = [segments(x, length, gram, width).tobytes() for x in symbols(batch.column(1), known)]
+            packed = [segments(x, length, gram, width, not across).tobytes() for x in symbols(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["key", "packed"])
 
     found = long_texts.mapInArrow(find, "key binary, packed binary").filter(F.octet_length("packed") > 0)
@@ -197,12 +210,12 @@ def repeated_runs(
     kinds = "h long, d long, n long, first long, last long, data binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _Words(), set()  # copies of a text give the same segments
+        seen: set[bytes] = set()  # copies of a text give the same segments
         for batch in batches:
             keys = batch.column(0).to_pylist()
             fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
             batch = batch.take(pa.array(fresh, pa.int64()))
-            for data, rows in zip(symbols(batch.column(1), known), batch.column(2).to_pylist()):
+            for data, rows in zip(symbols(batch.column(1)), batch.column(2).to_pylist()):
                 for i in range(0, len(rows), 5000):
                     some = rows[i : i + 5000]
                     columns = [pa.array([r[k] for r in some], pa.int64()) for k in names[:-1]]
@@ -231,15 +244,18 @@ def repeated_runs(
         if held:
             yield shard(held)
 
-    crowded = mixed.groupBy("h").count().filter(F.col("count") > shard_segments).select("h")
-    crowded = materialise(crowded, "crowded")
-    by_window = None
-    if not crowded.isEmpty():
-        contents = materialise(contents, "contents")
-        by_window = _by_window(contents.join(crowded, "h", "left_semi").dropDuplicates(["h", "d"]), length, width, across)
-        contents = contents.join(crowded, "h", "left_anti")
-    sorted_ = contents.repartition("h").sortWithinPartitions("h", "d").mapInArrow(sort, f"h long, d long, runs {RUNS}")
-    sorted_ = sorted_ if by_window is None else sorted_.unionByName(by_window)
+    if shard_segments:
+        crowded = mixed.groupBy("h").count().filter(F.col("count") > shard_segments).select("h")
+        crowded = materialise(crowded, "crowded")
+        by_window = None
+        if not crowded.isEmpty():
+            contents = materialise(contents, "contents")
+            by_window = _by_window(contents.join(crowded, "h", "left_semi").dropDuplicates(["h", "d"]), length, width, across)
+            contents = contents.join(crowded, "h", "left_anti")
+        sorted_ = contents.repartition("h").sortWithinPartitions("h", "d").mapInArrow(sort, f"h long, d long, runs {RUNS}")
+        sorted_ = sorted_ if by_window is None else sorted_.unionByName(by_window)
+    else:
+        sorted_ = _by_window(contents if across else contents.dropDuplicates(["h", "d"]), length, width, across)
     sorted_ = materialise(sorted_.filter(F.size("runs") > 0), "sorted")
     inside = spread_join(shared.filter("mixed"), sorted_, ["h", "d"], mixed.select("h", "d", F.col("rows").alias("n")))
     inside = inside.select("key", "times", F.transform("runs", lambda r: F.struct((r["a"] + F.col("s")).alias("a"), (r["b"] + F.col("s")).alias("b"))).alias("runs"))
@@ -268,7 +284,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, pa
     key, content, runs = free_name(docs, "key", "content", "runs")
     found = repeated_runs(docs, text, length, **options).withColumn("shared", F.lit(None).cast(RUNS))
     if passage_words is not None:
-        passages = repeated_runs(docs, text, passage_words, words=True, across=True)
+        passages = repeated_runs(docs, text, passage_words, words=True, across=True, shard_segments=0)
         found = found.unionByName(passages.select("key", F.lit(None).cast(RUNS).alias("runs"), "times", F.col("runs").alias("shared")))
         found = found.groupBy("key").agg(F.max("runs").alias("runs"), F.max("times").alias("times"), F.max("shared").alias("shared"))
     found = materialise(found, "runs")

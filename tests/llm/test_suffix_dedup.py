@@ -119,7 +119,7 @@ def test_report_against_brute_force(make_docs, odd_texts):
         assert (rows[i].n_passages, rows[i].has_passage) == (len(shared[i]), bool(shared[i])), i
 
 
-@pytest.mark.parametrize(("n", "shard", "most", "tuples"), [(12, 200, 10**6, 1 << 20), (12, 10**6, 2, 1 << 20), (25, 10**6, 10**6, 64)])
+@pytest.mark.parametrize(("n", "shard", "most", "tuples"), [(12, 200, 10**6, 1 << 20), (12, 10**6, 2, 1 << 20), (25, 10**6, 10**6, 64), (12, 1, 0, 1)])
 def test_passages_of_words(make_docs, n, shard, most, tuples):
     """Blanks of any kind part words, and what one text says twice is no passage of others. A shard may be larger
     than its memory."""
@@ -154,6 +154,18 @@ def test_chunks_of_a_long_text(monkeypatch):
         assert found["s"][0] == 0 and found["e"][-1] == 5000 - 399 and (found["s"][1:] == found["e"][:-1]).all()
 
 
+def test_symbols_of_words(monkeypatch):
+    r = random.Random(3)
+    text = "".join(r.choice(["ab", "é", " ", "\n", "x" * 40, "\x0b", "日本 "]) for _ in range(500)).encode()
+    whole = suffix_dedup.word_symbols(text)
+    ids = {}
+    for k, w in enumerate(text.split()):
+        assert ids.setdefault(w, whole[4 * k : 4 * k + 4]) == whole[4 * k : 4 * k + 4]
+    assert len(whole) == 4 * len(text.split()) and len(set(ids.values())) == len(ids)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 17)
+    assert suffix_dedup.word_symbols(text) == whole and suffix_dedup.word_symbols(b" \t") == b""
+
+
 def test_repeats_clashes_and_empty(spark, make_docs):
     docs = spark.createDataFrame([(None, "y" * 500, 1), (None, "y" * 500, 2), (1, None, 3)], "doc_id long, text string, kept int")
     out = suffix_dedup.remove_repeats(docs)
