@@ -324,10 +324,9 @@ class Shard:
             self.marked[line[deep + shift - 1]] = True
 
 
-def repeats(strings: list[bytes], depth: int, memory: int = 1 << 24, owners: np.ndarray | None = None, step: int = 1) -> list[np.ndarray]:
+def repeats(strings: list[bytes], depth: int, memory: int = 1 << 24) -> list[np.ndarray]:
     """For each string, which of its positions start a substring of `depth` bytes that also starts anywhere else
-    in the strings; only every step-th position counts. owners: for each string the first and last of those who
-    have it; then a substring counts if not all its places belong to one and the same."""
+    in the strings."""
     if not strings:
         return []
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
@@ -337,22 +336,5 @@ def repeats(strings: list[bytes], depth: int, memory: int = 1 << 24, owners: np.
     for s, at in zip(strings, starts.tolist()):
         text[at : at + len(s)] = np.frombuffer(s, dtype=np.uint8).astype(np.int16) + 2
     text[-1] = 0
-    shard = Shard(text, depth, memory)
-    marked = shard.mark_repeats() if owners is None else _shared(shard, starts, lengths, owners, step)
-    return [marked[a : a + max(0, n - depth + 1) : step] for a, n in zip(starts.tolist(), lengths.tolist())]
-
-
-def _shared(shard: Shard, starts: np.ndarray, lengths: np.ndarray, owners: np.ndarray, step: int) -> np.ndarray:
-    """Which suffixes agree for the whole depth with one of another owner, read off the sorted suffixes: runs in
-    which no common prefix is less."""
-    order, value = shard.sort()
-    run = np.cumsum(value < shard.depth)
-    own = np.searchsorted(starts, order, side="right") - 1
-    whole = (order - starts[own] + shard.depth <= lengths[own]) & ((order - starts[own]) % step == 0)
-    order, run, own = order[whole], run[whole], own[whole]
-    out = array(len(shard.text), bool, shard.memory)
-    if len(order):
-        first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        several = np.minimum.reduceat(owners[own, 0], first) != np.maximum.reduceat(owners[own, 1], first)
-        out[order[np.repeat(several, np.diff(np.append(first, len(order))))]] = True
-    return out
+    marked = Shard(text, depth, memory).mark_repeats()
+    return [marked[a : a + max(0, n - depth + 1)] for a, n in zip(starts.tolist(), lengths.tolist())]

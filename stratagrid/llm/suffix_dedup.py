@@ -139,33 +139,56 @@ def _pairs(runs: list[tuple[int, int]]) -> list[dict]:
     return [{"a": a, "b": b} for a, b in runs]
 
 
-def _by_window(contents: DataFrame, length: int, width: int, across: bool) -> DataFrame:
+def _by_window(contents: DataFrame, length: int, words: bool) -> DataFrame:
     """h, d, runs of windows that occur twice or more among segments, found by counting digests of windows."""
 
+    width = 4 if words else 1
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                data, size = row[5], length * width
-                starts = range(len(data) // width - length + 1)
-                digests = [xxhash.xxh3_128_digest(data[i * width : i * width + size]) for i in starts]
-                same = [pa.array([x] * len(digests), pa.int64()) for x in row[:5]]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], names=["h", "d", "n", "first", "last", "i", "window"])
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                data = some.column(5).to_pylist()
+                counts = [len(x) // width - length + 1 for x in data]
+                digests = [xxhash.xxh3_128_digest(x[i * width : (i + length) * width]) for x, n in zip(data, counts) for i in range(n)]
+                rows = pa.array(np.repeat(np.arange(len(data)), counts))
+                starts = pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in counts]))
+                yield pa.RecordBatch.from_arrays([*[some.column(c).take(rows) for c in range(5)], starts, pa.array(digests, pa.binary())], names=["h", "d", "n", "first", "last", "i", "window"])
 
     each = contents.mapInArrow(windows, "h long, d long, n long, first long, last long, i int, window binary")
-    again = F.min("first") != F.max("last") if across else F.sum("n") > 1
+    again = F.min("first") != F.max("last") if words else F.sum("n") > 1
     again = materialise(each.groupBy("window").agg(again.alias("again"), F.count("*").alias("n")).filter("again").select("window", "n"), "windows")
     found = spread_join(each, again.select("window"), ["window"], again).groupBy("h", "d").agg(F.collect_set("i").alias("at"))
     return found.select("h", "d", F.transform("at", lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
 
 
+def shared_windows(rows: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each row of symbols of 4 bytes, which of its windows another owner has too, by 64-bit hashes. owners: for
+    each row the first and last of those who have it."""
+    counts = np.array([len(x) // 4 for x in rows])
+    flat = np.frombuffer(b"".join(rows), dtype="<u4")
+    whole = np.ones(len(flat), dtype=bool)
+    ends = np.cumsum(counts)
+    for k in range(1, length):
+        whole[ends[counts >= k] - k] = False
+    at = np.flatnonzero(whole[: len(flat) - length + 1])
+    hashes, own = gram_hashes(flat, length)[at], np.repeat(np.arange(len(rows)), counts)[at]
+    order = np.argsort(hashes)
+    first = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1]))
+    several = np.minimum.reduceat(owners[own[order], 0], first) != np.maximum.reduceat(owners[own[order], 1], first)
+    marked = np.zeros(len(flat), dtype=bool)
+    marked[at[order]] = np.repeat(several, np.diff(np.append(first, len(order))))
+    return [marked[b - n : b - length + 1] for b, n in zip(ends.tolist(), counts.tolist())]
+
+
 def repeated_runs(
     docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int | None = None, shard_bytes: int = SHARD_BYTES,
-    shard_segments: int = SHARD_SEGMENTS, words: bool = False, across: bool = False, tuples: int = TUPLES,
+    shard_segments: int = SHARD_SEGMENTS, words: bool = False, tuples: int = TUPLES,
 ) -> DataFrame:
     """key, runs, times: for each text that has any, the runs of starts of windows that repeat, and how many rows
-    have the text. Windows are of so many bytes, or with words of so many words, whatever lies between these. A
-    window repeats if it starts anywhere else, or with across if another row has it. shard_segments: a hash with
-    more distinct segments isn't sorted, its windows are counted by digest; 0: so are those of all."""
+    have the text. Windows are of so many bytes, and repeat if they start anywhere else; or with words of so many
+    words, whatever lies between these, and repeat if another row has them. shard_segments: a hash with more
+    distinct segments isn't looked into by one task, its windows are counted by digest."""
     usual = WORD_GRAM if words else GRAM
     gram = gram or (usual if length > 2 * usual else max(1, length // 2))
     width = 4 if words else 1
@@ -179,7 +202,7 @@ def repeated_runs(
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [segments(x, length, gram, width, not across).tobytes() for x in symbols(batch.column(1))]
+            packed = [segments(x, length, gram, width, not words).tobytes() for x in symbols(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["key", "packed"])
 
     found = long_texts.mapInArrow(find, "key binary, packed binary").filter(F.octet_length("packed") > 0)
@@ -198,8 +221,8 @@ def repeated_runs(
     owners = [F.min("owner").alias("first"), F.max(F.when(F.col("times") > 1, F.lit((1 << 63) - 1)).otherwise(F.col("owner"))).alias("last")]
     hashes = each.groupBy("h").agg(F.sum("times").alias("times"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("own").alias("own"), F.count("*").alias("n"), *owners)
     differ, several = F.col("low") != F.col("high"), F.col("times") > 1
-    hashes = hashes.filter(F.col("first") != F.col("last")) if across else hashes.filter(several | (F.col("own") > 0))
-    hashes = materialise(hashes.select("h", "n", (differ if across else differ | ~several).alias("mixed")), "hashes")
+    hashes = hashes.filter(F.col("first") != F.col("last")) if words else hashes.filter(several | (F.col("own") > 0))
+    hashes = materialise(hashes.select("h", "n", (differ if words else differ | ~several).alias("mixed")), "hashes")
     shared = materialise(spread_join(each.drop("own"), hashes.select("h", "mixed"), ["h"], hashes.select("h", "n")), "shared")
 
     # One text that has each distinct segment of a mixed hash.
@@ -215,19 +238,24 @@ def repeated_runs(
             keys = batch.column(0).to_pylist()
             fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
             batch = batch.take(pa.array(fresh, pa.int64()))
-            for data, rows in zip(symbols(batch.column(1)), batch.column(2).to_pylist()):
-                for i in range(0, len(rows), 5000):
-                    some = rows[i : i + 5000]
-                    columns = [pa.array([r[k] for r in some], pa.int64()) for k in names[:-1]]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([data[r["s"] * width : (r["e"] + length - 1) * width] for r in some], pa.binary())], names=names)
+            offsets, flat = batch.column(2).offsets.to_numpy(), batch.column(2).flatten()
+            fields = {k: flat.field(k) for k in (*names[:-1], "s", "e")}
+            for data, i, j in zip(symbols(batch.column(1)), (offsets - offsets[0]).tolist(), (offsets[1:] - offsets[0]).tolist()):
+                for a in range(i, j, 5000):
+                    some = {k: v.slice(a, min(5000, j - a)) for k, v in fields.items()}
+                    parts = [data[x * width : (y + length - 1) * width] for x, y in zip(some["s"].to_pylist(), some["e"].to_pylist())]
+                    yield pa.RecordBatch.from_arrays([*[some[k] for k in names[:-1]], pa.array(parts, pa.binary())], names=names)
 
     contents = spread_join(long_texts, wanted, ["key"], found.select("key", F.col("times").alias("n"))).select("key", "text", "segments").mapInArrow(cut, kinds)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(rows: list[tuple]) -> pa.RecordBatch:
-            owners = np.array([r[3:5] for r in rows], dtype=np.int64) if across else None
-            marks = repeats([r[5] for r in rows], length * width, tuples, owners, width)
-            runs = [_pairs([(0, len(m))] if (r[3] != r[4] if across else r[2] > 1) else runs_of(m)) for r, m in zip(rows, marks)]
+            if words:
+                owners = np.array([r[3:5] for r in rows], dtype=np.int64)
+                marks = shared_windows([r[5] for r in rows], owners, length)
+            else:
+                marks = repeats([r[5] for r in rows], length, tuples)
+            runs = [_pairs([(0, len(m))] if (r[3] != r[4] if words else r[2] > 1) else runs_of(m)) for r, m in zip(rows, marks)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(runs, _RUNS)], names=["h", "d", "runs"])
 
         held, size, last = [], 0, None
@@ -244,18 +272,15 @@ def repeated_runs(
         if held:
             yield shard(held)
 
-    if shard_segments:
-        crowded = mixed.groupBy("h").count().filter(F.col("count") > shard_segments).select("h")
-        crowded = materialise(crowded, "crowded")
-        by_window = None
-        if not crowded.isEmpty():
-            contents = materialise(contents, "contents")
-            by_window = _by_window(contents.join(crowded, "h", "left_semi").dropDuplicates(["h", "d"]), length, width, across)
-            contents = contents.join(crowded, "h", "left_anti")
-        sorted_ = contents.repartition("h").sortWithinPartitions("h", "d").mapInArrow(sort, f"h long, d long, runs {RUNS}")
-        sorted_ = sorted_ if by_window is None else sorted_.unionByName(by_window)
-    else:
-        sorted_ = _by_window(contents if across else contents.dropDuplicates(["h", "d"]), length, width, across)
+    crowded = mixed.groupBy("h").count().filter(F.col("count") > shard_segments).select("h")
+    crowded = materialise(crowded, "crowded")
+    by_window = None
+    if not crowded.isEmpty():
+        contents = materialise(contents, "contents")
+        by_window = _by_window(contents.join(crowded, "h", "left_semi").dropDuplicates(["h", "d"]), length, words)
+        contents = contents.join(crowded, "h", "left_anti")
+    sorted_ = contents.repartition("h").sortWithinPartitions("h", "d").mapInArrow(sort, f"h long, d long, runs {RUNS}")
+    sorted_ = sorted_ if by_window is None else sorted_.unionByName(by_window)
     sorted_ = materialise(sorted_.filter(F.size("runs") > 0), "sorted")
     inside = spread_join(shared.filter("mixed"), sorted_, ["h", "d"], mixed.select("h", "d", F.col("rows").alias("n")))
     inside = inside.select("key", "times", F.transform("runs", lambda r: F.struct((r["a"] + F.col("s")).alias("a"), (r["b"] + F.col("s")).alias("b"))).alias("runs"))
@@ -284,7 +309,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, pa
     key, content, runs = free_name(docs, "key", "content", "runs")
     found = repeated_runs(docs, text, length, **options).withColumn("shared", F.lit(None).cast(RUNS))
     if passage_words is not None:
-        passages = repeated_runs(docs, text, passage_words, words=True, across=True, shard_segments=0)
+        passages = repeated_runs(docs, text, passage_words, words=True)
         found = found.unionByName(passages.select("key", F.lit(None).cast(RUNS).alias("runs"), "times", F.col("runs").alias("shared")))
         found = found.groupBy("key").agg(F.max("runs").alias("runs"), F.max("times").alias("times"), F.max("shared").alias("shared"))
     found = materialise(found, "runs")

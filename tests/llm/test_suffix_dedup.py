@@ -39,21 +39,20 @@ def brute_passages(texts, n):
     return out
 
 
-@pytest.mark.parametrize("memory", [4, 1 << 20])
-def test_owners_against_brute_force(memory):
+def test_owners_against_brute_force():
     import numpy as np
 
-    r = random.Random(memory)
+    r = random.Random(4)
     for _ in range(300):
-        step, depth = r.choice([(1, 3), (2, 4), (4, 8)])
-        strings = [bytes(r.choice(b"ab") for _ in range(step * r.randint(0, 12))) for _ in range(r.randint(0, 6))]
-        owners = np.array([(o := r.randint(0, 2), o + r.choice([0, 0, 1])) for _ in strings], dtype=np.int64).reshape(-1, 2)
+        n = r.randint(1, 4)
+        rows = [bytes(b for _ in range(n + r.randint(0, 9)) for b in (r.choice(b"abc"), 0, 1, 2)) for _ in range(r.randint(1, 6))]
+        owners = np.array([(o := r.randint(0, 2), o + r.choice([0, 0, 1])) for _ in rows], dtype=np.int64)
         found = {}
-        for s, own in zip(strings, owners.tolist()):
-            for i in range(0, len(s) - depth + 1, step):
-                found.setdefault(s[i : i + depth], set()).update(own)
-        got = induced.repeats(strings, depth, memory, owners, step)
-        assert [m.tolist() for m in got] == [[len(found[s[i : i + depth]]) > 1 for i in range(0, len(s) - depth + 1, step)] for s in strings]
+        for s, own in zip(rows, owners.tolist()):
+            for i in range(0, len(s) - 4 * n + 1, 4):
+                found.setdefault(s[i : i + 4 * n], set()).update(own)
+        got = suffix_dedup.shared_windows(rows, owners, n)
+        assert [m.tolist() for m in got] == [[len(found[s[i : i + 4 * n]]) > 1 for i in range(0, len(s) - 4 * n + 1, 4)] for s in rows]
 
 
 @pytest.mark.parametrize("memory", [4, 1 << 20])
@@ -119,16 +118,15 @@ def test_report_against_brute_force(make_docs, odd_texts):
         assert (rows[i].n_passages, rows[i].has_passage) == (len(shared[i]), bool(shared[i])), i
 
 
-@pytest.mark.parametrize(("n", "shard", "most", "tuples"), [(12, 200, 10**6, 1 << 20), (12, 10**6, 2, 1 << 20), (25, 10**6, 10**6, 64), (12, 1, 0, 1)])
-def test_passages_of_words(make_docs, n, shard, most, tuples):
-    """Blanks of any kind part words, and what one text says twice is no passage of others. A shard may be larger
-    than its memory."""
+@pytest.mark.parametrize(("n", "shard", "most"), [(12, 200, 10**6), (25, 10**6, 2)])
+def test_passages_of_words(make_docs, n, shard, most):
+    """Blanks of any kind part words, and what one text says twice is no passage of others."""
     r = random.Random(n)
     texts = [r.choice([" ", "\n ", "\t"]).join(t.split()) for t in passages(n, 40)]
     words = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(40)) for _ in range(2)]
     texts += [words[0] + " " + words[0], words[1], words[1] + " end", None]
     docs = make_docs(list(enumerate(texts))).select("doc_id", "text")
-    runs = suffix_dedup.repeated_runs(docs, length=n, words=True, across=True, shard_bytes=shard, shard_segments=most, tuples=tuples)
+    runs = suffix_dedup.repeated_runs(docs, length=n, words=True, shard_bytes=shard, shard_segments=most)
     keyed = docs.select("doc_id", suffix_dedup._key(suffix_dedup.text_or_empty()).alias("key")).join(runs, "key")
     rows = {x.doc_id: suffix_dedup.covered([s.asDict() for s in x.runs], n) for x in keyed.collect()}
     want = brute_passages(texts, n)
@@ -136,11 +134,12 @@ def test_passages_of_words(make_docs, n, shard, most, tuples):
     assert not want[-4] and want[-3] == [(0, 40)]
 
 
-@pytest.mark.parametrize(("length", "gram", "shard", "most"), [(60, 20, 200, 10**6), (60, 20, 10**6, 3), (30, 29, 10**6, 0), (8, 1, 50, 10**6)])
-def test_other_lengths_and_small_shards(make_docs, length, gram, shard, most):
+@pytest.mark.parametrize(("length", "gram", "shard", "most", "tuples"), [(60, 20, 200, 10**6, 1 << 20), (60, 20, 10**6, 3, 1 << 20), (30, 29, 10**6, 0, 1), (8, 1, 10**6, 10**6, 500)])
+def test_other_lengths_and_small_shards(make_docs, length, gram, shard, most, tuples):
+    """Small shards, hashes too crowded for one, and shards far larger than their memory."""
     texts = passages(2, 40)
     docs = make_docs(list(enumerate(texts))).select("doc_id", "text")
-    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, length=length, gram=gram, shard_bytes=shard, shard_segments=most).collect()}
+    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, length=length, gram=gram, shard_bytes=shard, shard_segments=most, tuples=tuples).collect()}
     for i, w in enumerate(brute(texts, length)):
         assert (sum(s.b - s.a for s in rows[i].removed), len(rows[i].removed), hashlib.sha256(bytes(rows[i].kept)).hexdigest()) == w[1:]
 
