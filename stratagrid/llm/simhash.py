@@ -2,13 +2,15 @@
 
 Fingerprints that differ in at most `radius` bits agree on one of radius + 1 blocks of bits (on k of radius + k,
 for tables so large that one block doesn't part them), so each distinct fingerprint goes to one bucket per choice
-of blocks and no link is lost. A bucket is a square of tiles of bounded size;
-tiles are sorted by population count, and parts whose counts differ beyond the radius are skipped, the rest
-compared by exclusive-or and bit count. A tile passes on one link per fingerprint, not all pairs. Equal
+of blocks and no link is lost. A bucket of more than a tile is cut into tiles along the population counts, a count
+with more than a tile into several. Pairs of tiles whose counts differ beyond the radius are skipped: a fingerprint
+goes only to the pairs with tiles that hold counts within the radius of its own. Inside a pair, parts are skipped
+likewise, the rest compared by exclusive-or and bit count. A tile passes on one link per fingerprint, not all pairs. Equal
 fingerprints travel once, however many documents have them.
 
 A null or blank text has fingerprint zero and is linked like any other; a null doc_id takes part but names no
 component unless all its members are null. Repeated rows each come back. An empty input gives an empty result.
+Texts of any length are taken whole. Columns may have any names; only doc_id and text are looked at.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, spread_join
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Most fingerprints on one side of a tile, and the parts in which numpy compares them.
 TILE, PART, WIDTH = 1 << 14, 256, 4096
+#: Rows of a broadcast table of tiles: of six short columns.
+MOST_PARTS = 100_000
 
 
 def fingerprint(data: bytes, words: int = WORDS) -> int:
@@ -121,16 +125,31 @@ def block_keys(fp: Column, radius: int = RADIUS, agree: int = 1) -> Column:
     return F.array(*keys)
 
 
+def tile_pairs(rows: DataFrame, radius: int, tile: int, bounded: bool = False) -> DataFrame:
+    """bucket, a, b, right, fp: the pairs of tiles that each fingerprint of (fp, bucket) takes part in, and whether
+    it belongs to the second one. bounded: of one block, so that there are at most 5 * 2^13 buckets."""
+    none = F.lit(0)
+    hot = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("bucket"), "hot")
+    if hot.isEmpty():
+        return rows.select("bucket", none.alias("a"), none.alias("b"), F.lit(False).alias("right"), "fp")
+    rows = rows.withColumn("ones", F.bit_count("fp"))
+    upto = Window.partitionBy("bucket").orderBy("ones")  # of 65 rows at most
+    counts = rows.join(F.broadcast(hot) if bounded else hot, "bucket", "left_semi").groupBy("bucket", "ones").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+    counts = counts.withColumns({"first": F.floor(F.col("before") / tile).cast("int"), "last": F.floor((F.col("before") + F.col("n") - 1) / tile).cast("int")})
+    near = upto.rangeBetween(-radius, radius)
+    parts = materialise(counts.select("bucket", "ones", "first", "last", F.min("first").over(near).alias("low"), F.max("last").over(near).alias("high")), "parts")
+    rows = rows.join(F.broadcast(parts) if parts.count() <= MOST_PARTS else parts, ["bucket", "ones"], "left")
+    mine = F.col("first") + F.pmod(F.xxhash64("fp"), F.col("last") - F.col("first") + 1).cast("int")
+    rows = rows.withColumn("mine", F.coalesce(mine, none)).withColumn("other", F.explode(F.sequence(F.coalesce("low", none), F.coalesce("high", none))))
+    return rows.select("bucket", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).alias("right"), "fp")
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, agree: int | None = None) -> DataFrame:
     """(u, v) that connect the distinct fingerprints of fps as all pairs within the radius would."""
     agree = agree or agreeing(fps.count(), radius)
     rows = materialise(fps.select("fp", F.explode(block_keys(F.col("fp"), radius, agree)).alias("bucket")), "buckets")
-    hot = rows.groupBy("bucket").count().filter(F.col("count") > tile).select("bucket", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    # With buckets of one block and the default radius, hot has at most 5 * 2^13 rows, whatever the input.
-    rows = rows.join(F.broadcast(hot) if agree == 1 and radius >= RADIUS else hot, "bucket", "left")
-    mine = F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
-    tiles = rows.select("bucket", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).alias("right"), "fp")
+    tiles = tile_pairs(rows, radius, tile, bounded=agree == 1 and radius >= RADIUS)
     tiles = tiles.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,12 +199,12 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), "least")
+        large = spread_join(both.filter("v > u"), least.select("u", F.least("u", "m").alias("m")), ["u"], least.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.filter("u <> v").distinct(), "edges")
         # Each edge points downwards here: u's neighbours that are not above it, and u itself.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = spread_join(large, least.select("u", "m"), ["u"], least.select("u", "n")).select("u", "v", "m")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = materialise(small.filter("u <> v").distinct(), "edges")
 
@@ -193,11 +212,12 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of each row; the component's id is the least doc_id in it."""
     rows = materialise(fingerprints(docs, doc_id, text, words), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, radius))
     placed = materialise(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    ids = materialise(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "ids")
+    named = spread_join(placed, ids.select("root", "component_id"), ["root"], ids.select("root", "n"))
+    return spread_join(rows, named.select("fp", "component_id"), ["fp"], nodes.select("fp", "n")).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -90,3 +90,37 @@ def test_keep_one_and_odd_rows(spark):
     out = simhash.keep_one(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [3, 3, 7, 9]
     assert simhash.report(docs).count() == 6 and simhash.report(docs.limit(0)).count() == 0
+
+
+def test_tiles_follow_population_counts(spark):
+    """All pairs within the radius meet in just one pair of tiles, and far ones don't travel together."""
+    r = np.random.default_rng(3)
+    fps = np.unique(np.concatenate([r.integers(0, 1 << 16, 400), [(1 << k) - 1 for k in range(17)]])).tolist()
+    rows = spark.createDataFrame([(f, 0) for f in fps], "fp long, bucket long")
+    found = {}
+    for t in simhash.tile_pairs(rows, 2, 20).collect():
+        found.setdefault((t.a, t.b), ([], []))[t.right].append(t.fp)
+    met = {}
+    for (a, b), (left, right) in found.items():
+        assert len(left) <= 60 and len(right) <= 60 and a <= b
+        for x in left:
+            for y in left if a == b else right:
+                if x != y:
+                    met[min(x, y), max(x, y)] = met.get((min(x, y), max(x, y)), 0) + (1 if a != b else 0.5)
+    for i, x in enumerate(fps):
+        for y in fps[i + 1 :]:
+            if (x ^ y).bit_count() <= 2:
+                assert met[x, y] == 1
+    tiles = 1 + max(b for _, b in found)
+    assert tiles > 15 and len(found) < tiles * (tiles + 1) / 2
+
+
+def test_one_group_of_many(make_docs):
+    """A third of all rows in one component, and names that clash."""
+    texts = ["same " * 60] * 200 + near_copies(4, 120)
+    docs = make_docs(list(enumerate(texts))).withColumnsRenamed({"lang": "fp", "n_chars": "root"})
+    fps = [brute_fingerprint(t) for t in texts]
+    want = brute_components(list(range(len(texts))), fps)
+    assert {r.doc_id: r.component_id for r in simhash.report(docs).collect()} == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want.values())
