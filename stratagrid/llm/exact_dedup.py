@@ -2,7 +2,8 @@
 
 Texts are equal when they are identical after lower-casing A-Z only; a null text counts as empty. Of equal
 texts the row with the largest doc_id stays; a null doc_id is below all others. Rows that agree in doc_id and
-text are told apart by their place in the input, and the last stays. An empty input gives an empty result.
+text are told apart by their place in the input, and the last stays. An empty input gives an empty result, texts
+of any length are compared whole. Columns may have any names; only doc_id and text are looked at.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, materialise, text_or_empty
+from .shared import ascii_lower, materialise, spread_join, text_or_empty
 
 SALTS = 16
 
@@ -45,7 +46,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts:
     # Where a digest stands for several contents, each row's content is compared once more.
     several = groups.groupBy("digest").count().filter("count > 1").select("digest")
     if several.isEmpty():
-        out = seen.join(groups.drop("content"), "digest", "left").select(*found)
+        out = spread_join(seen, groups.drop("content"), ["digest"], groups.select("digest", F.col("group_size").alias("n")), "left").select(*found)
     else:
         single = groups.join(several, "digest", "left_anti").drop("content")
         out = seen.join(several, "digest", "left_anti").join(single, "digest", "left").select(*found)

@@ -4,7 +4,8 @@ Of records with equal payloads (compared by their SHA-256) of at least min_bytes
 is a response and the others revisit it; a null page_id is below all others, and rows that repeat the largest
 are all responses. A null body is an empty payload. Archives are files in the shared folder. Each try of a task
 writes files of its own, and only the files of tries that ended are listed in the manifest, which the reader
-goes by. An empty input gives no archive and no record.
+goes by. An empty input gives no archive and no record. Bodies of any length are one record each. Columns may
+have any names; only those of the id, the address and the body are looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_dir
+from .shared import materialise, shared_dir, spread_join
 
 #: Bytes of an archive after which a new one is begun, and bytes that the reader takes at once.
 ARCHIVE_BYTES, CHUNK = 64 << 20, 1 << 16
@@ -133,9 +134,10 @@ def typed(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: st
     """page_id, url, payload, keep: the page whose payload a revisit has, or null for a response."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(body), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256))
-    several = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1 and keep is not null").drop("n")
+    several = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1")
+    several = materialise(several, "repeated")
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
-    return rows.join(several, "key", "left").select("page_id", "url", "payload", F.when(revisit, F.col("keep")).alias("keep"))
+    return spread_join(rows, several.select("key", "keep"), ["key"], several.select("key", "n"), "left").select("page_id", "url", "payload", F.when(revisit, F.col("keep")).alias("keep"))
 
 
 def write(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES, **columns) -> DataFrame:
