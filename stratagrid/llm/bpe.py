@@ -1,5 +1,5 @@
 """Byte-level BPE over a corpus: each distinct pre-token is encoded once, its ids are joined back, and texts are
-put together again by position. Decoding looks each id up in the table of token bytes.
+put together again by position. Decoding joins each batch of ids with the table of token bytes, by Arrow's take.
 
 1. Documents are taken in blocks of bounded bytes, as the tasks read them. Each block is exploded into its
    pre-tokens, combined at once to the distinct ones: (block, word).
@@ -9,7 +9,8 @@ put together again by position. Decoding looks each id up in the table of token
    positions are filled with its words' ids.
 
 A null text counts as empty and has no ids. Rows are kept apart by their place, so repeated rows each come
-back; all columns of the input stay, and the added ones replace columns of the same name.
+back; all columns of the input stay, and the added ones replace columns of the same name. A text longer than a
+block is a block of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import free_name
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bytes of text in a block, and in a piece of it; a longer text is a block of its own.
@@ -44,7 +47,9 @@ class Merges:
     def __init__(self, path: str = VOCABULARY) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        tokens = {rank: token for token, rank in self.ranks.items()}
+        #: The bytes of each id; an id that is no rank has none.
+        self.table = pa.array([tokens.get(i, b"") for i in range(max(tokens) + 1)], pa.large_binary())
 
     def encode(self, word: bytes) -> list[int]:
         """The ids of one pre-token: of all neighbours, those of the lowest rank merge first, leftmost first."""
@@ -96,8 +101,25 @@ class Merges:
             i = end[i]
         return out
 
-    def decode(self, ids) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes of texts whose ids are given as bytes, all joined with the table at once."""
+        joined = self.table.take(pa.array(np.frombuffer(b"".join(ids), dtype="<u4")))
+        data = joined.buffers()[2]
+        if data is None:
+            return [b""] * len(ids)
+        edges = np.frombuffer(joined.buffers()[1], dtype=np.int64)[np.cumsum([0, *[len(x) // 4 for x in ids]])].tolist()
+        whole = memoryview(data)
+        return [bytes(whole[a:b]) for a, b in zip(edges, edges[1:])]
+
+    def ids_by(self, words: list[str], ids_of: dict[str, bytes]) -> bytes:
+        """The ids of words, put together. A word that the block's rows haven't brought is encoded here: that
+        happens where the input was read in another order when it was exploded."""
+        try:
+            return b"".join([ids_of[w] for w in words])
+        except KeyError:
+            for w in {w for w in words if w not in ids_of}:
+                ids_of[w] = _ids_bytes(self.encode(w.encode("utf-8")))
+            return b"".join([ids_of[w] for w in words])
 
 
 @lru_cache(4)
@@ -167,7 +189,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text
     cols = [c for c in docs.columns if c.lower() not in ("token_ids", "decoded")]
     kept = docs.select(*cols)
     row_type = T.StructType([*kept.schema.fields, T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    whole = kept.withColumn("__text", F.col(text))
+    source, = free_name(kept, "source_text")
+    whole = kept.withColumn(source, F.col(text))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = splitter(pattern).findall
@@ -229,20 +252,12 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text
                     continue
                 with pa.ipc.open_stream(data) as reader:
                     for rows in reader:
-                        ids, back = [], []
-                        for x in _texts(rows):
-                            words = find(x) if x else []
-                            try:
-                                ids.append(b"".join([ids_of[w] for w in words]))
-                            except KeyError:  # the block was read in another order when it was exploded
-                                for w in {w for w in words if w not in ids_of}:
-                                    ids_of[w] = _ids_bytes(own.encode(w.encode("utf-8")))
-                                ids.append(b"".join([ids_of[w] for w in words]))
-                            back.append(own.decode(memoryview(ids[-1]).cast("I")))
+                        ids = [own.ids_by(find(x), ids_of) if x else b"" for x in _texts(rows)]
+                        back = own.decode(ids)
                         yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=[f.name for f in row_type.fields])
 
     parts = "block long, piece int, data binary"
-    words = whole.select("__text").mapInArrow(explode, "block long, word string")
+    words = whole.select(source).mapInArrow(explode, "block long, word string")
     coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_words, parts)
     pieces = whole.mapInArrow(pack, parts)
     return coded.unionByName(pieces).repartition("block").sortWithinPartitions("block", "piece").mapInArrow(assemble, row_type)

@@ -54,3 +54,22 @@ def test_repeats_clashes_and_empty(spark, make_docs):
     out = bpe.encode(docs)
     assert out.columns == ["doc_id", "text", "token_ids", "decoded"] and out.count() == 3
     assert bpe.report(docs.limit(0)).count() == 0
+
+
+def test_decoding_and_words_that_are_missing(library):
+    own = bpe.merges(bpe.VOCABULARY)
+    texts = ["", "a naïve 日本 test", "", "x"]
+    ids = [struct.pack(f"<{len(found)}I", *found) for found in map(library.encode_ordinary, texts)]
+    assert own.decode(ids) == [t.encode() for t in texts] and own.decode([]) == [] and own.decode([b""]) == [b""]
+    known = {}
+    words = bpe.splitter(bpe.PATTERN).findall(texts[1])
+    assert own.ids_by(words, known) == ids[1] and set(known) == set(words)
+    assert own.ids_by(words[:1], {words[0]: b"kept"}) == b"kept"
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, "p")], "doc_id long, text string, source_text int, block int, decoded string")
+    out = bpe.encode(docs)
+    assert out.columns == ["doc_id", "text", "source_text", "block", "token_ids", "decoded"]
+    row = out.first()
+    assert (row.source_text, row.block, bytes(row.decoded)) == (5, 6, b"a b")
