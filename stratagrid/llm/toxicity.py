@@ -13,7 +13,8 @@ from sentences: of a toxic document the worst, of others the hardest; a logistic
 of a document's worst sentence and of all its sentences into a score from 0 to 1. Training uses a bounded sample of labelled
 rows (MOST_TOXIC and MOST_OTHER, the least by a hash of doc_id); scoring takes every text as a whole.
 
-A null or blank text gets the score of a sentence without any likeness. Labels of ids that several rows share
+An empty table gives an empty result; a column that is called like the score is replaced, others stay. A null or
+blank text gets the score of a sentence without any likeness. Labels of ids that several rows share
 hold for each; a null doc_id has no label. Without labels of both kinds all scores are the share of toxic ones.
 """
 
@@ -34,7 +35,7 @@ from .shared import free_name
 
 SPAN, DECAY, FLOOR = 6, 0.8, 0.45
 LANDMARKS, PREFIX, ALIKE = 64, 6, 0.7
-MOST_TOXIC, MOST_OTHER, SENTENCES = 1000, 2000, 40
+MOST_TOXIC, MOST_OTHER = 1000, 2000
 THRESHOLD, LONGEST = 0.3, 24
 #: Characters of long words, and windows of them, looked at together.
 PART, PIECES = 1 << 15, 20_000
@@ -316,9 +317,8 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float) -> Model:
     good = len(marks) * 3 // 4
     for d, p in enumerate(parts):
         own = [np.maximum.reduce(hit) for s in p if (hit := [found[k] for w in s if (k := vocabulary[w]) in found])]
-        own.sort(key=lambda r: -r[:good].max())
-        rows += own[:SENTENCES] or [np.zeros(len(marks))]
-        owner += [d] * max(1, len(own[:SENTENCES]))
+        rows += own or [np.zeros(len(marks), dtype=np.float32)]
+        owner += [d] * max(1, len(own))
     k, owner_ = np.array(rows), np.array(owner)
     values, vectors = np.linalg.eigh(likeness.of(marks))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
