@@ -9,6 +9,8 @@ documents that the target model doesn't hold for e^-FLOOR times less likely than
 
 A null or blank text has log weight 0. Repeated rows get equal numbers; those that tie with the k-th are all
 kept. A null doc_id has no label and the noise of its hash. Without target documents every log weight is 0.
+Texts of any length count whole; an empty table gives an empty result; a column that is called like an added one is
+replaced.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ within half a document.
 A null source is a source of its own, the last; a null or blank text has size 0 and adds nothing. Rows of equal
 doc_id and size are treated alike, so that repeated rows get equal copies. An empty input gives an empty result.
 The tables of sources have one row per source; no list of documents leaves the executors.
+Texts of any length count whole; columns may have any names.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Counts are taken over whole texts. A null text counts as empty, so it has no words and fails. A document's
 verdict depends on its own text alone: repeated rows get equal verdicts and there are no ties. All columns
-of the input stay, whatever they are called; a computed column replaces one of the same name.
+of the input stay, whatever they are called; a computed column replaces one of the same name. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, text_or_empty, words_of
+from .shared import BLANKS, free_name, text_or_empty, words_of
 
 #: Common words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -91,7 +92,7 @@ def _repeated_words(words: str, ordered: str) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measures that the rules speak of, one row for one row."""
-    words, lines, ordered = "__words", "__lines", "__ordered"
+    words, lines, ordered = free_name(docs, "words", "lines", "ordered")
     t = text_or_empty(text)
     d = docs.withColumns(
         {

@@ -3,6 +3,7 @@
 Matches of one rule are leftmost and don't overlap; matches of different rules may. A null text counts as
 empty and has no spans; each row is scanned for itself, so repeated rows get equal spans. Offsets are code
 points, ends exclusive.
+Texts of any length are scanned whole; an empty table gives an empty result; columns may have any names.
 """
 
 from __future__ import annotations

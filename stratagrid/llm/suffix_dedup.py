@@ -9,7 +9,11 @@ shard (see induced.py).
 
 Texts are taken as UTF-8, a null text as empty; matches don't cross documents. Equal texts are worked out once
 and count as often as they occur, so repeated rows remove each other when they are long enough. doc_id takes no
-part. All decisions are made on the input, not on what is left of it. An empty input gives an empty result.
+part. All decisions are made on the input, not on what is left of it. An empty input gives an empty result; texts
+of any length are taken whole; columns may have any names.
+
+Passages that other documents share are found by the same search with a symbol for each word in place of bytes;
+windows of words that share a hash are compared by 64-bit hashes in their shard.
 """
 
 from __future__ import annotations

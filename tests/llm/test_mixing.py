@@ -77,3 +77,29 @@ def test_repeated_ids_and_clashing_names(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
     assert mixing.report(table).count() == 5
     assert mixing.mix(table).columns == table.columns
+
+
+def test_tilts_against_bisection(make_docs):
+    """The multipliers that Newton's steps find are those that another solver finds, and most aren't 0."""
+    docs = corpus(7)
+    rows, _ = mixing.plan(make_docs(docs))
+    histogram = rows.groupBy("key", "size").count().withColumnRenamed("count", "n")
+    targets = mixing.targets(histogram.selectExpr("key", "size * n AS size"), share=0.8)
+    found = {r.key: r for r in mixing.tilts(histogram, targets).collect()}
+    sizes = {}
+    for _, text, source in docs:
+        sizes.setdefault("" if source is None else "=" + source, []).append(len((text or "").split()))
+    tilted = 0
+    for key, own in sizes.items():
+        target = found[key].target
+        if target >= 2 * sum(own):
+            continue
+        unit = sum(n * n for n in own) / sum(own)
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            taken = sum(n * 2 / (1 + math.exp(min(700, -middle * n / unit))) for n in own)
+            low, high = (middle, high) if taken < target else (low, middle)
+        assert math.isclose(found[key].tilt, low, rel_tol=1e-5, abs_tol=1e-7), key
+        tilted += abs(low) > 0.01
+    assert tilted >= 4

@@ -62,3 +62,9 @@ def test_verdict_stays_above_the_measures(make_docs):
     """Else the optimizer writes each measure out for every rule that names it, and doesn't end."""
     plan = quality_rules.keep_good(make_docs([(1, "x")]))._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 20_000 and "Python" not in plan
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7, 8)], "doc_id long, text string, words int, `lines` int, ordered int, n_words int")
+    row = quality_rules.apply_rules(docs).first()
+    assert (row.words, row.lines, row.ordered, row.n_words) == (5, 6, 7, 2)
