@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--depth", type=int, default=6)
 
     v = verbs.add_parser("shatter")
+    v.add_argument("--parts", type=int, default=1)
     v.add_argument("pointcloud")
     v.add_argument("--bounds", type=Bounds.from_string)
     v.add_argument("--tilesize", type=int)
@@ -69,7 +70,7 @@ def parser() -> argparse.ArgumentParser:
 
     for verb in ("delete", "restart", "resume"):
         verbs.add_parser(verb).add_argument("--id", "--task_id", dest="id", required=True)
-    verbs.add_parser("consolidate").add_argument("--files", type=int, default=1)
+    verbs.add_parser("consolidate").add_argument("--files", type=int)
     return out
 
 
@@ -80,7 +81,7 @@ def run(args: argparse.Namespace, spark):
     if args.verb == "scan":
         return jobs.scan(spark, store, args.pointcloud, args.bounds, args.point_count, args.resolution, args.depth)
     if args.verb == "shatter":
-        return jobs.shatter(spark, ShatterConfig(store, args.pointcloud, args.dates or args.date, args.bounds, tile_size=args.tilesize, processing_strategy=args.processing_strategy, read_group_size=args.read_group_size, processing_halo_m=args.processing_halo_m, publish_uri=args.publish_uri, lists=not args.no_lists))
+        return jobs.shatter(spark, ShatterConfig(store, args.pointcloud, args.dates or args.date, args.bounds, tile_size=args.tilesize, processing_strategy=args.processing_strategy, read_group_size=args.read_group_size, processing_halo_m=args.processing_halo_m, publish_uri=args.publish_uri, lists=not args.no_lists, parts=args.parts))
     if args.verb == "extract":
         split = lambda x: x.split(",") if x else None
         return jobs.extract(spark, ExtractConfig(store, args.outdir, split(args.attributes), split(args.metrics), args.bounds, args.dates or args.date))

@@ -116,6 +116,8 @@ class ShatterConfig:
     tile_point_count: int = 600_000
     publish_uri: str | None = None
     lists: bool = True
+    #: Bands of the grid that are written and recorded one after another, so that a resumed run skips finished ones.
+    parts: int = 1
     mbr: list = field(default_factory=list)
     start_timestamp: float | None = None
     end_timestamp: float | None = None
@@ -129,6 +131,8 @@ class ShatterConfig:
         self.bounds = Bounds.of(self.bounds) if self.bounds is not None else None
         self.tile_size = int(self.tile_size) if self.tile_size is not None else None
         self.read_group_size = int(self.read_group_size) if self.read_group_size is not None else None
+        if self.parts < 1:
+            raise ValueError("parts is positive")
         if self.processing_strategy not in STRATEGIES:
             raise ValueError(f"processing_strategy is one of {', '.join(STRATEGIES)}")
         if self.processing_halo_m is not None and self.processing_halo_m < 0:

@@ -55,8 +55,17 @@ def scan(spark: SparkSession, store: str, source, bounds: Bounds | None = None,
     return out
 
 
+def bands(rect: Rect, parts: int) -> list[Rect]:
+    """rect in so many runs of rows, or as many as it has rows."""
+    rows = rect.y2 - rect.y1
+    edges = [rect.y1 + rows * k // min(parts, rows) for k in range(min(parts, rows) + 1)] if rows else []
+    return [Rect(rect.x1, rect.x2, a, b) for a, b in zip(edges, edges[1:])]
+
+
 def shatter(spark: SparkSession, config: ShatterConfig, source=None) -> int:
-    """Add the metrics of a source's points to the store, as one run; the number of points."""
+    """Add the metrics of a source's points to the store, as one run; the number of points. Each of config.parts
+    is recorded when it is written. What the record says is finished isn't done again; a part that was written and
+    not recorded is replaced."""
     storage = Storage.from_db(spark, config.store)
     extents = _extents(storage, config.bounds)
     config.time_slot = config.time_slot or storage.reserve_time_slot()
@@ -65,11 +74,16 @@ def shatter(spark: SparkSession, config: ShatterConfig, source=None) -> int:
     if extents is None:
         return _finish(storage, config, 0, None)
     names = storage.config.attribute_names
-    points = relational.assign_cells(_points(spark, source if source is not None else config.filename, extents.bounds), extents)
     done = [Rect(x1, x2 + 1, y1, y2 + 1) for (x1, x2), (y1, y2) in config.mbr]
-    points = relational.outside_rects(points, done)
-    cells = cell_metrics(points, storage.config.metrics, names, lists=config.lists)
-    storage.write(cells, config.time_slot, config.date, int(config.start_timestamp), "append" if done else "overwrite")
+    for part, band in enumerate(bands(extents.rect, config.parts)):
+        if any(d.x1 <= band.x1 and d.x2 >= band.x2 and d.y1 <= band.y1 and d.y2 >= band.y2 for d in done):
+            continue
+        box = extents.bounds if config.parts == 1 else extents.box_of(band)
+        points = relational.in_rect(relational.assign_cells(_points(spark, source if source is not None else config.filename, box), extents), band, "xi", "yi")
+        cells = cell_metrics(relational.outside_rects(points, done), storage.config.metrics, names, lists=config.lists)
+        storage.write(cells, config.time_slot, config.date, int(config.start_timestamp), part)
+        config.mbr = [*config.mbr, [[band.x1, band.x2 - 1], [band.y1, band.y2 - 1]]]
+        storage.save_process(config)
     written = storage.all_rows().filter(F.col("time_slot") == config.time_slot).agg(F.sum("count")).first()[0] or 0
     if config.publish_uri:
         storage.publish(config.publish_uri, config.time_slot)
@@ -148,8 +162,9 @@ def resume(spark: SparkSession, store: str, name: str, source=None) -> int:
     return run.point_count if run.finished else shatter(spark, run, source)
 
 
-def consolidate(spark: SparkSession, store: str, files: int = 1) -> None:
+def consolidate(spark: SparkSession, store: str, files: int | None = None) -> None:
     storage = Storage.from_db(spark, store)
+    storage.vacuum()
     for p in storage.processes():
         if storage.files.exists(f"{storage.path}/cells/time_slot={p.time_slot}"):
             storage.consolidate(p.time_slot, files)

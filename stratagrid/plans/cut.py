@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. One of this machine is taken only where the session names none
+    and all tasks run here too."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "file:///tmp/checkpoints/stratagrid").rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the session's shared folder, so that neither its plan nor its lineage grows with each
-    round. A folder of this machine is used only where the session names none."""
+    """df as a table in the shared folder, so that neither its plan nor its lineage grows with each round."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/stratagrid").rstrip("/")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -187,8 +188,8 @@ def _user_function(metric: Metric):
     if home is not None and home.__name__ != "__main__" and not home.__name__.startswith("stratagrid"):
         cloudpickle.register_pickle_by_value(home)  # executors may not have the user's module
 
-    @F.pandas_udf(kind, F.PandasUDFType.GROUPED_AGG)
-    def call(*series: pd.Series) -> object:
+    @F.pandas_udf(kind)
+    def call(*series: pd.Series) -> Any:
         values = series[0].dropna()
         known = [s.iloc[0] if len(s) else None for s in series[1:]]
         if any(k is None or k != k for k in known):

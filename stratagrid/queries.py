@@ -221,7 +221,15 @@ def user_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cell_metrics(cells(spark, sf_dir), own, ["Z"]))
 
 
+#: Counts above the mode as an older program has them: above the mean.
+COMPAT = [metrics.get_grid_metrics(compat=True)[n] for n in ("all_count_above_mode", "all_cover_above_mode", "all_1st_cover_above_mode")]
+
+
+def metrics_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cell_metrics(cells(spark, sf_dir), COMPAT, ATTRIBUTES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     grid_core, bbox_points, cell_indices, source_bounds, count_in_bounds, estimate_count, number_of_returns, cell_lists, points_above_own_mean, dense_cells,
-    latest_cells, time_travel, date_overlap, raster, dense_grid, raster_grid, outlier_trim, scan_tiles, scan_summary, unfinished_cells, event_cells, user_metric,
+    latest_cells, time_travel, date_overlap, raster, dense_grid, raster_grid, outlier_trim, scan_tiles, scan_summary, unfinished_cells, event_cells, user_metric, metrics_compat,
 )} | {name: family(chosen) for name, chosen in FAMILIES.items()}

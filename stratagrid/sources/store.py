@@ -1,8 +1,9 @@
 """The store of cells: Parquet partitions by time slot, and JSON files beside them.
 
-Layout: config.json; processes/{slot}.json, one record per run; cells/time_slot={slot}/. A run appends its own
-partition, so runs don't overwrite each other: readers take the newest row of each cell. All files go through
-the Hadoop file system of the session.
+Layout: config.json; processes/{slot}.json, one record per run; cells/time_slot={slot}/part={part}/. A run appends
+its own partition, so runs don't overwrite each other: readers take the newest row of each cell. A part of a run is
+replaced as a whole, so writing it again doesn't count anything twice. All files go through the Hadoop file system
+of the session.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from ..operators.metrics import DTYPES
 from ..plans.fused import outputs
 
 
+#: Bytes of a file that consolidation writes, about.
+FILE_BYTES = 128 << 20
+
+
 class Files:
     """Small text files on whatever file system the session knows."""
 
@@ -59,6 +64,11 @@ class Files:
         fs, where = self._at(path)
         fs.delete(where, True)
 
+    def size(self, path: str) -> int:
+        """Bytes of all files below."""
+        fs, where = self._at(path)
+        return fs.getContentSummary(where).getLength()
+
     def rename(self, path: str, to: str) -> None:
         fs, where = self._at(path)
         if not fs.rename(where, self._jvm.org.apache.hadoop.fs.Path(to)):
@@ -159,22 +169,35 @@ class Storage:
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], self.schema_ddl()).withColumn("time_slot", F.lit(0))
 
-    def write(self, cells: DataFrame, slot: int, dates, written: int, mode: str = "overwrite") -> None:
-        """Cells with xi, yi and any of the store's columns, as the partition of a time slot. A retried task
-        replaces its own output and nothing else. Tiles of the grid stay together, in order."""
-        c = self.config
+    def _banded(self, rows: DataFrame, files: int) -> DataFrame:
+        """Rows by runs of whole tiles, row by row of the grid, a run to a file, in order inside: a small box lies in
+        few files, and skips row groups there. Where a tile goes follows from its place alone, so nothing is
+        sampled; a tile has so many cells at most, so no file grows with the points."""
+        c, rect = self.config, self.config.extents.rect
+        across, down = -(-(rect.x2 - rect.x1) // c.xsize), -(-(rect.y2 - rect.y1) // c.ysize)
+        files = max(1, min(files, across * down))
+        x, y = F.floor(F.col("X") / c.xsize), F.floor(F.col("Y") / c.ysize)
+        band = F.floor((y * across + x) * files / (across * down)).cast("int")
+        return rows.repartitionById(files, F.greatest(F.lit(0), F.least(F.lit(files - 1), band))).sortWithinPartitions(y, x, "Y", "X")
+
+    def write(self, cells: DataFrame, slot: int, dates, written: int, part: int = 0) -> None:
+        """Cells with xi, yi and any of the store's columns, as a part of the partition of a time slot. Writing a
+        part again replaces it and nothing else."""
         schema = self.spark.createDataFrame([], self.schema_ddl()).schema
         rows = cells.withColumnRenamed("xi", "X").withColumnRenamed("yi", "Y")
         rows = rows.withColumns({"start_time": F.lit(dates[0].date()), "end_time": F.lit(dates[1].date()), "written": F.lit(int(written))})
         rows = rows.select(*[(F.col(f"`{s.name}`") if s.name in rows.columns else F.lit(None)).cast(s.dataType).alias(s.name) for s in schema])
-        tile = [F.floor(F.col("X") / c.xsize), F.floor(F.col("Y") / c.ysize)]
-        rows.sortWithinPartitions(*tile, "X", "Y").write.mode(mode).option("compression", "zstd").parquet(f"{self.path}/cells/time_slot={slot}")
+        files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self._banded(rows, files).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/cells/time_slot={slot}/part={part}")
 
     def all_rows(self, until: tuple[int | None, int | None] = (None, None)) -> DataFrame:
         """Every row of every run, with its time_slot; until: only those written between two epoch milliseconds."""
-        if not self.files.names(f"{self.path}/cells"):
-            return self._empty()
-        rows = self.spark.read.option("basePath", f"{self.path}/cells").schema(self.schema_ddl() + ", time_slot int").parquet(f"{self.path}/cells")
+        rows = self._empty()
+        if self.files.names(f"{self.path}/cells"):
+            found = self.spark.read.option("basePath", f"{self.path}/cells").schema(self.schema_ddl() + ", time_slot int, part int")
+            rows = found.parquet(f"{self.path}/cells").drop("part")
+        for slot in self._set_aside():
+            rows = rows.unionByName(self.spark.read.schema(self.schema_ddl() + ", part int").parquet(f"{self.path}/_old-{slot}").drop("part").withColumn("time_slot", F.lit(slot)))
         low, high = until
         rows = rows.filter(F.col("written") >= low) if low is not None else rows
         return rows.filter(F.col("written") <= high) if high is not None else rows
@@ -199,22 +222,36 @@ class Storage:
     def drop_slot(self, slot: int) -> None:
         self.files.delete(f"{self.path}/cells/time_slot={slot}")
 
-    def consolidate(self, slot: int, files: int = 1) -> None:
-        """Write a partition anew in so many files; the old one goes once the new one is whole."""
-        old, new = f"{self.path}/cells/time_slot={slot}", f"{self.path}/_compact-{slot}"
-        self.spark.read.parquet(old).coalesce(files).sortWithinPartitions("X", "Y").write.mode("overwrite").option("compression", "zstd").parquet(new)
-        self.files.delete(old)
+    def _set_aside(self) -> list[int]:
+        """Slots whose partition a consolidation that broke off has moved away and not yet put back."""
+        aside = [int(n.removeprefix("_old-")) for n in self.files.names(self.path) if n.startswith("_old-")]
+        return [n for n in aside if not self.files.exists(f"{self.path}/cells/time_slot={n}")]
+
+    def consolidate(self, slot: int, files: int | None = None) -> None:
+        """Write a partition anew in so many files, or in files of about FILE_BYTES. The old one is moved aside, the
+        new one put in its place, and the old one deleted only then: whenever that breaks off, a whole one is left,
+        which readers find and vacuum() puts back."""
+        self.vacuum()
+        old, new, aside = f"{self.path}/cells/time_slot={slot}", f"{self.path}/_compact-{slot}", f"{self.path}/_old-{slot}"
+        files = files or -(-self.files.size(old) // FILE_BYTES)
+        rows = self.spark.read.schema(self.schema_ddl() + ", part int").parquet(old).drop("part")
+        self._banded(rows, files).write.mode("overwrite").option("compression", "zstd").parquet(f"{new}/part=0")
+        self.files.rename(old, aside)
         self.files.rename(new, old)
+        self.files.delete(aside)
 
     def vacuum(self) -> None:
-        """Remove what broken-off compactions have left."""
+        """Put back what broken-off consolidations have moved aside, and remove what else they left. Not while one
+        is running."""
+        for slot in self._set_aside():
+            self.files.rename(f"{self.path}/_old-{slot}", f"{self.path}/cells/time_slot={slot}")
         for name in self.files.names(self.path):
-            if name.startswith("_compact-"):
+            if name.startswith(("_compact-", "_old-")):
                 self.files.delete(f"{self.path}/{name}")
 
     def publish(self, uri: str, slot: int) -> None:
         """The populated cells of a run as a table of their own, which must not exist yet."""
-        rows = self.spark.read.parquet(f"{self.path}/cells/time_slot={slot}").filter("count > 0")
+        rows = self.spark.read.parquet(f"{self.path}/cells/time_slot={slot}").drop("part").filter("count > 0")
         if rows.isEmpty():
             raise ValueError("there is nothing to publish")
         rows.withColumn("time_slot", F.lit(slot)).write.mode("errorifexists").parquet(uri)

@@ -89,6 +89,63 @@ def test_resume_skips_finished_cells(spark, setting):
     assert jobs.resume(spark, storage.path, "r", points) == n
 
 
+def test_resume_after_a_crash(spark, setting, monkeypatch):
+    """Broken off after a part was written, and after one was written but not recorded: nothing counts twice."""
+    alignment, storage, points, _ = setting
+    total, calls = 90_000 if alignment == "AlignToCorner" else 108_900, []
+    whole = Storage.write
+
+    def write(self, cells, slot, dates, written, part=0):
+        calls.append(part)
+        if len(calls) == 2:
+            raise OSError("before")
+        whole(self, cells, slot, dates, written, part)
+        if len(calls) == 4:
+            raise OSError("after")
+
+    monkeypatch.setattr(Storage, "write", write)
+    with pytest.raises(OSError, match="before"):
+        jobs.shatter(spark, run(storage.path, name="r", lists=False, parts=3), points)
+    with pytest.raises(OSError, match="after"):
+        jobs.resume(spark, storage.path, "r", points)
+    assert calls == [0, 1, 1, 2] and not storage.process("r").finished
+    assert jobs.resume(spark, storage.path, "r", points) == total and calls == [0, 1, 1, 2, 2]
+    assert storage.read(["count"]).agg(F.sum("count")).first()[0] == total and storage.process("r").finished
+
+
+@pytest.mark.parametrize("step", [1, 2])
+def test_consolidation_that_breaks_off(spark, setting, monkeypatch, step):
+    from stratagrid.sources.store import Files
+
+    _, storage, points, _ = setting
+    jobs.shatter(spark, run(storage.path, lists=False, parts=2), points)
+    before, calls, whole = storage.read(["count"]).count(), [], Files.rename
+
+    def rename(self, path, to):
+        calls.append(path)
+        if len(calls) == step:
+            raise OSError("broken off")
+        whole(self, path, to)
+
+    with monkeypatch.context() as m:
+        m.setattr(Files, "rename", rename)
+        with pytest.raises(OSError):
+            jobs.consolidate(spark, storage.path)
+    assert storage.read(["count"]).count() == before
+    storage.vacuum()
+    assert storage.read(["count"]).count() == before and not [n for n in storage.files.names(storage.path) if n.startswith("_")]
+    jobs.consolidate(spark, storage.path)
+    assert storage.read(["count"]).count() == before
+
+
+def test_a_box_lies_in_few_files(spark, setting):
+    _, storage, points, _ = setting
+    jobs.shatter(spark, run(storage.path, lists=False), points)
+    rows = spark.read.parquet(f"{storage.path}/cells").withColumn("file", F.input_file_name())
+    spans = rows.groupBy("file").agg(F.min("Y").alias("a"), F.max("Y").alias("b")).collect()
+    assert len(spans) > 1 and all(r.b - r.a < 6 for r in spans)
+
+
 def test_extract(spark, setting):
     alignment, storage, points, tmp = setting
     jobs.shatter(spark, run(storage.path, lists=False), points.filter("X >= 330 or Y >= 330"))
@@ -225,3 +282,8 @@ def test_streaming_ingest(spark, tmp_path):
         points.filter(F.col("X") < 450 if k == 0 else F.col("X") >= 450).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
         ingest(spark, storage.path, f"file://{tmp_path}/in", points.schema, f"file://{tmp_path}/check", datetime(2020, 1, 1)).awaitTermination()
     assert storage.read(["count"]).agg(F.sum("count")).first()[0] == 90_000
+    # Another stream has numbers of its own.
+    points.withColumn("Z", F.col("Z") + 100).filter("X >= 450").coalesce(1).write.parquet(f"file://{tmp_path}/in2")
+    ingest(spark, storage.path, f"file://{tmp_path}/in2", points.schema, f"file://{tmp_path}/check2", datetime(2020, 1, 1)).awaitTermination()
+    assert len(storage.processes()) == 3 and storage.read(["count"]).agg(F.sum("count")).first()[0] == 90_000
+    assert 0 < storage.read(["m_Z_mean"]).filter("m_Z_mean > 100").count() < 100
