@@ -104,6 +104,7 @@ ORACLE_SQL = {name: _family(name) for name in FAMILIES} | {
     "cell_lists": f"WITH {C} SELECT xi, yi, count(*) AS count, string_agg(RN::VARCHAR, ',' ORDER BY RN) AS returns, count(Z) AS n_z FROM c GROUP BY xi, yi",
     "points_above_own_mean": f"WITH {C} SELECT xi, yi, count(*) AS n FROM (SELECT *, avg(Z) OVER (PARTITION BY xi, yi) AS m FROM c) WHERE Z > m GROUP BY xi, yi",
     "dense_cells": f"WITH {C}, g AS (SELECT xi, yi, count(*) AS n, max(Z) AS top FROM c WHERE RN = 7 AND {IN_CELLS} GROUP BY xi, yi) SELECT x.i::INT AS X, y.i::INT AS Y, coalesce(n, 0) AS count, coalesce(top, -9999.0) AS top FROM (SELECT unnest(range(3, 13)) AS i) x CROSS JOIN (SELECT unnest(range(185, 196)) AS i) y LEFT JOIN g ON xi = x.i AND yi = y.i",
+    "dense_grid": f"WITH {C}, g AS (SELECT xi, yi, count(*) AS n, max(Z) AS top FROM c GROUP BY xi, yi) SELECT x.i::INT AS X, y.i::INT AS Y, coalesce(n, 0) AS count, coalesce(top, -9999.0) AS top FROM (SELECT unnest(range(0, 200)) AS i) x CROSS JOIN (SELECT unnest(range(0, 200)) AS i) y LEFT JOIN g ON g.xi = x.i AND g.yi = y.i",
     "latest_cells": f"WITH {RUNS} SELECT X, Y, time_slot, count, top FROM (SELECT *, row_number() OVER (PARTITION BY X, Y ORDER BY time_slot DESC) AS k FROM r) WHERE k = 1",
     "time_travel": f"WITH {RUNS} SELECT X, Y, count, top FROM r WHERE time_slot = 1",
     "date_overlap": f"WITH {RUNS} SELECT X, Y, time_slot, (start_time - DATE '1970-01-01')::INT AS start_day, (end_time - DATE '1970-01-01')::INT AS end_day FROM r WHERE end_time >= DATE '1998-06-01' AND start_time <= DATE '1998-07-01'",
