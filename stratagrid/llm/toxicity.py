@@ -351,14 +351,16 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from labelled rows that aren't held out. Only the sample's ids are broadcast, and only its rows
-    reach the driver: MOST_TOXIC and MOST_OTHER of them at most."""
+    reach the driver: MOST_TOXIC and MOST_OTHER of them at most, as documents that share an id give one, the
+    least text."""
     known = labels.select(F.col(doc_id).alias("id"), (F.col(label) == 1).alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("id")))
     count = known.agg(F.count_if("toxic"), F.count("*")).first()
     sample = None
     for value, most in ((True, MOST_TOXIC), (False, MOST_OTHER)):
         some = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(most)
         sample = some if sample is None else sample.unionByName(some)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample.distinct()), "id").collect()
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample.distinct()), "id")
+    rows = rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r.id, r.toxic, r.text or ""))
     return train([r.text for r in rows], np.array([r.toxic for r in rows], dtype=bool), count[0] / max(1, count[1]))
 

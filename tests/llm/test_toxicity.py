@@ -77,6 +77,12 @@ def test_odd_inputs(spark, make_docs, odd_texts, tables):
     assert toxicity.score(table, toxicity.train(["a"], np.array([True]), 0.5)).columns == ["doc_id", "text", "scored_text", "score"]
 
 
+def test_documents_that_share_an_id_are_learnt_from_once(tables):
+    docs, labels, *_ = tables
+    once, thrice = toxicity.fit(docs, labels), toxicity.fit(docs.union(docs).union(docs), labels)
+    assert np.array_equal(once.curve, thrice.curve) and np.array_equal(once.weights, thrice.weights)
+
+
 def test_long_words_are_scored_to_their_end(tables):
     docs, labels, *_ = tables
     model = toxicity.fit(docs, labels)
