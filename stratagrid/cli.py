@@ -12,6 +12,9 @@ from .grid import Bounds
 from .operators.metrics import parse_metrics
 
 
+SECTIONS = ("history", "metadata", "attributes", "metrics")
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="stratagrid", description=__doc__)
     out.add_argument("--database", "-d", required=True)
@@ -59,13 +62,15 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--date")
     v.add_argument("--dates", nargs=2)
 
+    v.add_argument("--format", choices=("tif", "asc"), default="tif")
+
     v = verbs.add_parser("info")
     v.add_argument("--bounds", type=Bounds.from_string)
     v.add_argument("--date")
     v.add_argument("--dates", nargs=2)
     v.add_argument("--name")
     v.add_argument("--concise", action="store_true")
-    for section in ("history", "metadata", "attributes"):
+    for section in SECTIONS:
         v.add_argument(f"--{section}", action="store_true")
 
     for verb in ("delete", "restart", "resume"):
@@ -84,13 +89,13 @@ def run(args: argparse.Namespace, spark):
         return jobs.shatter(spark, ShatterConfig(store, args.pointcloud, args.dates or args.date, args.bounds, tile_size=args.tilesize, processing_strategy=args.processing_strategy, read_group_size=args.read_group_size, processing_halo_m=args.processing_halo_m, publish_uri=args.publish_uri, lists=not args.no_lists, parts=args.parts))
     if args.verb == "extract":
         split = lambda x: x.split(",") if x else None
-        return jobs.extract(spark, ExtractConfig(store, args.outdir, split(args.attributes), split(args.metrics), args.bounds, args.dates or args.date))
+        return jobs.extract(spark, ExtractConfig(store, args.outdir, split(args.attributes), split(args.metrics), args.bounds, args.dates or args.date, args.format))
     if args.verb == "info":
         from .config import date_range
 
         dates = args.dates or args.date
         found = jobs.info(spark, store, date_range(dates) if dates else None, args.bounds, args.name, args.concise)
-        chosen = [k for k in ("history", "metadata", "attributes") if getattr(args, k)]
+        chosen = [k for k in SECTIONS if getattr(args, k)]
         return {k: found[k] for k in chosen} if chosen else found
     if args.verb == "consolidate":
         return jobs.consolidate(spark, store, args.files)

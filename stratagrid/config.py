@@ -119,6 +119,8 @@ class ShatterConfig:
     #: Bands of the grid that are written and recorded one after another, so that a resumed run skips finished ones.
     parts: int = 1
     mbr: list = field(default_factory=list)
+    #: phase, part and seconds of what the run has written.
+    timings: list = field(default_factory=list)
     start_timestamp: float | None = None
     end_timestamp: float | None = None
     point_count: int = 0
@@ -165,6 +167,8 @@ class ExtractConfig:
     metrics: list[str] | None = None
     bounds: Bounds | None = None
     date: tuple[datetime, datetime] | None = None
+    #: "tif" or "asc".
+    form: str = "tif"
 
     def __post_init__(self) -> None:
         self.bounds = Bounds.of(self.bounds) if self.bounds is not None else None

@@ -15,7 +15,7 @@ from .grid import Bounds, Extents, Rect
 from .operators import relational, tiling
 from .plans.fused import cell_metrics, outputs
 from .sources.points import PointSource
-from .sources.store import Storage
+from .sources.store import ShardGroup, Storage
 
 log = logging.getLogger("stratagrid")
 
@@ -81,12 +81,20 @@ def shatter(spark: SparkSession, config: ShatterConfig, source=None) -> int:
         box = extents.bounds if config.parts == 1 else extents.box_of(band)
         points = relational.in_rect(relational.assign_cells(_points(spark, source if source is not None else config.filename, box), extents), band, "xi", "yi")
         cells = cell_metrics(relational.outside_rects(points, done), storage.config.metrics, names, lists=config.lists)
+        began = time.time()
         storage.write(cells, config.time_slot, config.date, int(config.start_timestamp), part)
+        config.timings = [*config.timings, {"phase": "cells", "part": part, "seconds": time.time() - began}]
         config.mbr = [*config.mbr, [[band.x1, band.x2 - 1], [band.y1, band.y2 - 1]]]
         storage.save_process(config)
     written = storage.all_rows().filter(F.col("time_slot") == config.time_slot).agg(F.sum("count")).first()[0] or 0
     if config.publish_uri:
-        storage.publish(config.publish_uri, config.time_slot)
+        began = time.time()
+        group = ShardGroup.at(spark, config.publish_uri)
+        if group:
+            group.publish_from(storage, config.time_slot, config.name)
+        else:
+            storage.publish(config.publish_uri, config.time_slot)
+        config.timings = [*config.timings, {"phase": "publish", "part": 0, "seconds": time.time() - began}]
     return _finish(storage, config, int(written), extents)
 
 
@@ -104,7 +112,7 @@ def info(spark: SparkSession, store: str | Storage, dates=None, bounds: Bounds |
     found = storage.config.to_json()
     if concise:
         found = {k: v for k, v in found.items() if k not in ("attrs", "metrics")}
-    return {"attributes": [a.to_json() for a in storage.config.attrs], "metadata": found, "history": storage.history(dates, bounds, name, concise)}
+    return {"attributes": [a.to_json() for a in storage.config.attrs], "metrics": [m.to_json() for m in storage.config.metrics], "metadata": found, "history": storage.history(dates, bounds, name, concise)}
 
 
 def extract_cells(spark: SparkSession, config: ExtractConfig) -> DataFrame:
@@ -121,31 +129,29 @@ def extract(spark: SparkSession, config: ExtractConfig) -> list[str]:
     extents = _extents(storage, config.bounds)
     if extents is None:
         raise ValueError("the bounds don't meet the store's")
-    empty, c, out = storage.no_data(), storage.config, []
+    empty, c, at = storage.no_data(), storage.config, storage.files.qualified(config.out_dir.rstrip("/"))
     names = c.derived_names(config.metrics, config.attrs)
-    cells = extract_cells(spark, config).persist()
-    try:
-        parts = list(raster.blocks(extents.rect))
-        for k, part in enumerate(parts):
-            box = extents.box_of(part)
-            for name, array in raster.arrays(cells, names, part, empty).items():
-                at = f"{config.out_dir.rstrip('/')}/{name}" + (f"_{k}" if len(parts) > 1 else "")
-                raster.write(storage.files, at, array, box, raster.header(box, part, c.resolution, empty[name], c.crs, name))
-                out.append(f"{at}.asc")
-        kinds = {m.entry_name(a): m.dtype for m, a in outputs(c.metrics, c.attribute_names)}
-        about = raster.gdal_metadata(names, kinds, extents.rect, extents.bounds, c.resolution, c.crs, empty)
-        storage.files.write(f"{config.out_dir.rstrip('/')}/bands.aux.xml", about)
-    finally:
-        cells.unpersist()
+    kinds = {m.entry_name(a): m.dtype for m, a in outputs(c.metrics, c.attribute_names)}
+    out = raster.write(extract_cells(spark, config), names, kinds, empty, extents, c.crs, at, config.form)
+    about = raster.gdal_metadata(names, kinds, extents.rect, extents.bounds, c.resolution, c.crs, empty)
+    storage.files.write(f"{at}/bands.aux.xml", about)
     return out
 
 
+def timings(spark: SparkSession, store: str) -> DataFrame:
+    """Of each run and phase: how many parts, their seconds together and the longest."""
+    storage = Storage.from_db(spark, store)
+    rows = [(p.name, t["phase"], t["part"], float(t["seconds"])) for p in storage.processes() for t in p.timings]
+    found = spark.createDataFrame(rows, "name string, phase string, part int, seconds double")
+    return found.groupBy("name", "phase").agg(F.count(F.lit(1)).alias("parts"), F.sum("seconds").alias("seconds"), F.max("seconds").alias("longest"))
+
+
 def delete(spark: SparkSession, store: str, name: str) -> ShatterConfig:
     """Drop a run's cells; older runs show through again. Its record stays, unfinished."""
     storage = Storage.from_db(spark, store)
     run = storage.process(name)
     storage.drop_slot(run.time_slot)
-    run.finished, run.mbr, run.point_count = False, [], 0
+    run.finished, run.mbr, run.point_count, run.timings = False, [], 0, []
     storage.save_process(run)
     return run
 

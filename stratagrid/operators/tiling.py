@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +85,17 @@ def assign_workers(units: DataFrame, workers: int, size: str = "points") -> Data
     return units.withColumn("worker", F.when(turn < workers, turn).otherwise(2 * workers - 1 - turn).cast("int"))
 
 
+def balanced(sizes: Sequence[float], workers: int) -> list[int]:
+    """A worker for each of some units: the largest unit first, each to the least loaded worker, the first of equal
+    ones. For units that a driver holds, as chunk() gives them; assign_workers() is for tables of them."""
+    loads = [(0.0, w) for w in range(workers)]
+    out = [0] * len(sizes)
+    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+        load, out[k] = heapq.heappop(loads)
+        heapq.heappush(loads, (load + sizes[k], out[k]))
+    return out
+
+
 def union_box(units: DataFrame) -> DataFrame:
     """One row: the index range around all units."""
     return units.agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))

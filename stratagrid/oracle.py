@@ -111,6 +111,10 @@ ORACLE_SQL = {name: _family(name) for name in FAMILIES} | {
     "raster": f"WITH {C} SELECT yi AS Y, " + ", ".join(f"max(Z) FILTER (xi = {k}) AS x{k}" for k in (3, 4, 5, 6)) + f" FROM c WHERE {IN_CELLS} GROUP BY yi",
     "outlier_trim": f"WITH {C}, n AS (SELECT xi, yi, count(*) AS n FROM c GROUP BY xi, yi), q AS (SELECT quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.75) AS b FROM n) SELECT xi, yi, n FROM n, q WHERE n > a - 0.5 * (b - a) AND n < b + 0.5 * (b - a)",
     "scan_tiles": f"WITH {C} SELECT (xi // 50 * 50)::INT AS x1, (xi // 50 * 50 + 50)::INT AS x2, (yi // 50 * 50)::INT AS y1, (yi // 50 * 50 + 50)::INT AS y2, count(*)::BIGINT AS points, 2500::BIGINT AS cells FROM c GROUP BY ALL",
+    "scan_tree": f"""WITH {P}, s AS (SELECT ceil((greatest(max(X), max(Y)) + 1) / 200)::INT AS res, count(*) // 16 AS most FROM p), c AS (SELECT floor(X / res)::INT AS xi, ceil((200 * res - Y) / res - 1)::INT AS yi, most FROM p, s),
+      n AS (SELECT 200 >> d AS k, xi // (200 >> d) AS a, yi // (200 >> d) AS b, d, count(*) AS n, any_value(most) AS most FROM c, range(4) AS t(d) GROUP BY ALL)
+      SELECT (a * k)::INT AS x1, (a * k + k)::INT AS x2, (b * k)::INT AS y1, (b * k + k)::INT AS y2, n::BIGINT AS points, (k * k)::BIGINT AS cells, n >= most AS ended FROM n
+      WHERE (n < most OR d = 3) AND (d = 0 OR EXISTS (SELECT 1 FROM n AS up WHERE up.d = n.d - 1 AND up.a = n.a // 2 AND up.b = n.b // 2 AND up.n >= up.most))""",
     "scan_summary": f"""WITH {C}, n AS (SELECT xi // 50 AS a, yi // 50 AS b, count(*) AS p FROM c GROUP BY ALL), e AS (SELECT ceil(2000.0::DOUBLE / (p / 2500.0::DOUBLE))::BIGINT AS k FROM n),
       s AS (SELECT unnest(list_concat(list_transform(range(2500 // k), lambda x: k), [2500 % k])) AS cells FROM e), q AS (SELECT quantile_cont(cells, 0.25) AS a, quantile_cont(cells, 0.75) AS b FROM s),
       t AS (SELECT cells FROM s, q WHERE cells > a - 1.5 * (b - a) AND cells < b + 1.5 * (b - a)), u AS (SELECT cells FROM t UNION ALL SELECT cells FROM s WHERE NOT EXISTS (SELECT 1 FROM t))

@@ -189,6 +189,16 @@ def scan_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaves(points, grid(points), 0, 1, 2).select("x1", "x2", "y1", "y2", "points", "cells")
 
 
+def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of a quadtree on 200 x 200 cells around all points, down to 25 cells or less than a sixteenth of the
+    points."""
+    points = lineitem_points(spark, sf_dir)
+    found = points.agg(F.max(F.greatest("X", "Y")), F.count(F.lit(1))).first()
+    side = math.ceil(((found[0] or 0) + 1) / 200) * 200
+    whole = Extents.of_root(Bounds(0, 0, side, side), side // 200, "AlignToCorner")
+    return tiling.leaves(points, whole, found[1] // 16, 0, 3)
+
+
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tile sizes for 2000 points each, from leaves two levels down."""
     points = lineitem_points(spark, sf_dir)
@@ -231,5 +241,5 @@ def metrics_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     grid_core, bbox_points, cell_indices, source_bounds, count_in_bounds, estimate_count, number_of_returns, cell_lists, points_above_own_mean, dense_cells,
-    latest_cells, time_travel, date_overlap, raster, dense_grid, raster_grid, outlier_trim, scan_tiles, scan_summary, unfinished_cells, event_cells, user_metric, metrics_compat,
+    latest_cells, time_travel, date_overlap, raster, dense_grid, raster_grid, outlier_trim, scan_tiles, scan_tree, scan_summary, unfinished_cells, event_cells, user_metric, metrics_compat,
 )} | {name: family(chosen) for name, chosen in FAMILIES.items()}

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.cells import boxes_meet
 from ..grid import Bounds
 from ..operators.relational import clip, count_points, source_bounds
+from . import las
 
-#: Formats that Spark reads by itself; "tindex" is an index of such files.
-FORMATS = ("parquet", "orc", "csv", "json", "avro", "table", "tindex")
+#: Formats that Spark reads by itself, LAS files, and "tindex", an index of Parquet or LAS files.
+FORMATS = ("parquet", "orc", "csv", "json", "avro", "table", "las", "tindex")
 
 
 @dataclass
@@ -70,6 +71,8 @@ class PointSource:
         options = self.options | ({"ignoreCorruptFiles": "true"} if self.ignore_corrupt else {})
         if self.format == "tindex":
             out = self._indexed(spark, box, options)
+        elif self.format == "las":
+            out = self._las(spark, self.location, box)
         elif self.format == "table":
             out = spark.read.table(self.location)
         else:
@@ -87,9 +90,19 @@ class PointSource:
         paths = [r.location for r in index.select("location").distinct().orderBy("location").collect()]
         if not paths:
             raise ValueError("no file of the index meets the box")
+        if all(p.lower().endswith(".las") for p in paths):
+            return self._las(spark, "\n".join(paths), box)
         return spark.read.options(**options).parquet(*paths)
 
+    def _las(self, spark: SparkSession, location: str, box: Bounds | None) -> DataFrame:
+        """box only keeps files from being read: transforms may move points, which are clipped after them."""
+        spark.dataSource.register(las.LasSource)
+        return spark.read.format("las").options(path=location, box=box.to_string() if box and not self.transforms else "").load()
+
     def bounds(self, spark: SparkSession) -> Bounds:
+        """Of LAS files as they are, from their headers."""
+        if self.format == "las" and not self.transforms:
+            return las.extent(self.location)
         row = source_bounds(self.read(spark)).first()
         return Bounds(*map(float, row))
 
@@ -97,7 +110,10 @@ class PointSource:
         return count_points(self.read(spark, box)).first().n
 
     def estimate_count(self, spark: SparkSession, box: Bounds | None = None, resolution: float | None = None) -> int:
-        """With a resolution, what a coarse reading would see: a point for each square that has any."""
+        """With a resolution, what a coarse reading would see: a point for each square that has any. Without one,
+        LAS files are counted by the headers of those that meet the box."""
+        if self.format == "las" and resolution is None and not self.transforms:
+            return sum(h.points for h in las.headers(self.location, box))
         return count_points(self.read(spark, box), None, resolution).first().n
 
 

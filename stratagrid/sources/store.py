@@ -36,6 +36,12 @@ class Files:
         where = self._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self._conf), where
 
+    def qualified(self, path: str) -> str:
+        """path with its file system's scheme, as readers outside the JVM want it."""
+        fs, where = self._at(path)
+        out = fs.makeQualified(where).toString()
+        return "file://" + out.removeprefix("file:") if out.startswith("file:/") and not out.startswith("file://") else out
+
     def exists(self, path: str) -> bool:
         fs, where = self._at(path)
         return fs.exists(where)
@@ -95,7 +101,7 @@ class Storage:
             raise FileNotFoundError(f"{path} holds no store")
         config = StorageConfig.from_string(files.read(f"{path.rstrip('/')}/config.json"))
         config.store = path
-        return cls(spark, config)
+        return (ShardGroup if files.exists(f"{path.rstrip('/')}/group.json") else cls)(spark, config)
 
     # Metadata
 
@@ -257,6 +263,45 @@ class Storage:
         rows.withColumn("time_slot", F.lit(slot)).write.mode("errorifexists").parquet(uri)
 
 
+class ShardGroup(Storage):
+    """Published runs beside each other, one table to a shard, read as one store. A shard is published once and
+    not changed; of a cell in several, the newest slot's row counts."""
+
+    @classmethod
+    def create(cls, spark: SparkSession, config: StorageConfig) -> ShardGroup:
+        out = super().create(spark, config)
+        out.save_metadata("group", "{}")
+        return out
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> ShardGroup | None:
+        """The group at path, if there is one."""
+        return cls.from_db(spark, path) if Files(spark).exists(f"{path.rstrip('/')}/group.json") else None
+
+    def shards(self) -> list[str]:
+        return [n.removeprefix("shard=") for n in self.files.names(f"{self.path}/shards") if n.startswith("shard=")]
+
+    def publish_from(self, storage: Storage, slot: int, name: str) -> None:
+        """A run of a store on the same grid as a shard."""
+        mine, theirs = self.config, storage.config
+        if (mine.root, mine.resolution, mine.alignment) != (theirs.root, theirs.resolution, theirs.alignment):
+            raise ValueError("a shard lies on the grid of its group")
+        storage.publish(f"{self.path}/shards/shard={name}", slot)
+
+    def all_rows(self, until: tuple[int | None, int | None] = (None, None), shard: str | None = None) -> DataFrame:
+        """Rows of all shards, or of one."""
+        names = self.shards() if shard is None else [shard]
+        if not names:
+            raise ValueError(f"{self.path} has no shards yet")
+        rows = self.spark.read.schema(self.schema_ddl() + ", time_slot int").parquet(*[f"{self.path}/shards/shard={n}" for n in names])
+        low, high = until
+        rows = rows.filter(F.col("written") >= low) if low is not None else rows
+        return rows.filter(F.col("written") <= high) if high is not None else rows
+
+    def write(self, *_, **__) -> None:
+        raise ValueError("the shards of a group are published, not written")
+
+
 def union_of(stores: Sequence[Storage], **query) -> DataFrame:
     """The cells of several stores on one grid; of a cell in more than one, the newest."""
     out = None

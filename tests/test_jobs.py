@@ -1,17 +1,20 @@
 import json
+import struct
+import zlib
 from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratagrid import cli, jobs
+from stratagrid import cli, jobs, raster
 from stratagrid.config import ExtractConfig, ShatterConfig, StorageConfig
 from stratagrid.grid import Bounds, Rect
 from stratagrid.operators import relational
 from stratagrid.operators.metrics import Metric, attribute, product_moments, statistics
 from stratagrid.sources.points import PointSource
-from stratagrid.sources.store import Storage, union_of
+from stratagrid.sources import las
+from stratagrid.sources.store import ShardGroup, Storage, union_of
 
 BOX = Bounds(300, 300, 600, 600)
 METRICS = [product_moments["mean"], statistics["max"]]
@@ -149,7 +152,7 @@ def test_a_box_lies_in_few_files(spark, setting):
 def test_extract(spark, setting):
     alignment, storage, points, tmp = setting
     jobs.shatter(spark, run(storage.path, lists=False), points.filter("X >= 330 or Y >= 330"))
-    files = jobs.extract(spark, ExtractConfig(storage.path, f"file://{tmp}/out", ["Z"], ["mean"]))
+    files = jobs.extract(spark, ExtractConfig(storage.path, f"file://{tmp}/out", ["Z"], ["mean"], form="asc"))
     assert [f.rpartition("/")[2] for f in files] == ["m_Z_mean.asc"]
     grid = np.loadtxt(f"{tmp}/out/m_Z_mean.asc", skiprows=6)
     about = json.loads((tmp / "out/m_Z_mean.json").read_text())
@@ -158,10 +161,130 @@ def test_extract(spark, setting):
     assert (grid[:, -1] == [np.ceil(root.maxy / 30) - y - 1 for y in range(len(grid))]).all()
     assert grid[-1, 0] == -9999 and grid[-2, 0] != -9999
     assert "m_Z_mean" in (tmp / "out/bands.aux.xml").read_text()
-    part = jobs.extract(spark, ExtractConfig(storage.path, f"file://{tmp}/part", ["Z"], ["max"], Bounds(450, 450, 600, 600)))
+    part = jobs.extract(spark, ExtractConfig(storage.path, f"file://{tmp}/part", ["Z"], ["max"], Bounds(450, 450, 600, 600), form="asc"))
     assert len(part) == 1 and np.loadtxt(f"{tmp}/part/m_Z_max.asc", skiprows=6).shape[0] in (5, 6)
 
 
+def bands_of(data):
+    """Width, height, values and tags of a TIFF of one deflated strip."""
+    assert data[:4] == b"II*\0"
+    at, = struct.unpack_from("<I", data, 4)
+    tags = {}
+    for k in range(struct.unpack_from("<H", data, at)[0]):
+        tag, kind, n = struct.unpack_from("<HHI", data, at + 2 + 12 * k)
+        form = f"<{n}{ {2: 's', 3: 'H', 4: 'I', 12: 'd'}[kind] }"
+        here = at + 10 + 12 * k if struct.calcsize(form) <= 4 else struct.unpack_from("<I", data, at + 10 + 12 * k)[0]
+        tags[tag] = struct.unpack_from(form, data, here)
+    kind = f"<{'uif'[tags[339][0] - 1]}{tags[258][0] // 8}"
+    raw = zlib.decompress(data[tags[273][0] : tags[273][0] + tags[279][0]])
+    return np.frombuffer(raw, kind).reshape(tags[257][0], tags[256][0]), tags
+
+
+def test_geotiff_blocks(spark, setting, monkeypatch):
+    alignment, storage, points, tmp = setting
+    jobs.shatter(spark, run(storage.path, lists=False), points.filter("X >= 330 or Y >= 330"))
+    whole, = jobs.extract(spark, ExtractConfig(storage.path, f"file://{tmp}/tif", ["Z"], ["mean"]))
+    values, tags = bands_of(open(whole.removeprefix("file://"), "rb").read())
+    root, side = storage.config.extents.root, 10 if alignment == "AlignToCorner" else 11
+    assert values.shape == (side, side) and values.dtype == np.float32 and tags[33922][3:5] == (root.minx, root.maxy) and tags[33550][0] == 30
+    assert tags[34735][-1] == 5070 and tags[42113] == (b"-9999.0\0",) and values[-1, 0] == -9999
+    jobs.extract(spark, ExtractConfig(storage.path, f"file://{tmp}/asc", ["Z"], ["mean"], form="asc"))
+    assert np.array_equal(np.loadtxt(f"{tmp}/asc/m_Z_mean.asc", skiprows=6), values)
+    for cells in (25, 4):  # runs of rows; pieces of rows
+        monkeypatch.setattr(raster, "BLOCK_CELLS", cells)
+        files = jobs.extract(spark, ExtractConfig(storage.path, f"file://{tmp}/b{cells}", ["Z"], ["mean"]))
+        rect, got = storage.config.extents.rect, np.full_like(values, -1)
+        for k, part in enumerate(raster.blocks(rect)):
+            assert files[k].endswith(f"m_Z_mean_{k}.tif") and part.cells <= cells
+            got[part.y1 : part.y2, part.x1 : part.x2], found = bands_of(open(files[k].removeprefix("file://"), "rb").read())
+            assert found[33922][3:5] == (root.minx + 30 * part.x1, root.maxy - 30 * part.y1)
+        assert np.array_equal(got, values)
+
+
+def test_shard_group(spark, setting):
+    _, storage, points, tmp = setting
+    c = storage.config
+    config = StorageConfig(f"file://{tmp}/group", c.root, c.crs, c.resolution, c.alignment, attrs=c.attrs, metrics=c.metrics)
+    group = ShardGroup.create(spark, config)
+    with pytest.raises(ValueError):
+        group.read().count()
+    for name, part in (("west", "X < 450"), ("east", "X >= 450")):
+        jobs.shatter(spark, run(storage.path, name=name, lists=False, publish_uri=group.path), points.filter(part))
+    found = Storage.from_db(spark, group.path)
+    assert found.shards() == ["east", "west"] and sum(found.all_rows(shard=s).agg(F.sum("count")).first()[0] for s in found.shards()) == points.count()
+    assert found.read(["m_Z_mean"]).orderBy("X", "Y").collect() == storage.read(["m_Z_mean"]).orderBy("X", "Y").collect()
+    assert len(jobs.extract(spark, ExtractConfig(group.path, f"file://{tmp}/group-out", ["Z"], ["mean"]))) == 1
+    with pytest.raises(ValueError):
+        found.write(found.read(), 9, (datetime(2011, 1, 1),) * 2, 0)
+    with pytest.raises(ValueError):
+        found.publish_from(jobs.initialize(spark, StorageConfig(f"file://{tmp}/other", BOX, "", 10, metrics=METRICS)), 1, "x")
+    times = {(r.name, r.phase): r for r in jobs.timings(spark, storage.path).collect()}
+    assert set(times) == {(n, p) for n in ("west", "east") for p in ("cells", "publish")} and all(r.seconds >= r.longest > 0 for r in times.values())
+
+
+def las_bytes(form, points, minor=4):
+    """A LAS file of points (x, y, z, return, returns, class, time) at a hundredth of a unit."""
+    length = {0: 20, 1: 28, 6: 30, 7: 36}[form] + 3  # with extra bytes
+    out = bytearray(375)
+    out[:4], out[24:26] = b"LASF", bytes([1, minor])
+    struct.pack_into("<HI", out, 94, 375, 375)
+    struct.pack_into("<BHI", out, 104, form, length, 0 if minor == 4 else len(points))
+    x, y, z = ([p[k] for p in points] or [0.0] for k in range(3))
+    struct.pack_into("<12d", out, 131, *[0.01] * 3, 100, 200, 0, max(x), min(x), max(y), min(y), max(z), min(z))
+    struct.pack_into("<Q", out, 247, len(points) if minor == 4 else 0)
+    for px, py, pz, r, n, c, t in points:
+        row = struct.pack("<iiiH", round((px - 100) * 100), round((py - 200) * 100), round(pz * 100), 7)
+        if form < 6:
+            row += struct.pack("<BBbBH", r | n << 3, c | 64, -3, 9, 11) + (struct.pack("<d", t) if form else b"")
+        else:
+            row += struct.pack("<BBBBhHd", r | n << 4, 0, c, 9, -500, 11, t) + (b"rgbrgb" if form == 7 else b"")
+        out += row + b"xyz"
+    return bytes(out)
+
+
+@pytest.mark.parametrize("form, minor", [(0, 2), (1, 2), (6, 4), (7, 4)])
+def test_las(spark, tmp_path, monkeypatch, form, minor):
+    monkeypatch.setattr(las, "RUN", 7)
+    west = [(300 + k, 310.25 + k, k / 4, 1 + k % 3, 3, 2 + k, 1000.5 + k) for k in range(20)]
+    east = [(500 + k, 310.0, 1.0, 1, 1, 5, 0.0) for k in range(5)]
+    (tmp_path / "in").mkdir()
+    for name, points in (("w", west), ("e", east), ("none", [])):
+        (tmp_path / f"in/{name}.las").write_bytes(las_bytes(form, points, minor))
+    source = PointSource.of(f"file://{tmp_path}/in/w.las")
+    rows = sorted(source.read(spark).collect(), key=lambda r: r.X)
+    assert source.format == "las" and len(rows) == 20
+    for r, p in zip(rows, west):
+        assert np.allclose([r.X, r.Y, r.Z], p[:3]) and (r.ReturnNumber, r.NumberOfReturns, r.Classification, r.Intensity, r.UserData, r.PointSourceId) == (*p[3:6], 7, 9, 11)
+        assert r.GpsTime == (p[6] if form else None) and np.isclose(r.ScanAngle, -3)
+    folder = PointSource(f"file://{tmp_path}/in", "las")
+    assert folder.count(spark) == folder.estimate_count(spark) == 25 and folder.bounds(spark) == Bounds(300, 310, 504, 329.25)
+    box = Bounds(500, 300, 503, 400)
+    assert folder.count(spark, box) == 3 and folder.estimate_count(spark, box) == 5
+    assert folder.read(spark, Bounds(0, 0, 9, 9)).count() == 0
+    index = [(f"file://{tmp_path}/in/{n}.las", *b) for n, b in (("w", (300.0, 310.0, 320.0, 330.0)), ("e", (500.0, 310.0, 504.0, 310.0)))]
+    spark.createDataFrame(index, "location string, minx double, miny double, maxx double, maxy double").write.parquet(f"file://{tmp_path}/i.tindex")
+    assert PointSource.of(f"file://{tmp_path}/i.tindex").count(spark) == 25
+    moved = PointSource.from_pipeline([{"type": "readers.las", "filename": f"file://{tmp_path}/in"}, {"type": "filters.assign", "value": {"X": "X - 500"}}])
+    assert moved.count(spark, Bounds(0, 300, 3, 400)) == 3
+    bad = bytearray(las_bytes(form, east, minor))
+    (tmp_path / "cut.las").write_bytes(bad[:-1])
+    with pytest.raises(Exception, match="ends before"):
+        PointSource.of(f"file://{tmp_path}/cut.las").count(spark)
+    bad[104] |= 0x80
+    (tmp_path / "packed.las").write_bytes(bad)
+    for name in ("packed", "other"):
+        (tmp_path / "other.las").write_bytes(b"x")
+        with pytest.raises(ValueError):
+            las.header(f"{tmp_path}/{name}.las")
+
+
+def test_largest_unit_to_the_least_loaded():
+    from stratagrid.operators import tiling
+
+    assert tiling.balanced([7, 3, 9, 1, 4, 4, 0], 3) == [1, 1, 0, 2, 2, 2, 0]
+    assert tiling.balanced([], 2) == [] and tiling.balanced([5, 5], 1) == [0, 0]
+
+
 def test_scan(spark, setting):
     alignment, storage, points, _ = setting
     assert jobs.scan(spark, storage.path, points, None, 10, 10, 5)["tile_info"]["recommended"] == 1
@@ -237,7 +360,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps(pipeline))
     rows = PointSource.of(f"file://{tmp_path}/p.json", spark).read(spark)
     assert rows.agg(F.min("Z")).first()[0] == 26
-    for bad in ([{"type": "filters.where", "expression": "true"}], ["a", "b"], [{"type": "readers.las", "filename": "x"}]):
+    for bad in ([{"type": "filters.where", "expression": "true"}], ["a", "b"], [{"type": "readers.none", "filename": "x"}]):
         with pytest.raises(ValueError):
             PointSource.from_pipeline(bad)
 
@@ -265,6 +388,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(cli.main([*at, "extract", "-o", f"file://{tmp_path}/out", "-m", "median"], spark)) == 2
     cells = Storage.from_db(spark, at[1]).read()
     assert cells.filter("m_Z_exists = 1 and m_Intensity_exists = 1 and count = 900").count() == cells.count() == 100
+    assert [m["name"] for m in cli.main([*at, "info", "--metrics"], spark)["metrics"]] == ["mean", "median", "exists"]
     assert cli.main([*at, "delete", "--id", found[0]["name"]], spark)["finished"] is False
     assert cli.main([*at, "restart", "--id", found[0]["name"]], spark) == 90_000
     assert cli.main([*at, "resume", "--id", found[0]["name"]], spark) == 90_000
