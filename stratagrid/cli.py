@@ -49,6 +49,10 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--read-group-size", type=int)
     v.add_argument("--processing-halo-m", type=float)
     v.add_argument("--publish-uri")
+    v.add_argument("--stage-dir")
+    v.add_argument("--stage-file-mb", type=int, default=300)
+    v.add_argument("--shard-side-groups", type=int, default=4)
+    v.add_argument("--shard-target-points", type=int)
     v.add_argument("--no-lists", action="store_true")
     dates = v.add_mutually_exclusive_group(required=True)
     dates.add_argument("--date")
@@ -86,7 +90,7 @@ def run(args: argparse.Namespace, spark):
     if args.verb == "scan":
         return jobs.scan(spark, store, args.pointcloud, args.bounds, args.point_count, args.resolution, args.depth)
     if args.verb == "shatter":
-        return jobs.shatter(spark, ShatterConfig(store, args.pointcloud, args.dates or args.date, args.bounds, tile_size=args.tilesize, processing_strategy=args.processing_strategy, read_group_size=args.read_group_size, processing_halo_m=args.processing_halo_m, publish_uri=args.publish_uri, lists=not args.no_lists, parts=args.parts))
+        return jobs.shatter(spark, ShatterConfig(store, args.pointcloud, args.dates or args.date, args.bounds, tile_size=args.tilesize, processing_strategy=args.processing_strategy, read_group_size=args.read_group_size, processing_halo_m=args.processing_halo_m, publish_uri=args.publish_uri, stage_dir=args.stage_dir, stage_file_mb=args.stage_file_mb, shard_side_groups=args.shard_side_groups, shard_target_points=args.shard_target_points, lists=not args.no_lists, parts=args.parts))
     if args.verb == "extract":
         split = lambda x: x.split(",") if x else None
         return jobs.extract(spark, ExtractConfig(store, args.outdir, split(args.attributes), split(args.metrics), args.bounds, args.dates or args.date, args.format))

@@ -115,6 +115,13 @@ class ShatterConfig:
     processing_halo_m: float | None = None
     tile_point_count: int = 600_000
     publish_uri: str | None = None
+    #: Where the run is written before it is published; the store then keeps its record only.
+    stage_dir: str | None = None
+    #: About the size of a stage's files, once consolidated.
+    stage_file_mb: int = 300
+    #: Of published shards: how many read groups to a block's side, and the points beyond which a block is split.
+    shard_side_groups: int = 4
+    shard_target_points: int | None = None
     lists: bool = True
     #: Bands of the grid that are written and recorded one after another, so that a resumed run skips finished ones.
     parts: int = 1
@@ -149,6 +156,15 @@ class ShatterConfig:
                 raise ValueError("the side of read_group_size is a multiple of that of tile_size")
         if self.processing_strategy == STRATEGIES[2] and (not self.publish_uri or self.publish_uri == self.store):
             raise ValueError(f"{STRATEGIES[2]} needs a publish_uri that is not the store")
+        if self.stage_dir and (not self.publish_uri or self.stage_dir in (self.store, self.publish_uri)):
+            raise ValueError("stage_dir needs a publish_uri and is neither that nor the store")
+        if min(self.stage_file_mb, self.shard_side_groups, self.shard_target_points or 1) < 1 or self.shard_target_points == 0:
+            raise ValueError("stage_file_mb, shard_side_groups and shard_target_points are positive")
+
+    @property
+    def shard_side(self) -> int | None:
+        """Cells to the side of a published block; none where the strategy has no read groups."""
+        return math.isqrt(self.read_group_size) * self.shard_side_groups if self.processing_strategy == STRATEGIES[2] else None
 
     def to_json(self) -> dict:
         out = asdict(self)

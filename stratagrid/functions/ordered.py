@@ -60,9 +60,19 @@ def _falling(n: Column, k: int) -> Column:
     return out
 
 
-def mode(values: Column, bins: int = 64) -> Column:
+def mode(values: Column, bins: Sequence[int] = (64, 10)) -> Column:
     """The left edge of the fullest of equal bins between the least and the largest value, the lowest of equals.
-    The array is sorted, so each bin is a run."""
+    Where the values lie so close that so many bins have no width, the next number of bins is taken; none: null."""
+    low, high = F.element_at(values, 1), F.element_at(values, -1)
+    out = F.when(F.size(values) == 0, F.lit(None).cast("double")).when(low == high, low)
+    for n in bins:
+        width = (high - low) / n
+        out = out.when((low + width > low) & (high - width < high), _fullest(values, n))
+    return out
+
+
+def _fullest(values: Column, bins: int) -> Column:
+    """The array is sorted, so each bin is a run."""
     low, high = F.element_at(values, 1), F.element_at(values, -1)
     bin_of = lambda x: F.least(F.floor((x - low) * bins / (high - low)).cast("int"), F.lit(bins - 1))
     start = F.struct(*[F.lit(v).cast("int").alias(k) for k, v in (("bin", -1), ("n", 0), ("best", 0), ("most", 0))])
@@ -73,7 +83,7 @@ def mode(values: Column, bins: int = 64) -> Column:
         return F.struct(b.alias("bin"), n.alias("n"), F.when(more, b).otherwise(acc["best"]).alias("best"), F.when(more, n).otherwise(acc["most"]).alias("most"))
 
     best = F.aggregate(F.transform(values, bin_of), start, add, lambda acc: acc["best"])
-    return F.when(F.size(values) == 0, F.lit(None).cast("double")).when(low == high, low).otherwise(low + best * (high - low) / bins)
+    return low + best * (high - low) / bins
 
 
 def mean_distance(values: Column, center: Column) -> Column:

@@ -73,6 +73,7 @@ def shatter(spark: SparkSession, config: ShatterConfig, source=None) -> int:
     storage.save_process(config)
     if extents is None:
         return _finish(storage, config, 0, None)
+    home = _stage(storage, config) if config.stage_dir else storage
     names = storage.config.attribute_names
     done = [Rect(x1, x2 + 1, y1, y2 + 1) for (x1, x2), (y1, y2) in config.mbr]
     for part, band in enumerate(bands(extents.rect, config.parts)):
@@ -82,22 +83,34 @@ def shatter(spark: SparkSession, config: ShatterConfig, source=None) -> int:
         points = relational.in_rect(relational.assign_cells(_points(spark, source if source is not None else config.filename, box), extents), band, "xi", "yi")
         cells = cell_metrics(relational.outside_rects(points, done), storage.config.metrics, names, lists=config.lists)
         began = time.time()
-        storage.write(cells, config.time_slot, config.date, int(config.start_timestamp), part)
+        home.write(cells, config.time_slot, config.date, int(config.start_timestamp), part)
         config.timings = [*config.timings, {"phase": "cells", "part": part, "seconds": time.time() - began}]
         config.mbr = [*config.mbr, [[band.x1, band.x2 - 1], [band.y1, band.y2 - 1]]]
         storage.save_process(config)
-    written = storage.all_rows().filter(F.col("time_slot") == config.time_slot).agg(F.sum("count")).first()[0] or 0
+    written = home.all_rows().filter(F.col("time_slot") == config.time_slot).agg(F.sum("count")).first()[0] or 0
     if config.publish_uri:
         began = time.time()
+        if config.stage_dir:
+            home.set_stage_state("written", points=int(written))
+            home.consolidate_by_plan(config.stage_file_mb << 20)
+            home.set_stage_state("consolidated", points=int(written))
         group = ShardGroup.at(spark, config.publish_uri)
         if group:
-            group.publish_from(storage, config.time_slot, config.name)
+            group.publish_from(home, config.time_slot, config.name, config.shard_side, config.shard_target_points)
         else:
-            storage.publish(config.publish_uri, config.time_slot)
+            home.publish(config.publish_uri, config.time_slot)
+        if config.stage_dir:
+            home.set_stage_state("published", points=int(written), uri=config.publish_uri)
         config.timings = [*config.timings, {"phase": "publish", "part": 0, "seconds": time.time() - began}]
     return _finish(storage, config, int(written), extents)
 
 
+def _stage(storage: Storage, config: ShatterConfig) -> Storage:
+    """The run's stage; that of a run that broke off is taken up again."""
+    path = f"{config.stage_dir.rstrip('/')}/{config.name}"
+    return Storage.from_db(storage.spark, path) if storage.files.exists(f"{path}/config.json") else storage.create_stage(path)
+
+
 def _finish(storage: Storage, config: ShatterConfig, points: int, extents: Extents | None) -> int:
     config.point_count, config.finished, config.end_timestamp = points, True, time.time() * 1000
     if extents is not None:
@@ -168,10 +181,15 @@ def resume(spark: SparkSession, store: str, name: str, source=None) -> int:
     return run.point_count if run.finished else shatter(spark, run, source)
 
 
-def consolidate(spark: SparkSession, store: str, files: int | None = None) -> None:
+def consolidate(spark: SparkSession, store: str, files: int | None = None, between: tuple[int | None, int | None] = (None, None)) -> None:
+    """All runs, or those that started between two epoch milliseconds."""
     storage = Storage.from_db(spark, store)
     storage.vacuum()
+    low, high = between
     for p in storage.processes():
+        at = p.start_timestamp
+        if (low is not None and (at is None or at < low)) or (high is not None and (at is None or at > high)):
+            continue
         if storage.files.exists(f"{storage.path}/cells/time_slot={p.time_slot}"):
             storage.consolidate(p.time_slot, files)
 

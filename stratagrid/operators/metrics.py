@@ -12,11 +12,14 @@ import importlib
 import importlib.util
 import json
 import re
+import sys
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import TYPE_CHECKING, Any
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +68,60 @@ def attribute(name: str) -> Attribute:
     return DIMENSIONS.get(name, Attribute(name))
 
 
+def named(function: Callable) -> str:
+    """Where a user's function is found again: a module or file, and its name there."""
+    return f"{_FILES.get(function.__module__, function.__module__)}:{function.__qualname__}"
+
+
+def find(where: str) -> Callable:
+    module, _, name = where.rpartition(":")
+    target: Any = _load_file(module) if module.endswith(".py") else importlib.import_module(module)
+    for part in name.split("."):
+        target = getattr(target, part)
+    return target
+
+
+def carry(function: Callable) -> None:
+    """Send a user's module along with its functions, as executors may not have it."""
+    home = sys.modules.get(function.__module__)
+    if home is not None and home.__name__ != "__main__" and not home.__name__.startswith("stratagrid"):
+        cloudpickle.register_pickle_by_value(home)
+
+
+@dataclass(frozen=True)
+class RowFilter:
+    """A user's filter: a function of some points as a pandas DataFrame to the rows that stay, or to a boolean for
+    each row. It sees Arrow batches, which are neither cells nor tiles, so what it says of a row must follow from
+    that row alone. columns: those that it reads, all if none are named; naming them keeps the others unread."""
+
+    function: Callable[[pd.DataFrame], pd.DataFrame | pd.Series]
+    columns: tuple[str, ...] = ()
+
+    def to_json(self) -> dict:
+        return {"function": named(self.function), "columns": list(self.columns)}
+
+    def flag(self, columns: Iterable[str]) -> Column:
+        """Whether each row stays."""
+        function = self.function
+        carry(function)
+
+        @F.pandas_udf("boolean")
+        def stays(rows: pd.DataFrame) -> pd.Series:
+            rows = rows.reset_index(drop=True)
+            found = function(rows)
+            if isinstance(found, pd.Series):
+                return found.fillna(False).astype(bool)
+            return pd.Series(rows.index.isin(found.index))
+
+        return stays(F.struct(*[F.col(f"`{c}`") for c in self.columns or columns]))
+
+
+def _filter(found) -> str | RowFilter:
+    if isinstance(found, dict):
+        return RowFilter(find(found["function"]), tuple(found.get("columns") or ()))
+    return RowFilter(found) if callable(found) else found
+
+
 @dataclass(frozen=True)
 class Metric:
     """build: the result from a cell's ingredients; or method: a function of a pandas Series of the attribute's
@@ -74,7 +131,7 @@ class Metric:
     build: Callable[[Cell], Column] | None = field(default=None, compare=False)
     dtype: str = "float32"
     attributes: tuple[str, ...] = ()
-    filters: tuple[str, ...] = ()
+    filters: tuple[str | RowFilter, ...] = ()
     method: Callable[..., Any] | None = None
     dependencies: tuple[str, ...] = ()
     nan_policy: str = "propagate"
@@ -87,6 +144,7 @@ class Metric:
             raise ValueError(f"{self.name}: dtype {self.dtype} is none of {sorted(DTYPES)}")
         if self.nan_policy not in ("propagate", "raise"):
             raise ValueError(f"{self.name}: nan_policy is 'propagate' or 'raise'")
+        object.__setattr__(self, "filters", tuple(map(_filter, self.filters)))
 
     @property
     def nan_value(self):
@@ -102,8 +160,9 @@ class Metric:
     def applies_to(self, attribute: str) -> bool:
         return not self.attributes or attribute in self.attributes
 
-    def add_filter(self, predicate: str) -> Metric:
-        """A metric with one more predicate; this one stays as it is."""
+    def add_filter(self, predicate: str | RowFilter | Callable) -> Metric:
+        """A metric with one more predicate, or user's function of rows; this one stays as it is."""
+        predicate = _filter(predicate)
         return self if predicate in self.filters else replace(self, filters=(*self.filters, predicate))
 
     def on(self, *attributes: str) -> Metric:
@@ -112,9 +171,10 @@ class Metric:
     def to_json(self) -> dict:
         """User functions are named, never pickled: a store holds no code."""
         out = {k: getattr(self, k) for k in ("name", "dtype", "nan_policy", "description")}
-        out |= {k: list(getattr(self, k)) for k in ("attributes", "filters", "dependencies", "preset")}
+        out |= {k: list(getattr(self, k)) for k in ("attributes", "dependencies", "preset")}
+        out["filters"] = [f if isinstance(f, str) else f.to_json() for f in self.filters]
         if self.method:
-            out["method"] = f"{_FILES.get(self.method.__module__, self.method.__module__)}:{self.method.__qualname__}"
+            out["method"] = named(self.method)
         return out
 
     def to_string(self) -> str:
@@ -125,11 +185,7 @@ class Metric:
         lists = {k: tuple(found.get(k) or ()) for k in ("attributes", "filters", "dependencies", "preset")}
         plain = {k: found[k] for k in ("name", "dtype", "nan_policy", "description") if k in found}
         if where := found.get("method"):
-            module, _, name = where.rpartition(":")
-            target: Any = _load_file(module) if module.endswith(".py") else importlib.import_module(module)
-            for part in name.split("."):
-                target = getattr(target, part)
-            return cls(method=target, **plain, **lists)
+            return cls(method=find(where), **plain, **lists)
         known = get_grid_metrics(*lists["preset"]) if lists["preset"] else _BY_NAME
         return replace(known[found["name"]], **plain, **lists)
 

@@ -85,6 +85,27 @@ def assign_workers(units: DataFrame, workers: int, size: str = "points") -> Data
     return units.withColumn("worker", F.when(turn < workers, turn).otherwise(2 * workers - 1 - turn).cast("int"))
 
 
+def with_blocks(cells: DataFrame, side: int, x: str = "X", y: str = "Y") -> DataFrame:
+    """cells with bx and by, the block of side by side cells that each lies in."""
+    return cells.withColumns({"bx": F.floor(F.col(x) / side).cast("int"), "by": F.floor(F.col(y) / side).cast("int")})
+
+
+def block_name() -> Column:
+    return F.concat(F.lit("x"), "bx", F.lit("y"), "by")
+
+
+def block_points(cells: DataFrame, side: int, points: Column | None = None, x: str = "X", y: str = "Y") -> DataFrame:
+    """block, its name, bx, by, and the points in it: rows, or the sum of a column. Counts, not estimates, as one
+    combining aggregation gives them."""
+    found = with_blocks(cells, side, x, y).groupBy("bx", "by").agg((F.count(F.lit(1)) if points is None else F.sum(points)).alias("points"))
+    return found.select(block_name().alias("block"), "bx", "by", "points")
+
+
+def units_with_points(units: DataFrame, blocks: DataFrame) -> DataFrame:
+    """units, which have a block by name, with its points; 0 where no point is in it."""
+    return units.join(blocks.select("block", "points"), "block", "left").withColumn("points", F.coalesce("points", F.lit(0).cast("long")))
+
+
 def balanced(sizes: Sequence[float], workers: int) -> list[int]:
     """A worker for each of some units: the largest unit first, each to the least loaded worker, the first of equal
     ones. For units that a driver holds, as chunk() gives them; assign_workers() is for tables of them."""

@@ -122,6 +122,7 @@ ORACLE_SQL = {name: _family(name) for name in FAMILIES} | {
     "unfinished_cells": f"WITH {C} SELECT xi, yi, count(*) AS n FROM c WHERE NOT (xi < 5 AND yi >= 190 AND yi < 195) AND NOT (xi >= 10 AND xi < 12 AND yi >= 180) GROUP BY xi, yi",
     "event_cells": f"SELECT floor(user_id / 100)::INT AS xi, floor((ts::DATE - DATE '1970-01-01') / 7)::INT AS yi, count(*) AS count, {_round('min(value)')} AS m_Z_min, {_round('max(value)')} AS m_Z_max, {_round('median(value)')} AS m_Z_median FROM events GROUP BY ALL",
     "user_metric": f"WITH {C} SELECT xi, yi, count(*) AS count, {_round('median(Z)')} AS m_Z_median, {_round('max(Z) FILTER (Z > 2) - min(Z) FILTER (Z > 2)')} AS m_Z_spread FROM c GROUP BY xi, yi",
+    "user_filter": f"WITH {C} SELECT xi, yi, count(*) AS count, {_round('max(Z)')} AS m_Z_max, {_round('max(Z) FILTER (RN <= 2)')} AS m_Z_early FROM c GROUP BY xi, yi",
     "metrics_compat": f"""WITH {WINDOWS}, a AS (SELECT xi, yi, count(*) AS count, CASE WHEN any_value(mz) IS NOT NULL THEN count(*) FILTER (Z > mz) END AS above, nullif(count(*) FILTER (Z > 2), 0) AS low,
       nullif(count(*) FILTER (RN = 1), 0) AS first FROM v GROUP BY xi, yi) SELECT xi, yi, count, above AS m_Z_all_count_above_mode, {_round('100 * above::DOUBLE / low')} AS m_Z_all_cover_above_mode,
       {_round('100 * above::DOUBLE / first')} AS m_Z_all_1st_cover_above_mode FROM a""",

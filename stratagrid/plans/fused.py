@@ -9,17 +9,16 @@ another value of their cell (deviations, counts above the mean) need no second p
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from typing import Any
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..operators.metrics import PERCENTILES, Metric
+from ..operators.metrics import PERCENTILES, Metric, carry
 
 KEYS = ("xi", "yi")
 
@@ -137,11 +136,23 @@ def outputs(metrics: Sequence[Metric], attributes: Sequence[str]) -> list[tuple[
     return [(m, a) for m in metrics for a in attributes if m.applies_to(a)]
 
 
+def flagged(points: DataFrame, metrics: Sequence[Metric]) -> tuple[DataFrame, list[Metric]]:
+    """points with a boolean column for each user's filter, and the metrics with that column as a predicate."""
+    functions = dict.fromkeys(f for m in metrics for f in m.filters if not isinstance(f, str))
+    if not functions:
+        return points, list(metrics)
+    columns = points.columns
+    names = {f: f"_stays_{k}" for k, f in enumerate(functions)}
+    points = points.withColumns({names[f]: f.flag(columns) for f in functions})
+    return points, [replace(m, filters=tuple(names.get(f, f) for f in m.filters)) for m in metrics]
+
+
 def cell_metrics(points: DataFrame, metrics: Sequence[Metric], attributes: Sequence[str], keys: Sequence[str] = KEYS, lists: bool = False, drop_bare: bool = False) -> DataFrame:
     """One row per cell with points: the keys, count, m_{attribute}_{metric} for each output in double precision,
     and, if asked for, each attribute's values as a list in one common order.
 
     drop_bare: as in an older program, a cell that the first metric has nothing for loses all metrics."""
+    points, metrics = flagged(points, metrics)
     own = Ingredients(keys)
     count = own.aggregate(("count", "", ()), lambda: F.count(F.lit(1)))
     wanted = outputs([m for m in metrics if m.build], attributes)
@@ -184,9 +195,7 @@ def with_user_metrics(points: DataFrame, cells: DataFrame, metrics: Sequence[Met
 def _user_function(metric: Metric):
     kind = metric.spark_type or "array<double>"
     method, policy, listed = metric.method, metric.nan_policy, metric.spark_type is None
-    home = sys.modules.get(method.__module__)
-    if home is not None and home.__name__ != "__main__" and not home.__name__.startswith("stratagrid"):
-        cloudpickle.register_pickle_by_value(home)  # executors may not have the user's module
+    carry(method)
 
     @F.pandas_udf(kind)
     def call(*series: pd.Series) -> Any:

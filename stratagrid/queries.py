@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,6 +232,17 @@ def user_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cell_metrics(cells(spark, sf_dir), own, ["Z"]))
 
 
+def _early_returns(rows):
+    return rows[rows["ReturnNumber"] <= 2]
+
+
+def user_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric on the points that a user's function lets pass, beside the same one on all points."""
+    top = metrics.statistics["max"]
+    own = [top, replace(top, name="early", filters=(metrics.RowFilter(_early_returns, ("ReturnNumber",)),))]
+    return rounded(cell_metrics(cells(spark, sf_dir), own, ["Z"]))
+
+
 #: Counts above the mode as an older program has them: above the mean.
 COMPAT = [metrics.get_grid_metrics(compat=True)[n] for n in ("all_count_above_mode", "all_cover_above_mode", "all_1st_cover_above_mode")]
 
@@ -241,5 +253,5 @@ def metrics_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     grid_core, bbox_points, cell_indices, source_bounds, count_in_bounds, estimate_count, number_of_returns, cell_lists, points_above_own_mean, dense_cells,
-    latest_cells, time_travel, date_overlap, raster, dense_grid, raster_grid, outlier_trim, scan_tiles, scan_tree, scan_summary, unfinished_cells, event_cells, user_metric, metrics_compat,
+    latest_cells, time_travel, date_overlap, raster, dense_grid, raster_grid, outlier_trim, scan_tiles, scan_tree, scan_summary, unfinished_cells, event_cells, user_metric, user_filter, metrics_compat,
 )} | {name: family(chosen) for name, chosen in FAMILIES.items()}

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..config import ShatterConfig, StorageConfig
 from ..functions.cells import boxes_meet, range_encloses, ranges_overlap
-from ..grid import Bounds
-from ..operators import relational
+from ..grid import Bounds, Extents, Rect
+from ..operators import relational, tiling
 from ..operators.metrics import DTYPES
 from ..plans.fused import outputs
 
@@ -208,13 +208,14 @@ class Storage:
         rows = rows.filter(F.col("written") >= low) if low is not None else rows
         return rows.filter(F.col("written") <= high) if high is not None else rows
 
+    def _rect(self, bounds: Bounds) -> Rect:
+        return Extents.within(bounds, self.config.resolution, self.config.alignment, self.config.extents.root).rect
+
     def read(self, columns: Sequence[str] | None = None, bounds: Bounds | None = None, dates=None, until=(None, None)) -> DataFrame:
         """The newest row of each cell, in bounds and among the runs whose dates overlap."""
         rows = self.all_rows(until)
         if bounds:
-            from ..grid import Extents
-
-            rows = relational.in_rect(rows, Extents.within(bounds, self.config.resolution, self.config.alignment, self.config.extents.root).rect)
+            rows = relational.in_rect(rows, self._rect(bounds))
         if dates:
             rows = relational.during(rows, dates[0].strftime("%Y-%m-%d"), dates[1].strftime("%Y-%m-%d"))
         if columns is not None:
@@ -228,6 +229,54 @@ class Storage:
     def drop_slot(self, slot: int) -> None:
         self.files.delete(f"{self.path}/cells/time_slot={slot}")
 
+    def fragments(self) -> DataFrame:
+        """One row per part of a run: time_slot, part, files, bytes, cells, the index ranges around them and when they
+        were written. Of the cells only X, Y and the time are read."""
+        if not self.files.names(f"{self.path}/cells"):
+            kinds = "time_slot int, part int, files long, bytes long, cells long, x1 int, x2 int, y1 int, y2 int, written long"
+            return self.spark.createDataFrame([], kinds)
+        rows = self.spark.read.option("basePath", f"{self.path}/cells").schema(self.schema_ddl() + ", time_slot int, part int").parquet(f"{self.path}/cells")
+        edges = [f(c).alias(k) for k, f, c in (("x1", F.min, "X"), ("x2", F.max, "X"), ("y1", F.min, "Y"), ("y2", F.max, "Y"), ("written", F.max, "written"))]
+        one = rows.groupBy("time_slot", "part", F.col("_metadata.file_path").alias("_f")).agg(F.max("_metadata.file_size").alias("_b"), F.count(F.lit(1)).alias("_n"), *edges)
+        again = [f(c).alias(c) for c, f in (("x1", F.min), ("x2", F.max), ("y1", F.min), ("y2", F.max), ("written", F.max))]
+        return one.groupBy("time_slot", "part").agg(F.count(F.lit(1)).alias("files"), F.sum("_b").alias("bytes"), F.sum("_n").alias("cells"), *again)
+
+    def consolidation_plan(self, file_bytes: int = FILE_BYTES) -> list[dict]:
+        """The runs that more files, or more parts, hold than files of file_bytes would: what they have and the files
+        that they would have. Runs, not cells, reach the driver."""
+        if file_bytes < 1:
+            raise ValueError("file_bytes is positive")
+        found = self.fragments().groupBy("time_slot").agg(F.sort_array(F.collect_list("part")).alias("parts"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+        out = []
+        for r in found.orderBy("time_slot").collect():
+            wanted = -(-r["bytes"] // file_bytes)
+            if r["files"] > wanted:
+                out.append({"time_slot": r["time_slot"], "parts": r["parts"], "files": r["files"], "bytes": r["bytes"], "wanted": wanted})
+        return out
+
+    def consolidate_by_plan(self, file_bytes: int = FILE_BYTES) -> int:
+        """Consolidate what the plan names; how many runs that were. A run is written anew whole, so no step makes
+        another one stale."""
+        plan = self.consolidation_plan(file_bytes)
+        for step in plan:
+            self.consolidate(step["time_slot"], step["wanted"])
+        return len(plan)
+
+    # Stages: a store that a run is written to before it is published
+
+    def create_stage(self, path: str) -> Storage:
+        """An empty store with the same settings at a path where there is none."""
+        found = StorageConfig.from_string(json.dumps(self.config.to_json()))
+        found.store = path
+        return Storage.create(self.spark, found)
+
+    def set_stage_state(self, state: str, **details) -> None:
+        self.save_metadata("stage", json.dumps({"state": state, **details}, sort_keys=True))
+
+    def stage_state(self) -> dict | None:
+        found = self.get_metadata("stage")
+        return json.loads(found) if found else None
+
     def _set_aside(self) -> list[int]:
         """Slots whose partition a consolidation that broke off has moved away and not yet put back."""
         aside = [int(n.removeprefix("_old-")) for n in self.files.names(self.path) if n.startswith("_old-")]
@@ -279,25 +328,61 @@ class ShardGroup(Storage):
         return cls.from_db(spark, path) if Files(spark).exists(f"{path.rstrip('/')}/group.json") else None
 
     def shards(self) -> list[str]:
-        return [n.removeprefix("shard=") for n in self.files.names(f"{self.path}/shards") if n.startswith("shard=")]
+        """Those that are published as a whole."""
+        at = f"{self.path}/shards"
+        return [n.removeprefix("shard=") for n in self.files.names(at) if n.startswith("shard=") and self.files.exists(f"{at}/{n}/_SUCCESS")]
 
-    def publish_from(self, storage: Storage, slot: int, name: str) -> None:
-        """A run of a store on the same grid as a shard."""
+    def publish_from(self, storage: Storage, slot: int, name: str, side: int | None = None, most: int | None = None) -> None:
+        """A run of a store on the same grid as a shard. side: in blocks of so many cells a side, a task and a file
+        to each, or several where a block has more than most points."""
         mine, theirs = self.config, storage.config
         if (mine.root, mine.resolution, mine.alignment) != (theirs.root, theirs.resolution, theirs.alignment):
             raise ValueError("a shard lies on the grid of its group")
-        storage.publish(f"{self.path}/shards/shard={name}", slot)
+        at = f"{self.path}/shards/shard={name}"
+        if self.files.exists(at) and name not in self.shards():
+            self.files.delete(at)  # of a job that broke off
+        if side is None:
+            return storage.publish(at, slot)
+        rows = self.spark.read.parquet(f"{storage.path}/cells/time_slot={slot}").drop("part").filter("count > 0")
+        if rows.isEmpty():
+            raise ValueError("there is nothing to publish")
+        rows, part = tiling.with_blocks(rows.withColumn("time_slot", F.lit(slot)), side), F.lit(0)
+        if most is not None:
+            # One row for each block with more than most points.
+            split = tiling.block_points(rows, side, F.col("count")).filter(F.col("points") > most)
+            split = split.select("bx", "by", F.least(F.ceil(F.col("points") / most), F.lit(side)).cast("int").alias("_parts"))
+            rows = rows.join(split, ["bx", "by"], "left")
+            part = F.floor(F.pmod(F.col("Y"), F.lit(side)) * F.coalesce("_parts", F.lit(1)) / side)
+            rows = rows.withColumn("_part", part).drop("_parts")
+        else:
+            rows = rows.withColumn("_part", part)
+        rows = rows.repartition("bx", "by", "_part").sortWithinPartitions("bx", "by", "_part", "Y", "X").withColumn("block", tiling.block_name())
+        rows.drop("bx", "by", "_part").write.mode("errorifexists").partitionBy("block").parquet(at)
+
+    def blocks(self, shard: str) -> list[str]:
+        """The names of a shard's blocks, if it was published in blocks."""
+        return [n.removeprefix("block=") for n in self.files.names(f"{self.path}/shards/shard={shard}") if n.startswith("block=")]
 
     def all_rows(self, until: tuple[int | None, int | None] = (None, None), shard: str | None = None) -> DataFrame:
         """Rows of all shards, or of one."""
         names = self.shards() if shard is None else [shard]
         if not names:
             raise ValueError(f"{self.path} has no shards yet")
-        rows = self.spark.read.schema(self.schema_ddl() + ", time_slot int").parquet(*[f"{self.path}/shards/shard={n}" for n in names])
+        rows = None
+        whole = [n for n in names if not self.blocks(n)]
+        for found in ([whole] if whole else []) + [[n] for n in names if n not in whole]:
+            some = self.spark.read.schema(self.schema_ddl() + ", time_slot int").parquet(*[f"{self.path}/shards/shard={n}" for n in found]).drop("block")
+            rows = some if rows is None else rows.unionByName(some)
         low, high = until
         rows = rows.filter(F.col("written") >= low) if low is not None else rows
         return rows.filter(F.col("written") <= high) if high is not None else rows
 
+    def read_shard(self, shard: str, columns: Sequence[str] | None = None, bounds: Bounds | None = None) -> DataFrame:
+        """The cells of one shard, in bounds."""
+        rows = self.all_rows(shard=shard)
+        rows = relational.in_rect(rows, self._rect(bounds)) if bounds else rows
+        return rows.select("X", "Y", "time_slot", *[f"`{c}`" for c in columns]) if columns is not None else rows
+
     def write(self, *_, **__) -> None:
         raise ValueError("the shards of a group are published, not written")
 

@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from . import jobs
 from .config import ExtractConfig, ShatterConfig, StorageConfig
+from .grid import Rect
+from .operators import relational, tiling
 from .operators.metrics import attribute, product_moments, statistics
 from .oracle import C, IN_CELLS
 from .plans.cut import shared_folder
-from .queries import BOX, RESOLUTION, frame
+from .queries import BOX, RESOLUTION, frame, grid
 from .sources.points import lineitem_points
-from .sources.store import Storage, union_of
+from .sources.store import ShardGroup, Storage, union_of
 
 #: The first run has the points before DAY or from X = EAST on, the second run the others.
 DAY, EAST = "1998-05-24", 1000
 FIRST, SECOND = (datetime(1992, 1, 1), datetime(1998, 5, 23)), (datetime(1998, 5, 24), datetime(1998, 12, 31))
 COLUMNS = ["count", "m_Z_mean", "m_Z_max"]
+#: Cells to the side of a published block.
+SIDE = 16
 
 
 def stored(spark: SparkSession, sf_dir: str) -> Storage:
@@ -102,6 +106,36 @@ def store_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(uri).select("X", "Y", *COLUMNS)
 
 
+def store_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each part of the runs holds; the second run has two."""
+    return stored(spark, sf_dir).fragments().select("time_slot", "part", "cells", "x1", "x2", "y1", "y2")
+
+
+def store_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points as a run that is written to a stage and published as a shard in blocks of SIDE x SIDE cells."""
+    points = lineitem_points(spark, sf_dir)
+    at = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    make = lambda name: StorageConfig(f"{at}/{name}", frame(points), "", RESOLUTION, "AlignToCorner", attrs=[attribute("Z")], metrics=[product_moments["mean"], statistics["max"]])
+    group = ShardGroup.create(spark, make("group"))
+    storage = jobs.initialize(spark, make("seed"))
+    jobs.shatter(spark, ShatterConfig(
+        storage.path, "lineitem", FIRST, name="whole", lists=False, processing_strategy="macro-v3-stage-push", tile_size=16, read_group_size=64,
+        stage_dir=f"{at}/stages", publish_uri=group.path, shard_side_groups=SIDE // 8, shard_target_points=1000,
+    ), points)
+    blocks = tiling.with_blocks(group.read_shard("whole", COLUMNS), SIDE).withColumn("block", tiling.block_name())
+    return blocks.select("block", "X", "Y", *COLUMNS)
+
+
+def shard_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of each block of the grid, from the table of the blocks that have any."""
+    points = lineitem_points(spark, sf_dir)
+    whole = grid(points)
+    rect = whole.rect
+    found = tiling.block_points(relational.assign_cells(points, whole), SIDE, x="xi", y="yi")
+    units = relational.all_cells(spark, Rect(0, -(-rect.x2 // SIDE), 0, -(-rect.y2 // SIDE)), "bx", "by").withColumn("block", tiling.block_name())
+    return tiling.units_with_points(units.select("block"), found)
+
+
 def store_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stores on one grid as one: the newer slot of each cell, whichever store has it."""
     one, two = stored(spark, sf_dir), stored(spark, sf_dir)
@@ -136,11 +170,14 @@ ORACLE_SQL = {
     "store_history": f"WITH {C} SELECT CASE WHEN k = 1 THEN 'first' ELSE 'second' END AS name, (SELECT count(*) FROM c WHERE {_EARLY} = (k = 1)) AS point_count, true AS finished, k::INT AS time_slot FROM range(1, 3) AS t(k)",
     "store_runs_at": "SELECT 'second' AS name, 2 AS time_slot",
     "store_published": f"WITH {_ROWS} SELECT X, Y, count, m_Z_mean, m_Z_max FROM r WHERE time_slot = 2",
+    "store_fragments": f"WITH {_ROWS} SELECT time_slot, part, count(*) AS cells, min(X) AS x1, max(X) AS x2, min(Y) AS y1, max(Y) AS y2 FROM (SELECT *, CASE WHEN time_slot = 2 AND Y >= 100 THEN 1 ELSE 0 END AS part FROM r) GROUP BY time_slot, part",
+    "store_shards": f"WITH {C} SELECT 'x' || (xi // {SIDE}) || 'y' || (yi // {SIDE}) AS block, xi AS X, yi AS Y, {_MADE} FROM c GROUP BY xi, yi",
+    "shard_points": f"WITH {C}, n AS (SELECT 'x' || (xi // {SIDE}) || 'y' || (yi // {SIDE}) AS block, count(*) AS points FROM c GROUP BY 1) SELECT 'x' || a || 'y' || b AS block, coalesce(points, 0) AS points FROM range({-(-200 // SIDE)}) AS s(a) CROSS JOIN range({-(-200 // SIDE)}) AS t(b) LEFT JOIN n ON n.block = 'x' || a || 'y' || b",
     "store_union": _CELLS,
     "store_extract": f"WITH {_IN_BOX} SELECT X, Y, m_Z_max FROM {_NEWEST}",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     store_cells, store_in_box, store_as_of, store_by_date, store_after_delete, store_after_restart, store_consolidated, store_resumed, store_history, store_runs_at,
-    store_published, store_union, store_extract,
+    store_published, store_fragments, store_shards, shard_points, store_union, store_extract,
 )}

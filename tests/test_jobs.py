@@ -1,5 +1,7 @@
 import json
+import socket
 import struct
+import threading
 import zlib
 from datetime import datetime
 
@@ -14,6 +16,7 @@ from stratagrid.operators import relational
 from stratagrid.operators.metrics import Metric, attribute, product_moments, statistics
 from stratagrid.sources.points import PointSource
 from stratagrid.sources import las
+from stratagrid.sources.session import WebSocketHandler, logger, memory_peaks, random_name
 from stratagrid.sources.store import ShardGroup, Storage, union_of
 
 BOX = Bounds(300, 300, 600, 600)
@@ -222,6 +225,97 @@ def test_shard_group(spark, setting):
     assert set(times) == {(n, p) for n in ("west", "east") for p in ("cells", "publish")} and all(r.seconds >= r.longest > 0 for r in times.values())
 
 
+def test_stage_and_blocks(spark, setting, monkeypatch):
+    """A run goes to a stage, is consolidated there and published in blocks; broken off, it goes on from the stage."""
+    _, storage, points, tmp = setting
+    c = storage.config
+    group = ShardGroup.create(spark, StorageConfig(f"file://{tmp}/group", c.root, c.crs, c.resolution, c.alignment, attrs=c.attrs, metrics=c.metrics))
+    config = run(storage.path, name="a", lists=False, parts=3, processing_strategy="macro-v3-stage-push", tile_size=1, read_group_size=4, shard_side_groups=2, shard_target_points=5000, stage_dir=f"file://{tmp}/stages", publish_uri=group.path)
+    whole = ShardGroup.publish_from
+
+    def fails(self, home, *more):
+        whole(self, home, *more)
+        storage.files.delete(f"{group.path}/shards/shard=a/_SUCCESS")
+        raise OSError("broken off")
+
+    monkeypatch.setattr(ShardGroup, "publish_from", fails)
+    with pytest.raises(OSError, match="broken off"):
+        jobs.shatter(spark, config, points)
+    stage = Storage.from_db(spark, f"file://{tmp}/stages/a")
+    assert stage.stage_state()["state"] == "consolidated" and group.shards() == []
+    monkeypatch.setattr(ShardGroup, "publish_from", whole)
+    monkeypatch.setattr(Storage, "write", None)  # nothing is written again
+    n = jobs.resume(spark, storage.path, "a", points)
+    assert n == points.count() and stage.stage_state() == {"state": "published", "points": n, "uri": group.path}
+    assert storage.all_rows().count() == 0 and storage.process("a").finished
+    assert group.shards() == ["a"] and "x0y0" in group.blocks("a")
+    assert group.read().agg(F.sum("count")).first()[0] == n
+    assert spark.read.parquet(f"{group.path}/shards/shard=a").filter("block = 'x1y1'").count() == 16
+    box = Bounds(330, 330, 390, 360)
+    assert 0 < group.read_shard("a", ["m_Z_mean"], box).count() < 12
+    with pytest.raises(FileExistsError):
+        storage.create_stage(stage.path)
+
+
+def test_fragments_and_plan(spark, setting):
+    _, storage, points, _ = setting
+    assert storage.fragments().count() == 0 and storage.consolidation_plan() == []
+    jobs.shatter(spark, run(storage.path, name="one", lists=False, parts=2), points)
+    later = storage.process("one").end_timestamp + 1
+    jobs.shatter(spark, run(storage.path, name="two", lists=False), points)
+    found = storage.fragments().orderBy("time_slot", "part").collect()
+    assert [(r.time_slot, r.part) for r in found] == [(1, 0), (1, 1), (2, 0)] and found[1].y1 == found[0].y2 + 1
+    assert sum(r.cells for r in found) == storage.all_rows().count() and all(r.bytes > 0 for r in found)
+    plan = storage.consolidation_plan()
+    assert [(p["time_slot"], p["parts"], p["wanted"]) for p in plan] == [(1, [0, 1], 1), (2, [0], 1)]
+    assert storage.consolidation_plan(1) == []
+    jobs.consolidate(spark, storage.path, between=(int(later), None))
+    assert [p["time_slot"] for p in storage.consolidation_plan()] == [1]
+    assert storage.consolidate_by_plan() == 1 and storage.consolidation_plan() == []
+    assert storage.all_rows().agg(F.sum("count")).first()[0] == 2 * points.count()
+
+
+def test_websocket_log():
+    """Frames of three sizes, as a server of its own reads them."""
+    server, got = socket.create_server(("127.0.0.1", 0)), []
+
+    def serve():
+        link, _ = server.accept()
+        stream = link.makefile("rwb")
+        while stream.readline().strip():
+            pass
+        stream.write(b"HTTP/1.1 101 Switching Protocols\r\n\r\n")
+        stream.flush()
+        while True:
+            opcode, size = stream.read(2)
+            size &= 127
+            size = int.from_bytes(stream.read({126: 2, 127: 8}[size]), "big") if size > 125 else size
+            mask = stream.read(4)
+            got.append((opcode & 15, bytes(b ^ mask[k % 4] for k, b in enumerate(stream.read(size))).decode()))
+            if opcode & 15 == 8:
+                return
+
+    thread = threading.Thread(target=serve, daemon=True)
+    thread.start()
+    out = logger(websocket=f"ws://127.0.0.1:{server.getsockname()[1]}/log", as_json=True)
+    texts = ["short", "m" * 300, "l" * 70_000]
+    for text in texts:
+        out.info(text)
+    out.handlers[0].close()
+    thread.join(10)
+    server.close()
+    logger()
+    assert [json.loads(t)["message"] for k, t in got if k == 1] == texts and got[-1] == (8, "")
+    with pytest.raises(ValueError):
+        WebSocketHandler("http://somewhere")
+
+
+def test_names_and_memory(spark):
+    assert len({random_name() for _ in range(200)}) > 50 and all(random_name().count("-") == 1 for _ in range(20))
+    found = memory_peaks(spark)
+    assert found and all(set(r) == {"executor", "heap", "execution", "jvm", "python"} for r in found)
+
+
 def las_bytes(form, points, minor=4):
     """A LAS file of points (x, y, z, return, returns, class, time) at a hundredth of a unit."""
     length = {0: 20, 1: 28, 6: 30, 7: 36}[form] + 3  # with extra bytes
@@ -336,7 +430,7 @@ def test_validation():
     with pytest.raises(ValueError):
         StorageConfig("s", BOX, "EPSG:4326")
     assert StorageConfig("s", BOX, "EPSG:5070", 30, xsize=1000).xsize == 12
-    for bad in ({"processing_strategy": "x"}, {"processing_halo_m": -1}, {"processing_strategy": "macro-v2"}, {"processing_strategy": "macro-v2", "tile_size": 5, "read_group_size": 25}, {"processing_strategy": "macro-v2", "tile_size": 4, "read_group_size": 9}, {"processing_strategy": "macro-v3-stage-push", "tile_size": 4, "read_group_size": 16, "publish_uri": "s"}):
+    for bad in ({"processing_strategy": "x"}, {"processing_halo_m": -1}, {"processing_strategy": "macro-v2"}, {"processing_strategy": "macro-v2", "tile_size": 5, "read_group_size": 25}, {"processing_strategy": "macro-v2", "tile_size": 4, "read_group_size": 9}, {"processing_strategy": "macro-v3-stage-push", "tile_size": 4, "read_group_size": 16, "publish_uri": "s"}, {"stage_dir": "t"}, {"stage_dir": "t", "publish_uri": "t"}, {"stage_dir": "s", "publish_uri": "t"}, {"stage_file_mb": 0}, {"shard_side_groups": 0}, {"shard_target_points": 0}):
         with pytest.raises(ValueError):
             ShatterConfig("s", "f", "2020-01-01", **bad)
     with pytest.raises(ValueError):

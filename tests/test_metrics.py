@@ -3,7 +3,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from stratagrid.functions import ordered
 from stratagrid.operators import metrics
 from stratagrid.operators.metrics import Attribute, Metric
 from stratagrid.plans.fused import cell_metrics, outputs
@@ -152,6 +154,30 @@ def test_user_metrics(spark):
         assert r.m_Z_over == (sum(v > np.mean(z) for v in z) if any(z) else None)
 
 
+def test_user_filters(spark, tmp_path):
+    """Functions of rows: a DataFrame or booleans as their result, beside predicates, kept by name, never as code."""
+    path = tmp_path / "filters.py"
+    path.write_text("from stratagrid.operators.metrics import RowFilter, statistics\n\ndef low(rows):\n    return rows[rows['Z'] < 3]\n\ndef flags(rows):\n    return rows['R'] == 1\n\n"
+                    "def metrics():\n    top = statistics['max']\n    return [top.add_filter(low), top.add_filter('Z > 0').add_filter(RowFilter(flags, ('R',)))]\n")
+    one, two = metrics.load_user_metrics(str(path))
+    points = spark.createDataFrame([(0, 0, 1.0, 1), (0, 0, 2.0, 2), (0, 0, 9.0, 1), (1, 0, 5.0, 2), (1, 0, None, 1)], "xi int, yi int, Z double, R int").repartition(3)
+    for a, b in ((one, two), (Metric.from_string(one.to_string()), Metric.from_string(two.to_string()))):
+        found = cell_metrics(points, [a], ["Z"]).join(cell_metrics(points, [b], ["Z"]).withColumnRenamed("m_Z_max", "other"), ["xi", "yi"])
+        assert {(r.xi, r.m_Z_max, r.other) for r in found.collect()} == {(0, 2.0, 9.0), (1, None, None)}
+    assert "def " not in one.to_string() and str(path) in one.to_string()
+
+
+def test_mode_of_close_values(spark):
+    """Sixty-four bins of no width give way to ten, and those to null."""
+    up = lambda a, b: float(np.nextafter(a, b))
+    steps = [1.0]
+    for _ in range(30):
+        steps.append(up(steps[-1], 2))
+    rows = [([1.0, 1.0, 65.0],), (steps,), ([1.0, up(1.0, 2)],), ([1.0, 1.0],), ([],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v array<double>").select(ordered.mode(F.col("v"))).collect()]
+    assert got[0] == 1.0 and 1.0 <= got[1] <= steps[-1] and got[2:] == [None, 1.0, None]
+
+
 def test_json_round_trip():
     for m in metrics.get_grid_metrics("HeightAboveGround", 1, 4).values():
         again = Metric.from_string(m.to_string())
