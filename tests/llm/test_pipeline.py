@@ -52,3 +52,34 @@ def test_against_brute_force(spark, library, tmp_path):  # noqa: F811
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, ties, very long and blank texts, columns that share the operators' names:
+    each stage keeps the columns as they are and does with the rows what its docstring says."""
+    body = " ".join(f"the wa{k} of xo{k}" for k in range(20))
+    rows = [
+        (1, body, "en", "s"), (1, body, "en", "s"),  # one row twice
+        (2, body.replace("the", "THE", 1), None, None), (None, body + " tail", "en", None),
+        (3, None, "en", "s"), (4, "", "en", "s"), (5, " \n ", "en", "s"), (6, "short text", "en", "s"),
+        (7, " ".join(f"a{k} the of long{k}" for k in range(40_000)), "en", "t"),
+        (8, " ".join(f"the of another{k} more{k}" for k in range(30)), None, "t"),
+    ]
+    extra = ["n_words", "kept", "text_sha256", "fp", "component_id", "size", "copies", "row", "id", "token_ids", "salt", "__text"]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    docs = spark.createDataFrame([(*r, None, *(f"own {c}" for c in extra)) for r in rows], columns).repartition(3)
+    seen = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs.write.parquet(f"file://{tmp_path}/{k}")
+        docs = stage(spark, spark.read.parquet(f"file://{tmp_path}/{k}"), "")
+        found = docs.collect()
+        seen.append(sorted((r.doc_id for r in found), key=str))
+        if k < 4:
+            assert docs.columns == [c.split()[0].strip("`") for c in columns.split(", ")]
+            assert all(r[c] == f"own {c}" for r in found for c in extra)
+    assert seen[0] == [1, 1, 2, 7, 8, None]  # the short and empty ones go
+    assert seen[1] in ([2, 7, 8, None],)  # of equal texts the largest id
+    assert set(seen[2]) <= set(seen[1]) and {7, 8} <= set(seen[2])
+    assert set(seen[3]) <= set(seen[2]) and 7 in seen[3]
+    assert seen[4] == seen[3]
+    assert all(r.n_tokens == len(r.token_ids) // 4 for r in found)
