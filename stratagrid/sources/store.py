@@ -333,8 +333,8 @@ class ShardGroup(Storage):
         return [n.removeprefix("shard=") for n in self.files.names(at) if n.startswith("shard=") and self.files.exists(f"{at}/{n}/_SUCCESS")]
 
     def publish_from(self, storage: Storage, slot: int, name: str, side: int | None = None, most: int | None = None) -> None:
-        """A run of a store on the same grid as a shard. side: in blocks of so many cells a side, a task and a file
-        to each, or several where a block has more than most points."""
+        """A run of a store on the same grid as a shard. side: in blocks of so many cells a side, dealt to tasks
+        whole, or in bands where a block has more than most points."""
         mine, theirs = self.config, storage.config
         if (mine.root, mine.resolution, mine.alignment) != (theirs.root, theirs.resolution, theirs.alignment):
             raise ValueError("a shard lies on the grid of its group")
@@ -346,18 +346,14 @@ class ShardGroup(Storage):
         rows = self.spark.read.parquet(f"{storage.path}/cells/time_slot={slot}").drop("part").filter("count > 0")
         if rows.isEmpty():
             raise ValueError("there is nothing to publish")
-        rows, part = tiling.with_blocks(rows.withColumn("time_slot", F.lit(slot)), side), F.lit(0)
+        rows, bands = tiling.with_blocks(rows.withColumn("time_slot", F.lit(slot)), side), F.lit(1)
         if most is not None:
-            # One row for each block with more than most points.
             split = tiling.block_points(rows, side, F.col("count")).filter(F.col("points") > most)
             split = split.select("bx", "by", F.least(F.ceil(F.col("points") / most), F.lit(side)).cast("int").alias("_parts"))
-            rows = rows.join(split, ["bx", "by"], "left")
-            part = F.floor(F.pmod(F.col("Y"), F.lit(side)) * F.coalesce("_parts", F.lit(1)) / side)
-            rows = rows.withColumn("_part", part).drop("_parts")
-        else:
-            rows = rows.withColumn("_part", part)
-        rows = rows.repartition("bx", "by", "_part").sortWithinPartitions("bx", "by", "_part", "Y", "X").withColumn("block", tiling.block_name())
-        rows.drop("bx", "by", "_part").write.mode("errorifexists").partitionBy("block").parquet(at)
+            rows, bands = rows.join(split, ["bx", "by"], "left"), F.coalesce("_parts", F.lit(1))
+        band = F.floor(F.pmod(F.col("Y"), F.lit(side)) * bands / side)
+        rows = rows.repartition("bx", "by", band).sortWithinPartitions("bx", "by", "Y", "X").withColumn("block", tiling.block_name())
+        rows.drop("bx", "by", "_parts").write.mode("errorifexists").partitionBy("block").parquet(at)
 
     def blocks(self, shard: str) -> list[str]:
         """The names of a shard's blocks, if it was published in blocks."""
