@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratagrid.llm import exact_dedup
 
@@ -55,3 +56,21 @@ def test_repeated_rows_null_ids_clashes_and_empty(spark, make_docs):
     kept = exact_dedup.deduplicate(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text.lower()) for r in kept.collect()) == [(0, "b"), (1, "c"), (5, "a")]
     assert exact_dedup.verdicts(make_docs([(1, "x")]).limit(0)).count() == 0
+
+
+def test_readings_in_another_order(spark, make_docs, monkeypatch):
+    """Of rows that agree in id and text exactly one stays, whatever order later readings bring them in."""
+    real = exact_dedup._rows
+    docs = make_docs([(1, "a"), (1, "A"), (1, "a"), (2, "b"), (3, "c"), (3, "C"), (None, "n"), (None, "N")])
+    turned = make_docs([(1, "A"), (3, "c"), (1, "a"), (None, "N"), (2, "b"), (1, "a"), (None, "n"), (3, "C")], parts=2)
+
+    def rows(found, *columns):
+        """Other places in each reading."""
+        place = F.monotonically_increasing_id() + F.floor(F.rand() * 1e6).cast("long") * 1000
+        return real(found, *columns).withColumn("row_no", place)
+
+    monkeypatch.setattr(exact_dedup, "_rows", rows)
+    for source in (docs, turned):
+        got = exact_dedup.verdicts(source).collect()
+        assert len(got) == 8 and sorted(r.doc_id or 0 for r in got if r.kept) == [0, 1, 2, 3]
+        assert sorted(r.doc_id or 0 for r in exact_dedup.deduplicate(source).collect()) == [0, 1, 2, 3]
