@@ -16,7 +16,7 @@ from .operators import relational, tiling
 from .operators.metrics import attribute, product_moments, statistics
 from .oracle import C, IN_CELLS
 from .plans.cut import shared_folder
-from .queries import BOX, RESOLUTION, frame, grid
+from .queries import BOX, RESOLUTION, ROOT, anchored, frame, grid
 from .sources.points import lineitem_points
 from .sources.store import ShardGroup, Storage, union_of
 
@@ -39,43 +39,55 @@ def stored(spark: SparkSession, sf_dir: str) -> Storage:
     return storage
 
 
+def numbered(found: DataFrame, storage: Storage) -> DataFrame:
+    """Cells of a store numbered from ROOT's north-west corner, as those of the other queries are; the store counts
+    from its own, which lies farther out where points do."""
+    root = storage.config.extents.root
+    across, down = round((ROOT.minx - root.minx) / RESOLUTION), round((root.maxy - ROOT.maxy) / RESOLUTION)
+    shift = {"X": across, "x1": across, "x2": across, "Y": down, "y1": down, "y2": down}
+    return found.withColumns({k: F.col(k) - v for k, v in shift.items() if k in found.columns})
+
+
 def store_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest row of each cell."""
-    return stored(spark, sf_dir).read(COLUMNS).select("X", "Y", "time_slot", *COLUMNS)
+    storage = stored(spark, sf_dir)
+    return numbered(storage.read(COLUMNS), storage).select("X", "Y", "time_slot", *COLUMNS)
 
 
 def store_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir).read(COLUMNS, bounds=BOX).select("X", "Y", "time_slot", *COLUMNS)
+    storage = stored(spark, sf_dir)
+    return numbered(storage.read(COLUMNS, bounds=BOX), storage).select("X", "Y", "time_slot", *COLUMNS)
 
 
 def store_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells as they were after the first run."""
     storage = stored(spark, sf_dir)
-    return storage.read(COLUMNS, until=(None, int(storage.process("first").start_timestamp))).select("X", "Y", "time_slot", *COLUMNS)
+    return numbered(storage.read(COLUMNS, until=(None, int(storage.process("first").start_timestamp))), storage).select("X", "Y", "time_slot", *COLUMNS)
 
 
 def store_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of runs whose dates meet those of the second one only."""
-    return stored(spark, sf_dir).read(COLUMNS, dates=(datetime(1998, 6, 1), datetime(1998, 7, 1))).select("X", "Y", "time_slot", *COLUMNS)
+    storage = stored(spark, sf_dir)
+    return numbered(storage.read(COLUMNS, dates=(datetime(1998, 6, 1), datetime(1998, 7, 1))), storage).select("X", "Y", "time_slot", *COLUMNS)
 
 
 def store_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     storage = stored(spark, sf_dir)
     jobs.delete(spark, storage.path, "second")
-    return storage.read(COLUMNS).select("X", "Y", "time_slot", *COLUMNS)
+    return numbered(storage.read(COLUMNS), storage).select("X", "Y", "time_slot", *COLUMNS)
 
 
 def store_after_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second run again, now with all points."""
     storage = stored(spark, sf_dir)
     jobs.restart(spark, storage.path, "second", lineitem_points(spark, sf_dir))
-    return storage.read(COLUMNS).select("X", "Y", "time_slot", *COLUMNS)
+    return numbered(storage.read(COLUMNS), storage).select("X", "Y", "time_slot", *COLUMNS)
 
 
 def store_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     storage = stored(spark, sf_dir)
     jobs.consolidate(spark, storage.path, 2)
-    return storage.read(COLUMNS).select("X", "Y", "time_slot", *COLUMNS)
+    return numbered(storage.read(COLUMNS), storage).select("X", "Y", "time_slot", *COLUMNS)
 
 
 def store_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +99,7 @@ def store_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = ShatterConfig(storage.path, "lineitem", FIRST, name="again", lists=False, parts=4, mbr=done, time_slot=storage.reserve_time_slot())
     storage.save_process(config)
     jobs.resume(spark, storage.path, "again", lineitem_points(spark, sf_dir))
-    return storage.all_rows().filter(F.col("time_slot") == config.time_slot).select("X", "Y", "count")
+    return numbered(storage.all_rows().filter(F.col("time_slot") == config.time_slot), storage).select("X", "Y", "count")
 
 
 def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +115,13 @@ def store_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     storage = stored(spark, sf_dir)
     uri = f"{storage.path}-published"
     storage.publish(uri, storage.process("second").time_slot)
-    return spark.read.parquet(uri).select("X", "Y", *COLUMNS)
+    return numbered(spark.read.parquet(uri), storage).select("X", "Y", *COLUMNS)
 
 
 def store_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each part of the runs holds; the second run has two."""
-    return stored(spark, sf_dir).fragments().select("time_slot", "part", "cells", "x1", "x2", "y1", "y2")
+    storage = stored(spark, sf_dir)
+    return numbered(storage.fragments(), storage).select("time_slot", "part", "cells", "x1", "x2", "y1", "y2")
 
 
 def store_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,17 +135,17 @@ def store_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         storage.path, "lineitem", FIRST, name="whole", lists=False, processing_strategy="macro-v3-stage-push", tile_size=16, read_group_size=64,
         stage_dir=f"{at}/stages", publish_uri=group.path, shard_side_groups=SIDE // 8, shard_target_points=1000,
     ), points)
-    blocks = tiling.with_blocks(group.read_shard("whole", COLUMNS), SIDE).withColumn("block", tiling.block_name())
+    blocks = tiling.with_blocks(numbered(group.read_shard("whole", COLUMNS), storage), SIDE).withColumn("block", tiling.block_name())
     return blocks.select("block", "X", "Y", *COLUMNS)
 
 
 def shard_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points of each block of the grid, from the table of the blocks that have any."""
     points = lineitem_points(spark, sf_dir)
-    whole = grid(points)
+    whole = anchored(grid(points))
     rect = whole.rect
     found = tiling.block_points(relational.assign_cells(points, whole), SIDE, x="xi", y="yi")
-    units = relational.all_cells(spark, Rect(0, -(-rect.x2 // SIDE), 0, -(-rect.y2 // SIDE)), "bx", "by").withColumn("block", tiling.block_name())
+    units = relational.all_cells(spark, Rect(rect.x1 // SIDE, -(-rect.x2 // SIDE), rect.y1 // SIDE, -(-rect.y2 // SIDE)), "bx", "by").withColumn("block", tiling.block_name())
     return tiling.units_with_points(units.select("block"), found)
 
 
@@ -140,13 +153,13 @@ def store_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stores on one grid as one: the newer slot of each cell, whichever store has it."""
     one, two = stored(spark, sf_dir), stored(spark, sf_dir)
     jobs.delete(spark, one.path, "second")
-    return union_of([one, two], columns=COLUMNS).select("X", "Y", "time_slot", *COLUMNS)
+    return numbered(union_of([one, two], columns=COLUMNS), one).select("X", "Y", "time_slot", *COLUMNS)
 
 
 def store_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells that extract() makes a raster of."""
     storage = stored(spark, sf_dir)
-    return jobs.extract_cells(spark, ExtractConfig(storage.path, "", ["Z"], ["max"], BOX)).select("X", "Y", "m_Z_max")
+    return numbered(jobs.extract_cells(spark, ExtractConfig(storage.path, "", ["Z"], ["max"], BOX)), storage).select("X", "Y", "m_Z_max")
 
 
 _EARLY = f"(T < '{DAY}' OR X >= {EAST})"
