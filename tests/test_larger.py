@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
+TENTH = "/root/testdata/sf0.1/lineitem.parquet"
 #: Their box lies inside the frame of the SQL, so nothing is added to it.
 BOXED = ["dense_cells", "raster", "store_in_box", "store_extract"]
 #: A row for each cell; the query has cells beyond the frame besides.
@@ -43,3 +44,10 @@ def test_has_all_cells_of_the_sql(spark, larger, name):
     more, less, same = both(spark, name, larger)
     assert same and not less
     assert bool(more) == (name not in ("store_by_date", "store_published"))  # whose run has western points only
+
+
+def test_values_even_about_the_mean_have_no_skewness(spark, tmp_path):
+    places = "(VALUES (53, 151), (69, 125), (121, 65)) AS c(x, y)"
+    duckdb.execute(f"COPY (SELECT l.* FROM '{TENTH}' l, {places} WHERE l_partkey // 100 = x AND l_suppkey // 5 = 199 - y) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    more, less, same = both(spark, "metrics_product_moments", str(tmp_path))
+    assert not more and not less and len(same) == 3
