@@ -41,9 +41,26 @@ def all_cells(spark, rect: Rect, x: str = "X", y: str = "Y") -> DataFrame:
     return rows.select(F.explode(across).alias(x), y)
 
 
+def _row_starts(spark, rect: Rect, y: str) -> DataFrame:
+    """Every Y of rect; none where it has no columns."""
+    return spark.range(rect.y1, max(rect.y1, rect.y2) if rect.x2 > rect.x1 else rect.y1).select(F.col("id").cast("int").alias(y))
+
+
+def _inside(cells: DataFrame, rect: Rect, x: str, y: str) -> DataFrame:
+    return in_rect(cells, rect, x, y).withColumns({k: F.col(k).cast("int") for k in (x, y)})
+
+
 def densify(cells: DataFrame, rect: Rect, fill: Mapping[str, object] | None = None, x: str = "X", y: str = "Y") -> DataFrame:
-    """A row for each cell of rect; what has no data is null or, where fill names the column, its value."""
-    out = all_cells(cells.sparkSession, rect, x, y).join(cells, [x, y], "left")
+    """A row for each cell of rect; what has no data is null or, where fill names the column, its value.
+
+    Only cells with data are shuffled: where they arrive, each brings along the empty ones up to the next of its row,
+    and one before the first column those ahead of the first."""
+    first = _row_starts(cells.sparkSession, rect, y).withColumn(x, F.lit(rect.x1 - 1))
+    held = _inside(cells, rect, x, y).unionByName(first, allowMissingColumns=True)
+    after = F.coalesce(F.lead(x).over(Window.partitionBy(y).orderBy(x)), F.lit(rect.x2)) - 1
+    spread = held.withColumn("_after", after).withColumn("_x", F.explode(F.sequence(F.col(x), F.greatest(F.col(x), F.col("_after"))))).filter(F.col("_x") >= rect.x1)
+    others = [c for c in cells.columns if c not in (x, y)]
+    out = spread.select(F.col("_x").alias(x), y, *[F.when(F.col("_x") == F.col(x), F.col(f"`{c}`")).alias(c) for c in others])
     fill = {k: v for k, v in (fill or {}).items() if k in cells.columns and v is not None}
     return out.withColumns({k: F.coalesce(F.col(k), F.lit(v).cast(cells.schema[k].dataType)) for k, v in fill.items()}) if fill else out
 
@@ -73,10 +90,14 @@ def outside_rects(cells: DataFrame, done: Sequence[Rect], x: str = "xi", y: str
 
 def raster_rows(cells: DataFrame, value: str, rect: Rect, nodata: object = None, x: str = "X", y: str = "Y") -> DataFrame:
     """A row for each Y of rect with the values of all X in order, as an array: long to wide by one groupBy,
-    without a column per X."""
-    dense = densify(cells.select(x, y, value), rect, {value: nodata}, x, y)
-    packed = dense.groupBy(y).agg(F.array_sort(F.collect_list(F.struct(F.col(x), F.col(value)))).alias("_r"))
-    return packed.select(y, F.col("_r").getField(value).alias(value))
+    without a column per X. Only cells with data are shuffled; gaps are filled within the row."""
+    empty = F.lit(nodata).cast(cells.schema[value].dataType)
+    held = _inside(cells, rect, x, y).select(y, F.struct(F.col(x).alias("x"), F.coalesce(F.col(value), empty).alias("v")).alias("_c"))
+    rows = held.unionByName(_row_starts(cells.sparkSession, rect, y), allowMissingColumns=True)
+    packed = rows.groupBy(y).agg(F.array_sort(F.collect_list("_c")).alias("_r"))  # without the nulls of starts
+    at = lambda i: F.coalesce(F.get("_r", i)["x"], F.lit(rect.x1 - 1))
+    filled = F.flatten(F.transform("_r", lambda c, i: F.concat(F.array_repeat(empty, c["x"] - at(i - 1) - 1), F.array(c["v"]))))
+    return packed.select(y, F.concat(filled, F.array_repeat(empty, F.lit(rect.x2 - 1) - at(F.size("_r") - 1))).alias(value))
 
 
 def pivot(cells: DataFrame, value: str, columns: Sequence[int], x: str = "X", y: str = "Y") -> DataFrame:

@@ -2,8 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from stratagrid.grid import Rect
+from stratagrid.operators import relational
 
 SF = "/root/testdata/sf0.001"
 TENTH = "/root/testdata/sf0.1/lineitem.parquet"
@@ -51,3 +54,30 @@ def test_values_even_about_the_mean_have_no_skewness(spark, tmp_path):
     duckdb.execute(f"COPY (SELECT l.* FROM '{TENTH}' l, {places} WHERE l_partkey // 100 = x AND l_suppkey // 5 = 199 - y) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
     more, less, same = both(spark, "metrics_product_moments", str(tmp_path))
     assert not more and not less and len(same) == 3
+
+
+def shuffled_rows(spark):
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    none = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Double.TYPE, 0)
+    stages = store.stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_rasters_shuffle_only_cells_with_data(spark):
+    """Of a grid of 400 x 300 cells, 7 have a point, one twice and one outside."""
+    rect = Rect(-100, 300, -50, 250)
+    rows = [(-100, -50, 1.0), (-99, -50, 2.0), (299, -50, 3.0), (5, 0, None), (7, 0, 4.0), (7, 0, 5.0), (299, 249, 6.0), (300, 10, 9.0)]
+    cells = spark.createDataFrame(rows, "X int, Y int, v double").withColumn("n", F.lit(1).cast("long"))
+    inside = rows[:-1]
+    held = {(x, y) for x, y, _ in inside}
+    want = sorted([(x, y, -1.0 if v is None else v, 1) for x, y, v in inside] + [(x, y, -1.0, None) for x, y in rect.indices() if (x, y) not in held], key=lambda r: r[:3])
+    before = shuffled_rows(spark)
+    dense = relational.densify(cells, rect, {"v": -1.0})
+    assert dense.columns == ["X", "Y", "v", "n"]
+    assert sorted(map(tuple, dense.collect()), key=lambda r: r[:3]) == want
+    found = {r.Y: r.v for r in relational.raster_rows(cells, "v", rect, -1.0).collect()}
+    assert found == {y: [v for _, b, v, _ in want if b == y] for y in range(-50, 250)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert shuffled_rows(spark) - before < 2 * (300 + len(rows)) + 50
+    empty = {r.Y: r.v for r in relational.raster_rows(cells, "v", Rect(100, 103, 0, 2)).collect()}
+    assert empty == {0: [None] * 3, 1: [None] * 3}
