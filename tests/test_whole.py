@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.01"
 CLIP = " WHERE X >= 0 AND X < 20000 AND Y >= 0 AND Y < 20000"
 WHOLE = [
     "dense_cells",
+    "cell_lists",
 ]
 
 
