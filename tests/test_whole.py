@@ -13,6 +13,7 @@ CLIP = " WHERE X >= 0 AND X < 20000 AND Y >= 0 AND Y < 20000"
 WHOLE = [
     "dense_cells",
     "cell_lists",
+    "date_overlap",
 ]
 
 
