@@ -14,6 +14,7 @@ WHOLE = [
     "dense_cells",
     "cell_lists",
     "date_overlap",
+    "dense_grid",
 ]
 
 
