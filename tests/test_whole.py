@@ -15,6 +15,7 @@ WHOLE = [
     "cell_lists",
     "date_overlap",
     "dense_grid",
+    "grid_core",
 ]
 
 
