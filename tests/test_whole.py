@@ -16,6 +16,7 @@ WHOLE = [
     "date_overlap",
     "dense_grid",
     "grid_core",
+    "latest_cells",
 ]
 
 
