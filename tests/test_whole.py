@@ -17,6 +17,7 @@ WHOLE = [
     "dense_grid",
     "grid_core",
     "latest_cells",
+    "metrics_compat",
 ]
 
 
