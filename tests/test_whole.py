@@ -18,6 +18,7 @@ WHOLE = [
     "grid_core",
     "latest_cells",
     "metrics_compat",
+    "metrics_counts",
 ]
 
 
