@@ -19,6 +19,7 @@ WHOLE = [
     "latest_cells",
     "metrics_compat",
     "metrics_counts",
+    "metrics_covers",
 ]
 
 
