@@ -20,6 +20,7 @@ WHOLE = [
     "metrics_compat",
     "metrics_counts",
     "metrics_covers",
+    "metrics_deviations",
 ]
 
 
