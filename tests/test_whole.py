@@ -21,6 +21,7 @@ WHOLE = [
     "metrics_counts",
     "metrics_covers",
     "metrics_deviations",
+    "metrics_l_moments",
 ]
 
 
