@@ -14,9 +14,10 @@ def filled(values: Column, out: Column) -> Column:
 
 def _at(values: Column, rank: Column) -> Column:
     """The value at a rank that may lie between two. A bound rank keeps the terms few, as they are worked out
-    for every share of every cell."""
-    low = F.get(values, rank.cast("int"))
-    return low + F.coalesce(F.get(values, rank.cast("int") + 1) - low, F.lit(0.0)) * (rank - rank.cast("int"))
+    for every share of every cell. Between equals or at a whole rank the next value has no part, as it may be infinite
+    or NaN; equals come first, so that both values are always looked up and a list made for this is made once."""
+    low, high, part = F.get(values, rank.cast("int")), F.get(values, rank.cast("int") + 1), rank - rank.cast("int")
+    return F.when((high != low) & (part > 0), low + (high - low) * part).otherwise(low)
 
 
 def percentile(values: Column, share: float) -> Column:
