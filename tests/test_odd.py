@@ -46,3 +46,10 @@ def test_lists_of_points_without_values(spark, tmp_path):
 def test_median_beside_endless_heights(spark, tmp_path):
     rows = same(spark, "grid_core", tmp_path, ENDLESS)
     assert sum(abs(v) < float("inf") and not top < float("inf") for v, top in zip(rows["m_Z_median"], rows["m_Z_max"])) > 50
+
+
+def test_counts_of_first_returns_without_heights(spark, tmp_path):
+    """Points without a height are points, none of which lies above."""
+    rows = same(spark, "metrics_counts", tmp_path, NULLS)
+    for above in ("m_Z_1st_count_above_mean", "m_Z_1st_count_above_mode"):
+        assert 0 in rows[above] and None in rows[above]
