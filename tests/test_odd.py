@@ -53,3 +53,9 @@ def test_counts_of_first_returns_without_heights(spark, tmp_path):
     rows = same(spark, "metrics_counts", tmp_path, NULLS)
     for above in ("m_Z_1st_count_above_mean", "m_Z_1st_count_above_mode"):
         assert 0 in rows[above] and None in rows[above]
+
+
+def test_covers_of_first_returns_without_heights(spark, tmp_path):
+    rows = same(spark, "metrics_covers", tmp_path, NULLS)
+    for above in ("m_Z_1st_cover_above_mean", "m_Z_1st_cover_above_mode"):
+        assert any(v is not None and abs(v) < 1e-6 for v in rows[above]) and None in rows[above]
