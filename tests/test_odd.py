@@ -59,3 +59,9 @@ def test_covers_of_first_returns_without_heights(spark, tmp_path):
     rows = same(spark, "metrics_covers", tmp_path, NULLS)
     for above in ("m_Z_1st_cover_above_mean", "m_Z_1st_cover_above_mode"):
         assert any(v is not None and abs(v) < 1e-6 for v in rows[above]) and None in rows[above]
+
+
+def test_median_distance_beside_endless_heights(spark, tmp_path):
+    """A mode of such heights is null here, as there are no bins for them; the SQL calls it NaN."""
+    rows = same(spark, "metrics_deviations", tmp_path, ENDLESS, but=["m_Z_mad_mode"])
+    assert sum(v is not None and abs(v) < float("inf") and m != m for v, m in zip(rows["m_Z_mad_median"], rows["m_Z_mad_mean"])) > 10
